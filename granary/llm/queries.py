@@ -4,17 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import table
+from granary.llm.gam import fit_quality, quality_column
+from granary.llm.mixing import MixSettings, mix_sources
+from granary.llm.packing import pack_documents, public_vocabulary
 from granary.llm.repetition import RepetitionRules, repetition_coverage
+from granary.llm.toxicity import fit_toxicity, toxicity_column
+from granary.llm.transport_stream import read_transport_streams, write_transport_streams
+
+
+def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = F.octet_length(text)
+    padding = F.greatest(F.lit(64), F.ceil(size / 64) * 64) - size
+    docs = table(spark, sf_dir, "documents").select("doc_id", size.cast("long").alias("n_bytes"), F.concat(text, F.unhex(F.repeat(F.lit("00"), padding.cast("int")))).alias("payload"))
+    streams = write_transport_streams(docs, "payload", ["doc_id", "n_bytes"])
+    streams = streams.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read = read_transport_streams(streams, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    count = lambda c: F.size(c).cast("string")
+    feature = F.concat(
+        F.lit("programs="), count("programs"), F.lit(" streams="), count(F.flatten(F.transform("programs", lambda p: p["streams"]))), F.lit(" packets="), F.col("packets").cast("string"),
+        F.lit(" units="), count("units"), F.lit(" random_access="), count(F.filter("units", lambda u: u["random_access"])),
+        F.lit(" pts="), F.array_min(F.transform("units", lambda u: u["pts"])).cast("string"), F.lit("-"), F.array_max(F.transform("units", lambda u: u["pts"])).cast("string"),
+        F.lit(" errors="), (F.col("bad_packets") + F.col("crc_errors") + F.col("continuity_errors")).cast("string"),
+    )
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+    )
 
 
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_vocabulary)
+
+
+def _learnable(labels: DataFrame, folds: int, out: int) -> DataFrame:
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % folds != out)
+
+
+def _scored(docs: DataFrame, score: Column, folds: int, out: int) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
+    rows = docs.select("doc_id", held.alias("held_out"), score.alias("score"))
+    return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _learnable(table(spark, sf_dir, "labels"), 4, 2))
+    return _scored(docs, quality_column(model, F.col("text")), 4, 2)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality weights: 2 for documents labelled good, 0.5 for those labelled bad, else 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", _n_words(F.col("text")).alias("size"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
+    joined = docs.join(labels, F.col("doc_id") == F.col("label_id"), "left")
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    return mix_sources(joined, F.col("size"), weight)
+
+
+def _n_words(text: Column) -> Column:
+    """Number of runs of characters outside {0x20, 0x09-0x0D}."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    trimmed = F.trim(trimmed)
+    return F.when(trimmed == "", 0).otherwise(1 + F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))).cast("long")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _learnable(table(spark, sf_dir, "labels"), 3, 1))
+    return _scored(docs, toxicity_column(model, F.col("text")), 3, 1)
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,10 +116,50 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM a"""
 
 
+def _op9_sql() -> str:
+    m = MixSettings()
+    fills, last = "", "f0"
+    for k in range(1, m.fill_rounds + 1):
+        fills += f"""
+s{k} AS (SELECT source, max(budget) - sum(size * more) AS room FROM {last} GROUP BY 1),
+p{k} AS (SELECT doc_id AS pick, f.source AS pick_source FROM {last} f JOIN s{k} s ON f.source IS NOT DISTINCT FROM s.source
+  WHERE more = 0 AND size > 0 AND size <= room
+  QUALIFY row_number() OVER (PARTITION BY f.source ORDER BY size DESC, key, doc_id DESC) = 1),
+f{k} AS (SELECT f.* REPLACE (CASE WHEN pick IS NOT NULL THEN 1 ELSE more END AS more)
+  FROM {last} f LEFT JOIN p{k} p ON f.source IS NOT DISTINCT FROM pick_source AND f.doc_id = pick),"""
+        last = f"f{k}"
+    return rf"""
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+  -ln((('0x' || substr(md5('{m.seed}:' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+    / CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
+  FROM documents LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, ([{", ".join(f"{x}::DOUBLE" for x in m.weights)}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(m.weights)}] AS weight,
+  ({m.max_epochs} * source_size)::DOUBLE AS cap FROM s),
+l AS (SELECT *, row_number() OVER up AS place, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW up AS (ORDER BY cap / weight, source NULLS LAST)),
+v AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT source, source_size, round(least(cap, coalesce((SELECT level FROM v) * weight, cap)), 6) AS target FROM l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+f0 AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS budget,
+  CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - epochs * source_size THEN 1 ELSE 0 END AS more
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),{fills}
+r AS (SELECT * FROM {last})
+SELECT doc_id, source, size, source_size, target, (size * (epochs + more))::BIGINT AS taken FROM r"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_transport_streams": op1_transport_streams,
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op3_best_two_fit": op3_best_two_fit,
+    "op8_quality_gam": op8_quality_gam,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_repetition_coverage": _op2_sql(),
+    "op9_source_mixing": _op9_sql(),
 }

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.chat_render import CONTROL, format_conversations, read_back
 from granary.llm.common import table
 from granary.llm.gam import fit_quality, quality_column
+from granary.llm.license_index import TEMPLATES, WORD, scan_licenses
 from granary.llm.mixing import MixSettings, mix_sources
 from granary.llm.packing import pack_documents, public_vocabulary
+from granary.llm.partenum import jaccard_components
 from granary.llm.repetition import RepetitionRules, repetition_coverage
+from granary.llm.secret_ledger import RULES, scan
 from granary.llm.toxicity import fit_toxicity, toxicity_column
 from granary.llm.transport_stream import read_transport_streams, write_transport_streams
 
@@ -45,6 +49,41 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_vocabulary)
 
 
+def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    labels = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return findings.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_chat_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    read = read_back(format_conversations(rows.unionByName(own)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def _learnable(labels: DataFrame, folds: int, out: int) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % folds != out)
 
@@ -150,10 +189,88 @@ r AS (SELECT * FROM {last})
 SELECT doc_id, source, size, source_size, target, (size * (epochs + more))::BIGINT AS taken FROM r"""
 
 
+def _op4_sql() -> str:
+    each = []
+    for t in TEMPLATES:
+        at = lambda k: f"(CASE WHEN i + {k} >= 0 THEN ws[i + {k + 1}] END)"
+        first = next(iter(t.mandatory))
+        stands = " AND ".join(f"{at(k)} = '{w}'" for k, w in t.mandatory.items())
+        share = " + ".join(f"coalesce(({at(k)} = '{w}')::INT, 0)" for k, w in enumerate(t.words))
+        each.append(f"""
+SELECT doc_id, '{t.label}' AS label, {t.base} AS base, {t.share} AS least, i AS start, ({share}) / {len(t.words)}::DOUBLE AS share
+FROM (SELECT doc_id, ws, place - {first} AS i FROM p WHERE word = '{t.mandatory[first]}') WHERE {stands}""")
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM w),
+m AS ({" UNION ALL ".join(each)}),
+a AS (SELECT doc_id, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM m WHERE share >= least GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM w LEFT JOIN a USING (doc_id)"""
+
+
+def _op5_sql(words: int = 3, percent: int = 90) -> str:
+    gram = "[" + ", ".join(f"lead(w, {k}) OVER p" if k else "w" for k in range(words)) + "]"
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM t),
+g AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, i, n, {gram} AS gram FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE i <= n - {words - 1}
+  UNION ALL SELECT doc_id, ws AS gram FROM t WHERE len(ws) BETWEEN 1 AND {words - 1}),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
+  (SELECT count(*) FROM l WHERE l.a = r.doc_id) AS n_links
+FROM r LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
+
+
+def _op6_sql() -> str:
+    spans = []
+    for k, r in enumerate(RULES):
+        spans.append(rf"""
+SELECT doc_id, '{r.kind}' AS kind, {k} AS k, m, d, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start
+FROM (SELECT doc_id, found, gaps, generate_subscripts(found, 1) AS i, unnest(found) AS m, unnest(deciding) AS d
+  FROM (SELECT doc_id, regexp_extract_all(text, $${r.pattern}$$) AS found, string_split_regex(text, $${r.pattern}$$) AS gaps, regexp_extract_all(text, $${r.pattern}$$, {r.group}) AS deciding FROM d))
+WHERE length(d) >= {r.least}""")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(spans)}),
+f AS (SELECT doc_id, kind, k, start, kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT AS span FROM s),
+a AS (SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM f GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+def _op7_sql() -> str:
+    body = "replace(text, '\\', '\\\\')"
+    for token in CONTROL:
+        body = f"replace({body}, '{token}', '{token[0]}\\{token[1:]}')"
+    return rf"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(k)),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+b AS (SELECT *, {body} AS body FROM t),
+f AS (SELECT *, CASE role WHEN 'user' THEN '[INST] ' || body || ' [/INST]' WHEN 'assistant' THEN ' ' || body || '</s>' WHEN 'system' THEN '[SYS] ' || body || ' [/SYS]'
+  ELSE '[ROLE]' || {body.replace("replace(text,", "replace(role,")} || '[/ROLE] ' || body || ' [END]' END AS piece FROM b)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length(piece)))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_streams": op1_transport_streams,
     "op2_repetition_coverage": op2_repetition_coverage,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_license_index": op4_license_index,
+    "op5_partenum_join": op5_partenum_join,
+    "op6_secret_ledger": op6_secret_ledger,
+    "op7_chat_rendering": op7_chat_rendering,
     "op8_quality_gam": op8_quality_gam,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
@@ -161,5 +278,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_repetition_coverage": _op2_sql(),
+    "op4_license_index": _op4_sql(),
+    "op5_partenum_join": _op5_sql(),
+    "op6_secret_ledger": _op6_sql(),
+    "op7_chat_rendering": _op7_sql(),
     "op9_source_mixing": _op9_sql(),
 }

@@ -93,6 +93,12 @@ class Scan:
         raw = (self._word_sums[first + n] - self._word_sums[first]) * _powers(_inverse(_ROLL), len(self.words) + 1)[first]
         return first, mix64(raw + np.uint64(n))
 
+    def ngrams_of(self, first: int, n: int) -> np.ndarray:
+        """Hash of the n words from `first` on, as ngrams() has it."""
+        first = np.array([first])
+        raw = (self._word_sums[first + n] - self._word_sums[first]) * _powers(_inverse(_ROLL), len(self.words) + 1)[first]
+        return mix64(raw + np.uint64(n))
+
     @cached_property
     def chars(self) -> np.ndarray:
         """Code points of each word."""

@@ -84,7 +84,7 @@ def op7_chat_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _learnable(labels: DataFrame, folds: int, out: int) -> DataFrame:
+def learnable(labels: DataFrame, folds: int, out: int) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % folds != out)
 
 
@@ -96,20 +96,24 @@ def _scored(docs: DataFrame, score: Column, folds: int, out: int) -> DataFrame:
 
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_quality(docs, _learnable(table(spark, sf_dir, "labels"), 4, 2))
+    model = fit_quality(docs, learnable(table(spark, sf_dir, "labels"), 4, 2))
     return _scored(docs, quality_column(model, F.col("text")), 4, 2)
 
 
+def quality_weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
+    """docs with their label, and a weight: 2 for documents labelled good, 0.5 for those labelled bad, else 1."""
+    known = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("label_quality"))
+    joined = docs.join(known, F.col("doc_id") == F.col("label_id"), "left")
+    return joined, F.when(F.col("label_quality") == 1, 2.0).when(F.col("label_quality") == 0, 0.5).otherwise(1.0)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality weights: 2 for documents labelled good, 0.5 for those labelled bad, else 1."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", _n_words(F.col("text")).alias("size"))
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
-    joined = docs.join(labels, F.col("doc_id") == F.col("label_id"), "left")
-    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    return mix_sources(joined, F.col("size"), weight)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    weighted, weight = quality_weights(docs, table(spark, sf_dir, "labels"))
+    return mix_sources(weighted, F.col("size"), weight)
 
 
-def _n_words(text: Column) -> Column:
+def n_words(text: Column) -> Column:
     """Number of runs of characters outside {0x20, 0x09-0x0D}."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
     trimmed = F.trim(trimmed)
@@ -118,7 +122,7 @@ def _n_words(text: Column) -> Column:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_toxicity(docs, _learnable(table(spark, sf_dir, "labels"), 3, 1))
+    model = fit_toxicity(docs, learnable(table(spark, sf_dir, "labels"), 3, 1))
     return _scored(docs, toxicity_column(model, F.col("text")), 3, 1)
 
 

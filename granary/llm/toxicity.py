@@ -6,11 +6,12 @@ gram at the word's start or end), hashed into a fixed number of features; a feat
 text's distinct words that hold the gram. The log ratio of a feature's smoothed shares among toxic
 and other training texts scales it, and logistic regression with an L2 penalty is trained on the
 scaled features. As the model is linear, scoring adds up table entries over a text's grams, in
-numpy, for a whole batch of texts.
+numpy, for a whole batch of texts. A text is scored in windows of `window` words and has the score
+of its most toxic window, so a few toxic words weigh as much in a very long text as in a short one.
 
 The fit takes at most `max_rows_per_class` labelled texts of each class, those with the smallest
-hashes of their ids; the intercept is then moved to the classes' true shares among the labels. It
-runs on the driver, which gets those texts' hashed features and nothing else. Scoring covers every row.
+hashes of their ids, both classes weighing the same. It runs on the driver, which gets those texts'
+hashed features and nothing else. Scoring covers every row.
 
 Defined results: null text counts as empty; an empty text gets the score of the intercept. Null
 labels and labels of absent documents are passed over; an id labelled twice takes the larger label;
@@ -45,6 +46,7 @@ class ToxicitySettings:
     smoothing: float = 1.0
     penalty: float = 1.0
     steps: int = 60
+    window: int = 100
 
 
 def _separators() -> np.ndarray:
@@ -57,24 +59,31 @@ def _separators() -> np.ndarray:
 _SEPARATOR = _separators()
 
 
-def gram_features(texts: list[str], settings: ToxicitySettings) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and hashed feature of each gram of each distinct word, document by document."""
+def gram_features(texts: list[str], settings: ToxicitySettings, window: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, window number and hashed feature of each gram of each distinct word of each window.
+
+    Window numbers ascend over all texts; without a window each text is one.
+    """
     codes = np.frombuffer(("\n".join([*texts, ""]).lower() if texts else "\n").encode("utf-32-le", "replace"), "<u4")
     word = ~_SEPARATOR[np.minimum(codes, 0x2FFF)]
     line = np.cumsum(np.array([len(t.lower()) for t in texts], np.int64) + 1)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], word.astype(np.int8), [0]])))
     start, end = edge[::2], edge[1::2]
     doc = np.searchsorted(line, start, "right")
-    # a word's hash: its characters' values by place, summed; only the first of equal words in a document stays
+    unit = doc
+    if window and len(doc):
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        unit = np.cumsum(np.concatenate([[False], (place[1:] % window == 0)]))
+    # a word's hash: its characters' values by place, summed; only the first of equal words in a window stays
     size = end - start
     at = np.arange(len(codes)) - np.repeat(start, size)[np.cumsum(word) - 1] if len(start) else np.zeros(len(codes), np.int64)
     value = mix64(codes.astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)))
     value[~word] = 0
     sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
-    key = mix64(sums[end] - sums[start] + (doc.astype(np.uint64) << np.uint64(20)) + size.astype(np.uint64))
+    key = mix64(sums[end] - sums[start] + (unit.astype(np.uint64) << np.uint64(20)) + size.astype(np.uint64))
     first = np.sort(np.unique(key, return_index=True)[1])
-    start, end, doc, size = start[first], end[first], doc[first], size[first]
-    docs, grams = [], []
+    start, end, doc, unit, size = start[first], end[first], doc[first], unit[first], size[first]
+    docs, units, grams = [], [], []
     for n in settings.grams:
         count = np.maximum(size - n + 1, np.where(size > 0, 1, 0))  # a shorter word is one gram
         owner = np.repeat(np.arange(len(start)), count)
@@ -89,10 +98,11 @@ def gram_features(texts: list[str], settings: ToxicitySettings) -> tuple[np.ndar
             h = np.where(inside, h * _PRIME + codes[np.minimum(begin + k, len(codes) - 1)] + np.uint64(1), h)
         h = mix64(h * np.uint64(4) + (offset == 0).astype(np.uint64) + np.uint64(2) * (stop == end[owner]).astype(np.uint64))
         docs.append(doc[owner])
+        units.append(unit[owner])
         grams.append((h >> np.uint64(64 - settings.bits)).astype(np.int32))
     if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(docs), np.concatenate(grams)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(docs), np.concatenate(units), np.concatenate(grams)
 
 
 @dataclass
@@ -104,8 +114,14 @@ class ToxicityModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         margin = np.full(len(texts), self.intercept)
         if self.weights is not None:
-            doc, gram = gram_features(texts, self.settings)
-            margin += np.bincount(doc, self.weights[gram], len(texts))
+            doc, unit, gram = gram_features(texts, self.settings, self.settings.window)
+            if len(doc):
+                sums = np.bincount(unit, self.weights[gram])
+                owner = np.zeros(len(sums), np.int64)
+                owner[unit] = doc
+                best = np.full(len(texts), -np.inf)
+                np.maximum.at(best, owner, sums)
+                margin += np.where(np.isfinite(best), best, 0)
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
@@ -115,24 +131,25 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, settings: ToxicityS
     if not len(y) or y.min() == y.max():
         return ToxicityModel(logit(min(max(share, 0.01), 0.99)), None, settings)
     size = 1 << settings.bits
-    gram = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    counts = [np.bincount(gram[(y == c)[doc]], minlength=size) + settings.smoothing for c in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    scaled = ratio[gram]
+    held = [np.unique(r, return_counts=True) for r in rows]
+    gram, count = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]).astype(np.float32)
+    doc = np.repeat(np.arange(len(rows)), [len(g) for g, _ in held])
+    totals = [np.bincount(gram[mine], count[mine], size) + settings.smoothing for mine in ((y == 0)[doc], (y == 1)[doc])]
+    ratio = np.log(totals[1] / totals[1].sum()) - np.log(totals[0] / totals[0].sum())
+    scaled = (ratio[gram] * count).astype(np.float32)
+    sample_weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(size), 0.0
     # Adam over all rows at once; the sample is bounded, so is each step
     m, v, mb, vb, rate = np.zeros(size), np.zeros(size), 0.0, 0.0, 0.02
     for t in range(1, settings.steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[gram] * scaled, len(y)) + bias, -30, 30)))
-        err = (p - y) / len(y)
+        err = ((p - y) * sample_weight).astype(np.float32)
         g = np.bincount(gram, err[doc] * scaled, size) + settings.penalty / len(y) * w
         gb = float(err.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    shift = logit(min(max(share, 1e-3), 1 - 1e-3)) - logit(float(y.mean()))
-    return ToxicityModel(bias + shift, (w * ratio).astype(np.float32), settings)
+    return ToxicityModel(bias, (w * ratio).astype(np.float32), settings)
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -161,7 +178,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", _PIECE):
-            doc, gram = gram_features(_texts(piece.column("text")), settings)
+            doc, _, gram = gram_features(_texts(piece.column("text")), settings)
             order = np.argsort(doc, kind="stable")
             counts = np.bincount(doc, minlength=piece.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(gram[order], pa.int32()))

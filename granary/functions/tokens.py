@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,10 +45,10 @@ def sentencepiece_text(ids: Column, model: Callable[[], str]) -> Column:
     return _iterated(run, "string")(ids)
 
 
-def _iterated(f, kind: str):
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return F.pandas_udf(f, kind, PandasUDFType.SCALAR_ITER)
+def _iterated(f: Callable, kind: str):
+    """An iterator UDF: its set-up is done once for all batches of a task."""
+    f.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(f, kind)
 
 
 def wrap(ids: Column) -> Column:

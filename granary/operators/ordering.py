@@ -75,8 +75,8 @@ def sequential_bounds(total: int, extra: int, ratios: tuple[float, float, float]
     extra = min(extra, total - allocated)
     if allocated + extra > total:
         raise ValueError("the parts exceed the rows")
-    ends = [train, train + second, allocated, allocated + extra]
-    return tuple(max(0, e) for e in ends)
+    first = max(0, train)
+    return first, first + second, first + second + third, first + second + third + extra
 
 
 def sequential_split(df: DataFrame, total: int, extra: int = 10_000, names: tuple[str, ...] = ("train", "second", "third", "extra")) -> DataFrame:

@@ -58,7 +58,7 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(text: Column) -> Column:
-    return F.concat(text, F.when(F.col("doc_id") % 7 == 0, F.lit("‮‏")).otherwise(F.lit("")))
+    return F.concat(text, F.when(F.col("doc_id") % 7 == 0, F.lit("\u202e\u200f")).otherwise(F.lit("")))
 
 
 _MARKED = "text || CASE WHEN doc_id % 7 = 0 THEN chr(8238) || chr(8207) ELSE '' END"
@@ -75,7 +75,7 @@ def bidi_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_deep_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    mark = F.when(F.col("event_id") % 2 == 0, F.lit("⁦")).otherwise(F.lit(""))
+    mark = F.when(F.col("event_id") % 2 == 0, F.lit("\u2066")).otherwise(F.lit(""))
     line = F.concat(F.lit('{"x": ["a '), mark, F.lit('b", 1], "k": '), F.col("props"), F.lit("}"))
     return events.select("event_id", X.canonical_json_exact(line).alias("r")).select("event_id", "r.value", "r.cleaned")
 
@@ -92,14 +92,14 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE regexp_replace(line, '{_SPACE}+', '', 'g') <> ''"""
 )
 def blank_line_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.col("text"), F.lit("\n  \n end"))
+    text = F.concat(F.col("text"), F.lit("\n\u00a0 \n\u2003end"))
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
     return lines.where(~X.is_blank(F.col("line"))).select("doc_id", (F.col("i") + 1).alias("line_no"), F.md5(X.lstrip(F.col("line"))).alias("line_md5"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 5
-    line = F.when(k == 0, F.lit("  ")).when(k == 1, F.lit('{"a":')).when(k == 2, F.lit("null")).otherwise(F.col("props"))
+    line = F.when(k == 0, F.lit(" \u00a0")).when(k == 1, F.lit('{"a":')).when(k == 2, F.lit("null")).otherwise(F.col("props"))
     return read(spark, sf_dir, "events").select(F.col("event_type").alias("file"), line.alias("line"))
 
 

@@ -270,7 +270,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         signature = signature[order]
         same = signature[1:] == signature[:-1]
         multiple = np.zeros(len(signature), bool)
-        multiple[1:], multiple[:-1] = same, multiple[:-1] | same
+        multiple[1:] |= same
+        multiple[:-1] |= same
         signature, nodes = signature[multiple], nodes[order[multiple]].view(np.int64)
         order = np.lexsort((nodes[:, 1], nodes[:, 0], signature))
         signature, nodes = signature[order], nodes[order]

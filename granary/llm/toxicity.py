@@ -44,9 +44,9 @@ class ToxicitySettings:
     grams: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     smoothing: float = 1.0
-    penalty: float = 1.0
+    penalty: float = 30.0
     steps: int = 60
-    window: int = 100
+    window: int = 300
 
 
 def _separators() -> np.ndarray:

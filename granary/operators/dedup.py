@@ -99,13 +99,33 @@ def resolve_greedily(nodes: DataFrame, pairs: DataFrame, id_col: str = "doc_id")
     return nodes.select(id_col).join(dropped, id_col, "left_anti")
 
 
+def resolve_buckets(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Dropped ids: what resolve_greedily drops when all members of a band's bucket are near each other.
+
+    No pairs are listed. Of each bucket two numbers are aggregated (map-side first): its least
+    member that isn't dropped, and its least kept one. A member that is the least in all its buckets
+    is kept; one that has a lower kept one in any bucket is dropped.
+    """
+    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
+    members = materialized(banded.join(shared, ["band", "key"], "left_semi").select(F.col(id_col).alias("id"), "band", "key"))
+    states = materialized(members.select("id").distinct().withColumn("state", F.lit("U")))
+    while not states.where("state = 'U'").isEmpty():
+        standing = F.min(F.when(F.col("state") != "D", F.col("id"))).alias("standing")
+        kept = F.min(F.when(F.col("state") == "K", F.col("id"))).alias("kept")
+        lows = members.join(states, "id").groupBy("band", "key").agg(standing, kept)
+        around = members.join(lows, ["band", "key"]).groupBy("id").agg(F.max(F.coalesce(F.col("kept") < F.col("id"), F.lit(False))).alias("hit"), F.min(F.coalesce(F.col("standing") == F.col("id"), F.lit(True))).alias("free"))
+        decided = F.when(F.col("state") != "U", F.col("state")).when(F.col("hit"), "D").when(F.col("free"), "K").otherwise("U")
+        states = materialized(states.join(around, "id").select("id", decided.alias("state")))
+    return states.where("state = 'D'").select(F.col("id").alias(id_col))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
     """Kept ids. Equal word sets fall together first, which is exact (their sketches are equal) and
     takes copies and blank texts out of the bands."""
     sets = materialized(word_hashes(df, id_col, text_col))
     firsts = sets.groupBy(F.md5(F.array_join(F.col("hashes").cast("array<string>"), ",")).alias("h")).agg(F.min(id_col).alias(id_col)).select(id_col)
     unique = sets.join(firsts, id_col, "left_semi")
-    return resolve_greedily(firsts, near_pairs(bands(signatures(unique, id_col, seed), id_col), id_col), id_col)
+    return firsts.join(resolve_buckets(bands(signatures(unique, id_col, seed), id_col), id_col), id_col, "left_anti")
 
 
 def semi_join(df: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

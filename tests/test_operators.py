@@ -84,6 +84,16 @@ def test_greedy_equals_the_loop_on_random_graphs(spark):
         assert sorted(r.doc_id for r in got.collect()) == kept
 
 
+def test_buckets_resolve_like_their_pairs(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        banded = spark.createDataFrame(list({(rng.randrange(40), b, str(rng.randrange(25))) for b in range(3) for _ in range(30)}), "doc_id long, band int, key string")
+        nodes = banded.select("doc_id").distinct()
+        by_pairs = dedup.resolve_greedily(nodes, dedup.near_pairs(banded))
+        by_buckets = nodes.join(dedup.resolve_buckets(banded), "doc_id", "left_anti")
+        assert sorted(r.doc_id for r in by_pairs.collect()) == sorted(r.doc_id for r in by_buckets.collect())
+
+
 def test_near_dedup_of_blank_null_and_repeated_texts(spark):
     rows = [(1, None), (2, " "), (3, "a b c"), (4, "c b a"), (5, "x y z"), (6, "")]
     assert sorted(r.doc_id for r in dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3, 5]

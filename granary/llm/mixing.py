@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from granary.llm.common import checkpointed
 
 
+#: Tasks over which the rows of one source are spread where they meet its sums.
+_SALTS = 64
+
+
 @dataclass(frozen=True)
 class MixSettings:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  # of the sources in order, repeating
@@ -105,12 +109,18 @@ def _with_plan(ranges: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _filled(rows: DataFrame) -> DataFrame:
-    """Each source takes one more document: the largest that its budget still has room for."""
+    """Each source takes one more document: the largest that its budget still has room for.
+
+    What is known of a source meets its rows under several salts, so a source with very many rows is
+    spread over as many tasks; sums and picks are aggregated map-side.
+    """
+    salted = rows.withColumn("salt", F.pmod("row", F.lit(_SALTS)))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("fill_salt")
     taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("more")).alias("got"), F.max("budget").alias("room"))
     taken = checkpointed(taken.select(F.col("source").alias("fill_source"), (F.col("room") - F.col("got")).alias("room")))
-    same = F.col("source").eqNullSafe(F.col("fill_source"))
-    best = rows.join(taken, same).where((F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
-    best = best.groupBy("fill_source").agg(F.max_by("row", F.struct("size", -F.col("key"), "id", "row")).alias("pick"))
-    joined = rows.join(best, same, "left")
+    same = F.col("source").eqNullSafe(F.col("fill_source")) & (F.col("salt") == F.col("fill_salt"))
+    open_rows = salted.where((F.col("more") == 0) & (F.col("size") > 0)).join(taken.select("*", each), same).where(F.col("size") <= F.col("room"))
+    best = checkpointed(open_rows.groupBy("fill_source").agg(F.max_by("row", F.struct("size", -F.col("key"), "id", "row")).alias("pick")))
+    joined = salted.join(best.select("*", each), same, "left")
     hit = F.coalesce(F.col("row") == F.col("pick"), F.lit(False))
-    return joined.withColumn("more", F.when(hit, 1).otherwise(F.col("more"))).drop("fill_source", "pick")
+    return joined.withColumn("more", F.when(hit, 1).otherwise(F.col("more"))).drop("fill_source", "fill_salt", "pick", "salt")

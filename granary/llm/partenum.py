@@ -13,8 +13,8 @@ sets link when 100 * |A and B| >= percent * |A or B|. The join is exact, in thes
    a signature leaves those out, and still shares another one with each partner.
 3. Signatures are dealt into buckets as packed arrays, and nodes that share one are joined to the
    least of them. The components of that candidate graph hold all links; no pairs are listed.
-4. Candidates' sets are gathered by component, in blocks of bounded size (a large component is
-   compared block by block), and each block verifies its pairs exactly in numpy, rarest features
+4. Candidates' sets are gathered by component, in blocks of a bounded number of features in the order of set sizes
+   (in a large component each block meets the blocks of near sizes), and each task verifies its pairs exactly in numpy, rarest features
    first. It returns for each node its number of partners and a link to a local root.
 5. Components over the verified links; a component's id is its least document id.
 
@@ -35,9 +35,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, encoded, mix64, pieces
+from granary.llm.common import checkpointed, encoded, mix64, pieces, release
 from granary.llm.components import components
 from granary.llm.textscan import Scan
 
@@ -55,7 +56,7 @@ class JoinSettings:
     spoiled: int = 1  # of them left out in a signature
     spare: float = 0.0  # further first-level parts, as a share
     few: int = 0  # signatures over fewer features are left out where spare parts allow
-    block: int = 2048  # nodes compared in one task
+    block: int = 1 << 20  # features of a block; a task compares two blocks at most
     bucket: int = 1 << 20  # signatures in one task
 
 
@@ -184,8 +185,9 @@ def verified(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> t
         if not len(found):
             continue
         mark[token[start[x] : end[x]]] = True
-        for k in range(0, len(found), 256):
-            some = found[k : k + 256]
+        step = max(1, (1 << 18) // int(n[found].max()))  # sets looked up at a time
+        for k in range(0, len(found), step):
+            some = found[k : k + step]
             m = n[some]
             ends = np.cumsum(m)
             inner = np.arange(ends[-1]) + np.repeat(start[some] - (ends - m), m)
@@ -216,6 +218,12 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
+def _named(nodes: bytes, places: bytes) -> np.ndarray:
+    """The node of each place in a packed row; places take two bytes where that is enough."""
+    table = np.frombuffer(nodes, np.uint64).reshape(-1, 2)
+    return table[np.frombuffer(places, np.uint16 if len(table) <= 1 << 16 else np.uint32)]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -258,14 +266,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
                 if hi > lo:
                     named, place = np.unique(node[lo:hi], return_inverse=True)
-                    rows.append((int(bucket[lo]), signature[lo:hi].tobytes(), place.astype(np.uint32).tobytes(), np.stack([a[named], b[named]], axis=1).tobytes()))
+                    rows.append((int(bucket[lo]), signature[lo:hi].tobytes(), place.astype(np.uint16 if len(named) <= 1 << 16 else np.uint32).tobytes(), np.stack([a[named], b[named]], axis=1).tobytes()))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "signatures", "places", "nodes"])
 
     def meet(group: pa.Table) -> pa.Table:
         signature = np.concatenate([np.frombuffer(x, np.uint64) for x in group["signatures"].to_pylist()])
-        nodes = np.concatenate([np.frombuffer(n, np.uint64).reshape(-1, 2)[np.frombuffer(p, np.uint32)] for n, p in zip(group["nodes"].to_pylist(), group["places"].to_pylist(), strict=True)])
+        nodes = np.concatenate([_named(n, p) for n, p in zip(group["nodes"].to_pylist(), group["places"].to_pylist(), strict=True)])
         order = np.argsort(signature)
         signature = signature[order]
         same = signature[1:] == signature[:-1]
@@ -285,6 +293,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = texts.mapInArrow(sign, "bucket long, signatures binary, places binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long, c long, d long")
     candidates = components(near.select(_node().alias("u"), _node("c", "d").alias("v")))
     candidates = checkpointed(candidates)
+    del near
+    release(df.sparkSession)
 
     # a table of fixed size tells the next pass which sets to bring; a false alarm is dropped by the join after it
     bits = candidates.select(F.col("node.a").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("bit"))
@@ -306,21 +316,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             blobs = pa.array([features[ends[i] - sizes[i] : ends[i]].tobytes() for i in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([_signed(a[rows]), _signed(b[rows]), blobs], names=["a", "b", "features"])
 
-    classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    classes = checkpointed(classes.select(_node().alias("node"), "least", "copies"))
-    groups = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
-    placed = candidates.join(groups, "component").join(classes.select("node", "copies"), "node")
-    placed = placed.withColumn("blocks", F.ceil(F.col("nodes") / settings.block))
-    sets = texts.mapInArrow(bring, "a long, b long, features binary").groupBy("a", "b").agg(F.first("features").alias("features"))
-    placed = placed.join(sets.select(_node().alias("node"), "features"), "node")
-    tasks = max(1, -(-candidates.count() // settings.block))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.struct(F.least("own", "other"), F.greatest("own", "other"))
-    placed = placed.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", pair)).alias("task"),
-        F.xxhash64("component", pair).alias("part"), (F.col("own") == F.col("other")).alias("inner"), "own", "copies", F.col("node.a").alias("a"), F.col("node.b").alias("b"), "features",
+    classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    classes = checkpointed(classes.select(_node().alias("node"), "least", "copies", "n"))
+    # a component's nodes are put into blocks in the order of their sizes, those of one size by hash;
+    # only blocks whose sizes are near enough for a link meet
+    placed = candidates.join(classes.select("node", "copies", "n"), "node")
+    by_size = W.partitionBy("component").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("component", "n").agg(F.count(F.lit(1)).alias("same")).withColumn("before", F.coalesce(F.sum(F.col("same") * F.col("n")).over(by_size), F.lit(0)))
+    placed = placed.join(sizes, ["component", "n"]).withColumn("own", F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("same")) * F.col("n")) / settings.block))
+    placed = checkpointed(placed.select("component", "node", "copies", "n", "own"))
+    blocks = placed.groupBy("component", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    lower, upper = blocks.select("component", F.col("own").alias("i"), "high"), blocks.select("component", F.col("own").alias("j"), "low")
+    meeting = lower.join(upper, "component").where((F.col("i") <= F.col("j")) & (settings.percent * F.col("low") <= 100 * F.col("high"))).select("component", "i", "j")
+    sides = meeting.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
+    tasks = max(1, -(-placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // settings.block))
+    placed = placed.join(sides, ["component", "own"]).select(
+        F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "i", "j")).alias("task"),
+        F.xxhash64("component", "i", "j").alias("part"), (F.col("i") == F.col("j")).alias("inner"), "own", "copies", F.col("node.a").alias("a"), F.col("node.b").alias("b"),
     )
+    sets = texts.mapInArrow(bring, "a long, b long, features binary").groupBy("a", "b").agg(F.first("features").alias("features"))
+    placed = sets.join(placed, ["a", "b"]).select("task", "part", "inner", "own", "copies", "a", "b", "features")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.select(["part", "inner", "own", "copies", "a", "b"]).to_pandas()
@@ -341,6 +356,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # a block against another one holds each node of both once; a block of its own is compared in its own task
     found = checkpointed(placed.groupBy("task").applyInArrow(compare, "a long, b long, c long, d long, links long"))
+    del placed, sets
+    release(df.sparkSession)
     links = found.groupBy(_node().alias("node")).agg(F.sum("links").alias("links"))
     linked = components(found.select(_node().alias("u"), _node("c", "d").alias("v")))
     named = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -49,23 +49,23 @@ def test_near_duplicates(stages):
     assert len(after) < len(before)
 
 
-def test_secrets(stages):
+def test_secrets(spark, sf, stages):
     before, after, _ = stages["secrets"]
     texts = {r.doc_id: r for r in after}
     assert len(texts) == len(before)
-    changed = 0
     for r in before:
         found = any(len(m[x.group]) >= x.least for x in RULES for m in re.finditer(x.pattern, r.text, re.ASCII))
         assert (texts[r.doc_id].text != r.text) == found and texts[r.doc_id].n_chars == len(texts[r.doc_id].text)
-        changed += found
-    assert changed > 0
+    rows = [(1, "a password = hunter22 b", "en", "s", 1), (2, "clean", None, None, 5), (3, None, "en", "s", None)]
+    masked = cp.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in masked.collect()) == [(1, "a [secret] b", 12), (2, "clean", 5), (3, None, None)]
 
 
 def test_mixing_and_packing(stages):
     before, after, _ = stages["mixing"]
     words = lambda rows: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows)
     assert {r.doc_id for r in after} <= {r.doc_id for r in before}
-    assert words(after) == pytest.approx(words(before), rel=0.02)
+    assert 0.9 * words(before) <= words(after) <= words(before)  # whole documents, about eight a source here
     copies = {}
     for r in after:
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1

@@ -6,7 +6,9 @@ A source takes as many complete epochs as fit its target. The rest of its budget
 sample without replacement: each document draws an exponential key scaled by its quality weight,
 -ln(u) / weight, with u from a hash of the id; documents come in the order of their keys, and the
 prefix sum of their sizes goes up to the budget. The document that crosses it is left out; then,
-twice, the largest document that still fits is added.
+twice, the largest document that still fits is added. What fits after that is taken in the order of
+keys, again up to the document that crosses what is left, in as many rounds as it takes until no
+source has a document left that fits. (`whole=False` ends after the two; op9's SQL does so.)
 
 The prefix sum never sorts a source in one task. Keys are dealt over a fixed number of ranges;
 sizes are summed by source and range (map-side first), a running sum over those few rows finds the
@@ -22,6 +24,7 @@ other than the id, source, text and weight are left behind, so their names can't
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,6 +44,7 @@ class MixSettings:
     ranges: int = 4096
     fill_rounds: int = 2
     seed: str = "mix"
+    whole: bool = True  # after the fills, on in the order of keys until nothing that is left fits
 
 
 def targets(sizes: DataFrame, settings: MixSettings) -> DataFrame:
@@ -85,21 +89,14 @@ def mix_sources(
     plan = targets(sizes, settings)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    by_source = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(by_source), F.lit(0)))
-    ranges = _with_plan(ranges, plan).select("source", "range", "before", "range_size", "budget", "epochs", "target", "source_size")
+    ranges = _with_plan(_running(ranges), plan).select("source", "range", "before", "range_size", "budget", "epochs", "target", "source_size")
     # one row a source and range, at most `ranges` for each source
     docs = docs.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-    docs = docs.select("row", "id", "d.source", "size", "key", "d.range", "before", "budget", "epochs", "target", "source_size", (F.col("before") + F.col("range_size") <= F.col("budget")).alias("whole"))
-    edge = docs.where(~F.col("whole") & (F.col("before") <= F.col("budget")))
-    inside = W.partitionBy("source", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "row")
-    edge = edge.withColumn("place", F.row_number().over(inside)).withColumn("upto", F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    columns = ["row", "id", "source", "size", "key", "epochs", "target", "source_size", "budget", "more", "upto"]
-    edge = edge.withColumn("more", (F.col("upto") <= F.col("budget")).cast("long")).select(*columns)
-    rest = docs.where(F.col("whole") | (F.col("before") > F.col("budget"))).withColumns({"more": F.col("whole").cast("long"), "upto": F.lit(None).cast("long")}).select(*columns)
-    out = edge.unionByName(rest)
+    out = _in_order(docs.select("row", "id", "d.source", "size", "key", "d.range", "before", "range_size", "budget", "epochs", "target", "source_size"))
     for _ in range(settings.fill_rounds):
         out = _filled(out)
+    if settings.whole:
+        out = _completed(out)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
 
 
@@ -108,6 +105,64 @@ def _with_plan(ranges: DataFrame, plan: DataFrame) -> DataFrame:
     return ranges.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
+def _running(ranges: DataFrame) -> DataFrame:
+    """Adds to rows of (source, range, range_size) what the source's earlier ranges hold."""
+    by_source = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    return ranges.withColumn("before", F.coalesce(F.sum("range_size").over(by_source), F.lit(0)))
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """Adds `more`, 1 for the documents of a source whose prefix sum is within its budget; before and range_size go."""
+    columns = [c for c in docs.columns if c not in ("before", "range_size")]
+    docs = docs.withColumn("whole", F.col("before") + F.col("range_size") <= F.col("budget"))
+    edge = docs.where(~F.col("whole") & (F.col("before") <= F.col("budget")))
+    inside = W.partitionBy("source", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "row")
+    upto = F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    edge = edge.select(*columns, (upto <= F.col("budget")).cast("long").alias("more"))
+    rest = docs.where(F.col("whole") | (F.col("before") > F.col("budget"))).select(*columns, F.col("whole").cast("long").alias("more"))
+    return edge.unionByName(rest)
+
+
+def _rooms(rows: DataFrame) -> DataFrame:
+    """What the documents taken so far leave of each source's budget."""
+    taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("more")).alias("got"), F.max("budget").alias("room"))
+    return taken.select(F.col("source").alias("fill_source"), (F.col("room") - F.col("got")).alias("room"))
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("fill_salt")
+
+
+def _same() -> Column:
+    return F.col("source").eqNullSafe(F.col("fill_source")) & (F.col("salt") == F.col("fill_salt"))
+
+
+def _completed(rows: DataFrame) -> DataFrame:
+    """Documents that still fit are taken in the order of keys, until no source has one left.
+
+    Each round takes at least the first document that fits, and the one that crosses the room fits no
+    more, so a round goes on behind it; only documents that fit go into the next round.
+    """
+    rows = checkpointed(rows)
+    columns = ["row", "id", "source", "size", "key", "range"]
+    left, rooms, picks = rows.where((F.col("more") == 0) & (F.col("size") > 0)).select(*columns), _rooms(rows), []
+    while True:
+        salted = left.withColumn("salt", F.pmod("row", F.lit(_SALTS)))
+        fits = salted.join(rooms.select("*", _every_salt()), _same()).where(F.col("size") <= F.col("room"))
+        fits = checkpointed(fits.select(*columns, F.col("room").alias("budget")))
+        if fits.isEmpty():
+            break
+        ranges = _running(fits.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
+        docs = fits.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
+        got = checkpointed(_in_order(docs.select("row", "id", "d.source", "size", "key", "d.range", "before", "range_size", "budget")))
+        picks.append(got.where("more = 1").select(F.col("row").alias("pick")))
+        left, rooms = got.where("more = 0").select(*columns), _rooms(got)
+    if not picks:
+        return rows
+    joined = rows.join(reduce(DataFrame.unionByName, picks), F.col("row") == F.col("pick"), "left")
+    return joined.withColumn("more", F.when(F.col("pick").isNotNull(), 1).otherwise(F.col("more"))).drop("pick")
+
+
 def _filled(rows: DataFrame) -> DataFrame:
     """Each source takes one more document: the largest that its budget still has room for.
 
@@ -115,12 +170,9 @@ def _filled(rows: DataFrame) -> DataFrame:
     spread over as many tasks; sums and picks are aggregated map-side.
     """
     salted = rows.withColumn("salt", F.pmod("row", F.lit(_SALTS)))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("fill_salt")
-    taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("more")).alias("got"), F.max("budget").alias("room"))
-    taken = checkpointed(taken.select(F.col("source").alias("fill_source"), (F.col("room") - F.col("got")).alias("room")))
-    same = F.col("source").eqNullSafe(F.col("fill_source")) & (F.col("salt") == F.col("fill_salt"))
-    open_rows = salted.where((F.col("more") == 0) & (F.col("size") > 0)).join(taken.select("*", each), same).where(F.col("size") <= F.col("room"))
+    taken = checkpointed(_rooms(rows))
+    open_rows = salted.where((F.col("more") == 0) & (F.col("size") > 0)).join(taken.select("*", _every_salt()), _same()).where(F.col("size") <= F.col("room"))
     best = checkpointed(open_rows.groupBy("fill_source").agg(F.max_by("row", F.struct("size", -F.col("key"), "id", "row")).alias("pick")))
-    joined = salted.join(best.select("*", each), same, "left")
+    joined = salted.join(best.select("*", _every_salt()), _same(), "left")
     hit = F.coalesce(F.col("row") == F.col("pick"), F.lit(False))
     return joined.withColumn("more", F.when(hit, 1).otherwise(F.col("more"))).drop("fill_source", "fill_salt", "pick", "salt")

@@ -110,7 +110,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Colu
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     weighted, weight = quality_weights(docs, table(spark, sf_dir, "labels"))
-    return mix_sources(weighted, F.col("size"), weight)
+    return mix_sources(weighted, F.col("size"), weight, settings=MixSettings(whole=False))  # its SQL ends after two fills
 
 
 def n_words(text: Column) -> Column:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 import pytest
@@ -71,6 +73,45 @@ def test_better_documents_are_taken_more_often(spark):
     assert 0.68 < good < 0.82  # half of the documents, with weights 4 to 1
 
 
+def in_order(rows, budget):
+    """Prefix in the order of keys, the two largest that fit, then whatever fits in that order; rows are (key, id, size)."""
+    rows, taken, room = sorted(rows), set(), budget
+    for _, i, size in rows:
+        if size > room:
+            break
+        taken.add(i)
+        room -= size
+    for _ in range(2):
+        if fit := [(size, -key, i) for key, i, size in rows if i not in taken and 0 < size <= room]:
+            taken.add(max(fit)[2])
+            room -= max(fit)[0]
+    for _, i, size in rows:
+        if i not in taken and 0 < size <= room:
+            taken.add(i)
+            room -= size
+    return taken
+
+
+def test_nothing_that_is_left_fits(spark):
+    rng = random.Random(4)
+    # of "a" a long document comes early and shuts out the short ones behind it
+    sizes = [(f"a{k}", "a", 10) for k in range(1000)] + [(f"b{k}", "b", int(2 ** rng.uniform(0, 9))) for k in range(400)] + [(f"n{k}", None, rng.randrange(1, 90)) for k in range(200)]
+    key = lambda i: -math.log((int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+    early = next(f"x{k}" for k in range(10_000) if key(f"x{k}") < 0.02)
+    sizes.append((early, "a", 20_000))
+    df = spark.createDataFrame(sizes, "doc_id string, source string, size long")
+    for ranges in (4096, 3):
+        got = mix_sources(df, F.col("size"), settings=MixSettings(weights=(1.0, 9.0, 1.0), ranges=ranges)).collect()
+        for source in ("a", "b", None):
+            mine = [r for r in got if r.source == source]
+            epochs = int(mine[0].target // mine[0].source_size)
+            budget = mine[0].target - epochs * mine[0].source_size
+            taken = {r.doc_id for r in mine if r.taken > epochs * r.size}
+            assert taken == in_order([(key(r.doc_id), r.doc_id, r.size) for r in mine], budget)
+            room = budget - sum(r.size for r in mine if r.doc_id in taken)
+            assert room >= 0 and all(r.size > room for r in mine if r.doc_id not in taken)
+
+
 def test_ties_repeats_and_odd_weights(spark):
     rows = [(1, "a", 5)] * 30 + [(None, "a", 5)] * 10 + [(2, "b", 40)] * 3
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")

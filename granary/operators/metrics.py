@@ -39,7 +39,7 @@ def running_best(df: DataFrame, order: list[str], value: str, group: list[str],
     return df.withColumn("best_before", best).withColumn("improved", F.col("best_before").isNull() | better)
 
 
-def one_cycle(step: Column, total: int, top: float, share: float = 0.3, start_divisor: float = 25.0, end_divisor: float = 1e4) -> Column:
+def one_cycle(step: Column, total: int | Column, top: float, share: float = 0.3, start_divisor: float = 25.0, end_divisor: float = 1e4) -> Column:
     """Learning rate by cosine steps: up to `top` over the first share of the steps, then down."""
     turn = share * total - 1
     cosine = lambda a, b, x: b + (a - b) / 2 * (1 + F.cos(F.lit(math.pi) * x))

@@ -479,6 +479,18 @@ def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where("event_id < 1000").select("event_id", F.round(metrics.one_cycle(F.col("event_id"), 1000, 0.001), 9).alias("rate"))
 
 
+@query(
+    """SELECT event_id, round(CASE WHEN event_id <= turn THEN 0.001 + (0.00004 - 0.001) / 2 * (1 + cos(pi() * event_id / turn))
+ELSE 0.000000004::DOUBLE + (0.001 - 0.000000004::DOUBLE) / 2 * (1 + cos(pi() * (event_id - turn) / (total - 1 - turn))) END, 9)::DOUBLE AS rate
+FROM events, (SELECT max(event_id) + 1 AS total, 0.3::DOUBLE * (max(event_id) + 1) - 1 AS turn FROM events)"""
+)
+def learning_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule over all events: its total is the largest step plus one."""
+    events = read(spark, sf_dir, "events").select("event_id")
+    rows = events.crossJoin(F.broadcast(events.agg((F.max("event_id") + 1).alias("total"))))  # one row
+    return rows.select("event_id", F.round(metrics.one_cycle(F.col("event_id"), F.col("total"), 0.001), 9).alias("rate"))
+
+
 # ---- sampling
 
 

@@ -88,3 +88,12 @@ def chat_ids(messages: Column, encode: Callable[[Column], Column]) -> tuple[Colu
     ids = F.concat(F.array(F.lit(BOS)), F.flatten(F.transform(segments, lambda s: s["ids"])))
     mask = F.concat(F.array(F.lit(0)), F.flatten(F.transform(segments, lambda s: F.array_repeat(s["on"], F.size(s["ids"])))))
     return ids, mask
+
+
+def chat_training_arrays(ids: Column, mask: Column, block: int) -> tuple[Column, Column, Column]:
+    """Inputs, next-token targets and the targets' loss mask of `block` each, padded.
+
+    An array that fits the block gives up its last id as an input, a longer one doesn't.
+    """
+    inputs = F.slice(ids, 1, F.least(F.size(ids) - 1, F.lit(block)))
+    return pad_to(inputs, block), pad_to(F.slice(ids, 2, block), block), pad_to(F.slice(mask, 2, block), block, 0)

@@ -412,6 +412,24 @@ def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH m AS (SELECT conv_id, turn, role, list_concat([CASE role WHEN 'user' THEN {K.USER} ELSE {K.BOT} END], {_ids_sql("text")}, [{K.EOS}]) AS ids FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (SELECT conv_id, list_concat([{K.BOS}], flatten(list(ids ORDER BY turn))) AS ids, list_concat([0], flatten(list([(role = 'assistant')::INT for i in ids] ORDER BY turn))) AS mask FROM m GROUP BY 1),
+p AS (SELECT conv_id, ids[1:least(len(ids) - 1, 128)] AS x, ids[2:129] AS y, mask[2:129] AS k FROM c)
+SELECT conv_id, md5(array_to_string(list_concat(x, [{K.PAD} for i in range(128 - len(x))]), ',')) AS input_md5, md5(array_to_string(list_concat(y, [{K.PAD} for i in range(128 - len(y))]), ',')) AS target_md5,
+coalesce(list_sum(k), 0)::INT AS n_loss, md5(array_to_string(list_concat(k, [0 for i in range(128 - len(k))]), ',')) AS mask_md5 FROM p"""
+)
+def chat_training_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = chat.nest(read(spark, sf_dir, "conversations"))
+    ids, mask = K.chat_ids(F.col("messages"), K.hashed_words)
+    rows = nested.select("conv_id", ids.alias("ids"), mask.alias("mask")).where(F.size("ids") > 1)
+    x, y, k = K.chat_training_arrays(F.col("ids"), F.col("mask"), 128)
+    return rows.select(
+        "conv_id", F.md5(_joined(x)).alias("input_md5"), F.md5(_joined(y)).alias("target_md5"),
+        F.aggregate(k, F.lit(0), lambda a, b: a + b).alias("n_loss"), F.md5(_joined(k)).alias("mask_md5"),
+    )
+
+
 @query(
     f"""WITH t AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch, list_concat({_ids_sql("text")}[1:8], [{K.PAD} for i in range(8 - len({_ids_sql("text")}[1:8]))]) AS ids FROM documents)
 SELECT batch, count(*)::INT AS n_rows, md5(string_agg(array_to_string(ids, ','), ';' ORDER BY doc_id)) AS ids_md5 FROM t GROUP BY 1"""

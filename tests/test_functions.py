@@ -93,6 +93,13 @@ def test_chat_ids_and_mask(spark):
     assert row.k == [0, 0, 0, 0, 0, 1, 1, 1]
 
 
+def test_chat_training_arrays_at_the_block_length(spark):
+    for n, inputs, targets, mask in ((3, [0, 1, 3, 3], [1, 2, 3, 3], [1, 0, 0, 0]), (4, [0, 1, 2, 3], [1, 2, 3, 3], [1, 0, 1, 0]), (5, [0, 1, 2, 3], [1, 2, 3, 4], [1, 0, 1, 0]), (6, [0, 1, 2, 3], [1, 2, 3, 4], [1, 0, 1, 0])):
+        arrays = K.chat_training_arrays(F.col("v"), F.col("m"), 4)
+        row = spark.createDataFrame([(list(range(n)), [i % 2 for i in range(n)])], "v array<int>, m array<int>").select(F.array(*arrays).alias("a")).first()
+        assert row.a == [inputs, targets, mask]
+
+
 def test_sentencepiece_round_trip(spark):
     pytest.importorskip("public_tokenizers")
     from granary.plans.registry import _piece_model

@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from granary.llm.common import checkpointed
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """large: each node hands its larger neighbours to its least neighbour; else its smaller ones and itself."""
+#: A node is heavy if it has more than one in so many of all links: at most twice so many are broadcast.
+_HEAVY = 512
+
+
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
+    """large: each node hands its larger neighbours to its least neighbour; else its smaller ones and itself.
+
+    Heavy nodes meet their neighbours by a broadcast, so none of them fills a task of its own.
+    """
     u, v = F.col("u"), F.col("v")
     if large:
         around = links.select("u", "v").unionByName(links.select(v.alias("u"), u.alias("v")))
     else:
         around = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select(u.alias("w"), F.least("m", "u").alias("m"))
-    joined = around.join(least, F.col("u") == F.col("w"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(u.alias("w"), F.least("m", "u").alias("m"), "degree")
+    own, most = F.col("u") == F.col("w"), max(1_000, total // _HEAVY)
+    if 2 * total <= most:  # so few links that no node has more
+        joined = around.join(least, own)
+    else:
+        heavy, light = F.broadcast(least.where(F.col("degree") > most)), least.where(F.col("degree") <= most)
+        joined = around.join(heavy.select("w"), own, "left_anti").join(light, own).unionByName(around.join(heavy, own))
     out = joined.select(v.alias("u"), F.col("m").alias("v"), u.alias("own"))
     if large:
         out = out.where(F.col("u") > F.col("own")).select("u", "v")
@@ -38,5 +50,5 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        links = checkpointed(_star(_star(links, True), False))
+        links = checkpointed(_star(_star(links, True, state[0]), False, state[0]))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,15 +9,23 @@ sets link when 100 * |A and B| >= percent * |A or B|. The join is exact, in thes
    split by hash into n1 parts, and each of these into n2 cells; so many parts that in any linked
    pair at least 1 + spare of them have at most `spoiled` differing features. Each subset of n2 -
    spoiled cells of each part gives one signature of the features in it: linked sets share one.
-   A signature over very few features says little; a set that has at most `spare` parts with such
-   a signature leaves those out, and still shares another one with each partner.
+   A signature is poor if fewer than `few` of its features are uncommon, as texts with a passage in
+   common share many of those. A set that has at most `spare` parts with a poor signature leaves
+   these signatures out. Poorness depends on a signature's features alone, so it is the same in
+   both sets of a pair, and one of their 1 + spare parts has no poor signature in either: they still
+   share one. Which features are common is told by a table of fixed size in which the features of
+   all rows are counted by hash; the pairs found don't depend on it, only the work does.
 3. Signatures are dealt into buckets as packed arrays, and nodes that share one are joined to the
-   least of them. The components of that candidate graph hold all links; no pairs are listed.
+   least of them. The components of that candidate graph hold all links; no pairs are listed. Here
+   a signature has 40 bits besides its bucket, and a node 40: what collides is taken for a candidate.
 4. Candidates' sets are gathered by component, in blocks of a bounded number of features in the order of set sizes
    (in a large component each block meets the blocks of near sizes), and each task verifies its pairs exactly in numpy, rarest features
    first. It returns for each node its number of partners and a link to a local root.
 5. Components over the verified links; a component's id is its least document id.
 
+A task remembers the sets that it has sent last, so a text with very many copies is sent about once
+a task.
+
 Defined results: null text counts as empty; a document without words has an empty set, no links and
 is its own component. Equal texts (also repeated rows, also with equal ids) are linked. Null ids
 take part, but never name a component unless nothing else is in it (null then). Very long texts are
@@ -34,17 +42,29 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, encoded, mix64, pieces, release
+from granary.llm.common import checkpointed, encoded, mix64, pieces
 from granary.llm.components import components
 from granary.llm.textscan import Scan
 
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
-#: Bits of the table that tells, with false alarms only, which sets are candidates.
-_BITS = 24
+#: Bits of a node's name in the candidate graph, and bytes of a signature or of such a name.
+_NODE, _WIDTH = (1 << 40) - 1, 5
+#: Cells of the table that counts features by hash (2**22 at one byte a task), in chunks of 2**14.
+_CELLS, _CHUNK = 1 << 22, 1 << 14
+#: A cell is common at 1.5 times the mean and one document in so many more.
+_COMMON = 8192
+#: Most bits of the table that tells, with false alarms only, which sets are candidates. With more candidates
+#: than a sixteenth of them, false alarms grow; the join after it drops them.
+_BITS = 1 << 26
+#: Sets that a task remembers, in each of two generations.
+_SEEN = 1 << 17
+#: A class or node is heavy if it has more than one in so many of all rows, so at most so many are broadcast.
+_HEAVY = 512
 
 
 @dataclass(frozen=True)
@@ -55,7 +75,7 @@ class JoinSettings:
     cells: int = 3  # second-level parts
     spoiled: int = 1  # of them left out in a signature
     spare: float = 0.0  # further first-level parts, as a share
-    few: int = 0  # signatures over fewer features are left out where spare parts allow
+    few: int = 0  # signatures over fewer uncommon features are left out where spare parts allow
     block: int = 1 << 20  # features of a block; a task compares two blocks at most
     bucket: int = 1 << 20  # signatures in one task
 
@@ -115,8 +135,13 @@ class Bands:
         return (sums[own + 1] - sums[lowest]) * len(list(combinations(range(settings.cells), settings.spoiled)))
 
 
-def signatures(sizes: np.ndarray, features: np.ndarray, bands: Bands, settings: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Set number and signature, for all sets with features."""
+def cells_of(features: np.ndarray) -> np.ndarray:
+    """The cell of the counting table that each feature falls into."""
+    return (features >> np.uint64(64 - _CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def signatures(sizes: np.ndarray, features: np.ndarray, bands: Bands, settings: JoinSettings, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Set number and signature, for all sets with features; `common` marks the cells of common features."""
     lowest, own = bands.of(np.maximum(sizes, 1))
     count = np.where(sizes > 0, own - lowest + 1, 0)
     which = np.repeat(np.arange(len(sizes)), count)  # one instance for each set and band
@@ -147,7 +172,8 @@ def signatures(sizes: np.ndarray, features: np.ndarray, bands: Bands, settings:
     node = which[instance]
     if not settings.few:
         return np.tile(node, len(subsets)), np.concatenate(out)
-    held = np.bincount(place, minlength=rows * settings.cells).reshape(rows, settings.cells)
+    uncommon = None if common is None else ~common[cells_of(features)][feature]
+    held = np.bincount(place, uncommon, minlength=rows * settings.cells).reshape(rows, settings.cells)
     poor = [held[:, list(c)].sum(axis=1) < settings.few for c in subsets]
     poor_parts = np.bincount(instance[np.any(poor, axis=0)], minlength=len(parts))
     forced = (poor_parts > bands.spare[band])[instance]
@@ -218,10 +244,75 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
-def _named(nodes: bytes, places: bytes) -> np.ndarray:
-    """The node of each place in a packed row; places take two bytes where that is enough."""
-    table = np.frombuffer(nodes, np.uint64).reshape(-1, 2)
-    return table[np.frombuffer(places, np.uint16 if len(table) <= 1 << 16 else np.uint32)]
+class Seen:
+    """Tells which sets are new to a task: the last ones are remembered, in two generations of bounded size."""
+
+    def __init__(self):
+        self.young: set[tuple[int, int]] = set()
+        self.old: set[tuple[int, int]] = set()
+
+    def new(self, a: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Of the wanted sets, those that weren't seen before, as a mask."""
+        out = np.zeros(len(a), bool)
+        for i in np.flatnonzero(wanted).tolist():
+            key = (int(a[i]), int(b[i]))
+            if key in self.young:
+                continue
+            out[i] = key not in self.old
+            if len(self.young) >= _SEEN:
+                self.old, self.young = self.young, set()
+            self.young.add(key)
+        return out
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
+
+
+def _wide(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _WIDTH)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :_WIDTH] = raw
+    return out.view("<u8")[:, 0]
+
+
+def _packed_cells(counts: np.ndarray) -> bytes:
+    """Counts of one chunk, up to 255: all of them, or the places and counts of those above 0, whichever is shorter."""
+    some = np.flatnonzero(counts)
+    if 3 * len(some) >= _CHUNK:
+        return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return some.astype("<u2").tobytes() + np.minimum(counts[some], 255).astype(np.uint8).tobytes()
+
+
+def _add_cells(total: np.ndarray, packed: bytes) -> None:
+    if len(packed) == _CHUNK:
+        total += np.frombuffer(packed, np.uint8)
+    else:
+        n = len(packed) // 3
+        total[np.frombuffer(packed, "<u2", n)] += np.frombuffer(packed, np.uint8, n, 2 * n)
+
+
+def _common_cells(sketches: DataFrame, mean: float, documents: int) -> np.ndarray:
+    """The cells of the counting table that hold common features, from all tasks' counts (chunk, part, cells)."""
+    least = 1.5 * mean + max(8, documents / _COMMON)
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.zeros(_CHUNK, np.int64)
+        for packed in group["cells"]:
+            _add_cells(total, packed.as_py())
+        return pa.table({"chunk": group["chunk"][:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+    def finish(group: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(x.as_py(), "<i8") for x in group["counts"]), np.zeros(_CHUNK, np.int64))
+        return pa.table({"chunk": group["chunk"][:1], "common": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    merged = sketches.withColumn("some", F.floor(F.col("part") / 256)).groupBy("chunk", "some").applyInArrow(merge, "chunk long, counts binary")
+    rows = merged.groupBy("chunk").applyInArrow(finish, "chunk long, common binary").collect()
+    out = np.zeros(_CELLS, bool)
+    for r in rows:
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.unpackbits(np.frombuffer(r["common"], np.uint8)).astype(bool)
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -238,93 +329,96 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     texts = df.select(F.col(text_col).alias("text"))
+    names = ["id", "n", "signatures", "a", "b", "chunk", "part", "cells"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size and fingerprint of each row's set; at the end the task's counts of features by cell."""
+        id_type, counts = None, np.zeros(_CELLS, np.uint32)
         for piece in pieces(batches, "text"):
+            id_type = piece.schema.field("id").type
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
             a, b = fingerprints(sizes, features)
-            counts = np.where(sizes > 0, bands.signatures(sizes, settings), 0)
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), _signed(a), _signed(b)], names=["id", "n", "signatures", "a", "b"])
-
-    docs = checkpointed(source.mapInArrow(describe, f"id {kind}, n long, signatures long, a long, b long"))
-    total = docs.agg(F.coalesce(F.sum("signatures"), F.lit(0))).first()[0]
+            if settings.few:
+                np.add.at(counts, cells_of(features), np.uint32(1))
+            per_row = np.where(sizes > 0, bands.signatures(sizes, settings), 0)
+            none = [pa.nulls(len(sizes), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(per_row, pa.int64()), _signed(a), _signed(b), *none], names=names)
+        held = np.flatnonzero(counts.reshape(-1, _CHUNK).any(axis=1))
+        if id_type is not None and len(held):
+            cells = pa.array([_packed_cells(counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in held.tolist()], pa.binary())
+            part = pa.array([TaskContext.get().partitionId()] * len(held), pa.int64())
+            none = [pa.nulls(len(held), t) for t in (id_type, *[pa.int64()] * 4)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(held, pa.int64()), part, cells], names=names)
+
+    described = checkpointed(source.mapInArrow(describe, f"id {kind}, n long, signatures long, a long, b long, chunk long, part long, cells binary"))
+    docs = described.where("chunk IS NULL").select("id", "n", "signatures", "a", "b")
+    total, occurrences, documents = docs.agg(F.coalesce(F.sum("signatures"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-total // settings.bucket))
+    common = _common_cells(described.where("chunk IS NOT NULL"), occurrences / _CELLS, documents) if settings.few else None
+    common = None if common is None else np.packbits(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, table = Seen(), None if common is None else np.unpackbits(common).astype(bool)
         for piece in pieces(batches, "text"):
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
             a, b = fingerprints(sizes, features)
-            once = np.zeros(len(sizes), bool)
-            once[np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1] if len(a) else []] = True
-            features, sizes, a, b = features[np.repeat(once, sizes)], sizes[once], a[once], b[once]
-            node, signature = signatures(sizes, features, bands, settings)
-            bucket = (signature >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(bucket.astype(np.uint16), kind="stable") if buckets < 1 << 16 else np.argsort(bucket, kind="stable")
-            node, signature, bucket = node[order], signature[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, np.int64)
-            rows = []
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
-                if hi > lo:
-                    named, place = np.unique(node[lo:hi], return_inverse=True)
-                    rows.append((int(bucket[lo]), signature[lo:hi].tobytes(), place.astype(np.uint16 if len(named) <= 1 << 16 else np.uint32).tobytes(), np.stack([a[named], b[named]], axis=1).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "signatures", "places", "nodes"])
+            once = seen.new(a, b, sizes > 0)
+            features, sizes, a = features[np.repeat(once, sizes)], sizes[once], a[once]
+            node, signature = signatures(sizes, features, bands, settings, table)
+            bucket = ((signature >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            # the low bytes: the bucket comes from the high ones
+            node, signature, bucket = a[node[order]] & np.uint64(_NODE), signature[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            bounds = list(zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True)) if len(bucket) else []
+            columns = [[int(bucket[lo]) for lo, _ in bounds], *([_narrow(x[lo:hi]) for lo, hi in bounds] for x in (signature, node))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "signatures", "nodes"])
 
     def meet(group: pa.Table) -> pa.Table:
-        signature = np.concatenate([np.frombuffer(x, np.uint64) for x in group["signatures"].to_pylist()])
-        nodes = np.concatenate([_named(n, p) for n, p in zip(group["nodes"].to_pylist(), group["places"].to_pylist(), strict=True)])
-        order = np.argsort(signature)
-        signature = signature[order]
-        same = signature[1:] == signature[:-1]
-        multiple = np.zeros(len(signature), bool)
-        multiple[1:] |= same
-        multiple[:-1] |= same
-        signature, nodes = signature[multiple], nodes[order[multiple]].view(np.int64)
-        order = np.lexsort((nodes[:, 1], nodes[:, 0], signature))
-        signature, nodes = signature[order], nodes[order]
+        signature, node = _wide(group["signatures"].to_pylist()), _wide(group["nodes"].to_pylist())
+        order = np.argsort(signature, kind="stable")
+        signature, node = signature[order], node[order]
         head = np.ones(len(signature), bool)
         head[1:] = signature[1:] != signature[:-1]
-        least = nodes[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(nodes) else nodes
-        other = (least != nodes).any(axis=1)
-        pairs = pd.DataFrame(np.concatenate([least[other], nodes[other]], axis=1), columns=["a", "b", "c", "d"]).drop_duplicates()
-        return pa.Table.from_pandas(pairs, preserve_index=False)
-
-    near = texts.mapInArrow(sign, "bucket long, signatures binary, places binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long, c long, d long")
-    candidates = components(near.select(_node().alias("u"), _node("c", "d").alias("v")))
-    candidates = checkpointed(candidates)
+        first = np.flatnonzero(head)
+        least = np.minimum.reduceat(node, first)[np.cumsum(head) - 1] if len(node) else node
+        other = least != node
+        pairs = np.unique(np.stack([least[other], node[other]], axis=1), axis=0).view(np.int64)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    near = texts.mapInArrow(sign, "bucket long, signatures binary, nodes binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
+    candidates = checkpointed(components(near))
     del near
-    release(df.sparkSession)
-
-    # a table of fixed size tells the next pass which sets to bring; a false alarm is dropped by the join after it
-    bits = candidates.select(F.col("node.a").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mask")).toArrow()
-    table = np.zeros(1 << (_BITS - 5), np.uint32)
-    table[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
+    # a table of bounded size tells the next pass which sets to bring; a false alarm is dropped by the join after it
+    bits = min(_BITS, max(1 << 10, 1 << (16 * candidates.count()).bit_length()))
+    places = candidates.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = places.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mask")).toArrow()
+    wanted_bits = np.zeros(bits >> 5, np.uint32)
+    wanted_bits[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for piece in pieces(batches, "text"):
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
             a, b = fingerprints(sizes, features)
-            bit = a & np.uint64((1 << _BITS) - 1)
-            wanted = (table[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-            wanted &= sizes > 0
-            once = np.zeros(len(sizes), bool)
-            once[np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1] if len(a) else []] = True
-            rows = np.flatnonzero(wanted & once)
+            bit = a & np.uint64(bits - 1)
+            wanted = (wanted_bits[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+            rows = np.flatnonzero(seen.new(a, b, wanted & (sizes > 0)))
             ends = np.cumsum(sizes)
             blobs = pa.array([features[ends[i] - sizes[i] : ends[i]].tobytes() for i in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([_signed(a[rows]), _signed(b[rows]), blobs], names=["a", "b", "features"])
 
     classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    classes = checkpointed(classes.select(_node().alias("node"), "least", "copies", "n"))
+    classes = checkpointed(classes)
     # a component's nodes are put into blocks in the order of their sizes, those of one size by hash;
     # only blocks whose sizes are near enough for a link meet
-    placed = candidates.join(classes.select("node", "copies", "n"), "node")
+    placed = classes.withColumn("node", F.col("a").bitwiseAND(F.lit(_NODE))).join(candidates, "node")
     by_size = W.partitionBy("component").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     sizes = placed.groupBy("component", "n").agg(F.count(F.lit(1)).alias("same")).withColumn("before", F.coalesce(F.sum(F.col("same") * F.col("n")).over(by_size), F.lit(0)))
-    placed = placed.join(sizes, ["component", "n"]).withColumn("own", F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("same")) * F.col("n")) / settings.block))
-    placed = checkpointed(placed.select("component", "node", "copies", "n", "own"))
+    sizes = sizes.select(F.col("component").alias("size_component"), F.col("n").alias("size_n"), "same", "before")
+    placed = placed.join(sizes, (F.col("component") == F.col("size_component")) & (F.col("n") == F.col("size_n")))
+    placed = placed.withColumn("own", F.floor((F.col("before") + F.pmod(F.xxhash64("a", "b"), F.col("same")) * F.col("n")) / settings.block))
+    placed = checkpointed(placed.select("component", "a", "b", "copies", "n", "own"))
     blocks = placed.groupBy("component", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     lower, upper = blocks.select("component", F.col("own").alias("i"), "high"), blocks.select("component", F.col("own").alias("j"), "low")
     meeting = lower.join(upper, "component").where((F.col("i") <= F.col("j")) & (settings.percent * F.col("low") <= 100 * F.col("high"))).select("component", "i", "j")
@@ -332,7 +426,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tasks = max(1, -(-placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // settings.block))
     placed = placed.join(sides, ["component", "own"]).select(
         F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "i", "j")).alias("task"),
-        F.xxhash64("component", "i", "j").alias("part"), (F.col("i") == F.col("j")).alias("inner"), "own", "copies", F.col("node.a").alias("a"), F.col("node.b").alias("b"),
+        F.xxhash64("component", "i", "j").alias("part"), (F.col("i") == F.col("j")).alias("inner"), "own", "copies", "a", "b",
     )
     sets = texts.mapInArrow(bring, "a long, b long, features binary").groupBy("a", "b").agg(F.first("features").alias("features"))
     placed = sets.join(placed, ["a", "b"]).select("task", "part", "inner", "own", "copies", "a", "b", "features")
@@ -357,13 +451,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a block against another one holds each node of both once; a block of its own is compared in its own task
     found = checkpointed(placed.groupBy("task").applyInArrow(compare, "a long, b long, c long, d long, links long"))
     del placed, sets
-    release(df.sparkSession)
-    links = found.groupBy(_node().alias("node")).agg(F.sum("links").alias("links"))
-    linked = components(found.select(_node().alias("u"), _node("c", "d").alias("v")))
-    named = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.join(linked.select("node"), "node", "left_semi").groupBy("component").agg(F.min("least").alias("low"))
-    named = named.join(least, "component", "left").join(links, "node", "left")
-    named = named.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.coalesce("low", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = docs.where("n > 0").join(named, ["a", "b"]).select("id", "n", "component_id", "n_links")
+    links = found.groupBy("a", "b").agg(F.sum("links").alias("links"))
+    linked = components(found.select(_node().alias("u"), _node("c", "d").alias("v"))).select("node.a", "node.b", "component")
+    named = classes.join(linked, ["a", "b"], "left").join(links, ["a", "b"], "left")
+    least = classes.join(linked, ["a", "b"]).groupBy("component").agg(F.min("least").alias("low"))
+    named = checkpointed(named.join(least, "component", "left").select("a", "b", "copies", F.coalesce("low", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    joined = _by_class(docs.where("n > 0"), named, documents).select("id", "n", "component_id", "n_links")
     empty = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return joined.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def _by_class(docs: DataFrame, named: DataFrame, documents: int) -> DataFrame:
+    """Rows with what is known of their class. The few classes with very many rows are broadcast, so none of them is one task's."""
+    large = F.col("copies") > max(1_000, documents // _HEAVY)
+    heavy = F.broadcast(named.where(large))
+    return docs.join(heavy, ["a", "b"]).unionByName(docs.join(heavy.select("a", "b"), ["a", "b"], "left_anti").join(named.where(~large), ["a", "b"]))

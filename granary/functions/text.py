@@ -99,6 +99,33 @@ def canonical_json_exact(line: Column, clean: bool = True, sort_keys: bool = Tru
     return run(line)
 
 
+def json_error(line: Column) -> Column:
+    """What a full JSON parser says against the line, with the place; null if it is JSON."""
+
+    @F.pandas_udf("string")
+    def run(lines: pd.Series) -> pd.Series:
+        def error(x: str | None) -> str | None:
+            try:
+                json.loads(x or "")
+            except ValueError as e:
+                return str(e)
+            return None
+
+        return lines.map(error)
+
+    return run(line)
+
+
+def spaced_json(line: Column) -> Column:
+    """A JSON line with a space after each comma and colon, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False))
+
+    return run(line)
+
+
 def content_hash(text: Column, algorithm: str = "md5") -> Column:
     """Hexadecimal digest: md5, sha1, sha224, sha256, sha384 and sha512 natively, other hashlib names in Arrow batches."""
     if algorithm == "md5":

@@ -72,8 +72,12 @@ def crop_start(ids: Column, block: int, seed: int, *key: Column) -> Column:
 
 
 def training_pair(ids: Column, block: int, start: Column) -> tuple[Column, Column]:
-    """Inputs and next-token targets of `block` ids each, padded."""
-    return pad_to(F.slice(ids, start + 1, block), block), pad_to(F.slice(ids, start + 2, block), block)
+    """Inputs and next-token targets of `block` ids each, padded.
+
+    The last id of an array is a target only, so one that fits the block gives up its last input.
+    """
+    inputs = F.slice(ids, start + 1, F.greatest(F.least(F.size(ids) - 1, F.lit(block)), F.lit(0)))
+    return pad_to(inputs, block), pad_to(F.slice(ids, start + 2, block), block)
 
 
 def chat_ids(messages: Column, encode: Callable[[Column], Column]) -> tuple[Column, Column]:
@@ -90,10 +94,10 @@ def chat_ids(messages: Column, encode: Callable[[Column], Column]) -> tuple[Colu
     return ids, mask
 
 
-def chat_training_arrays(ids: Column, mask: Column, block: int) -> tuple[Column, Column, Column]:
+def chat_example(ids: Column, mask: Column, block: int) -> tuple[Column, Column, Column]:
     """Inputs, next-token targets and the targets' loss mask of `block` each, padded.
 
-    An array that fits the block gives up its last id as an input, a longer one doesn't.
+    The mask belongs to the targets, so it is shifted with them.
     """
-    inputs = F.slice(ids, 1, F.least(F.size(ids) - 1, F.lit(block)))
-    return pad_to(inputs, block), pad_to(F.slice(ids, 2, block), block), pad_to(F.slice(mask, 2, block), block, 0)
+    inputs, targets = training_pair(ids, block, F.lit(0))
+    return inputs, targets, pad_to(F.slice(mask, 2, block), block, 0)

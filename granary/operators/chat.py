@@ -25,7 +25,7 @@ def pair_to_messages(prompt: Column, response: Column) -> Column:
 
 
 def records_to_messages(lines: DataFrame, user_key: str = "human", assistant_key: str = "assistant") -> DataFrame:
-    """(file, messages) of JSON lines that are either {prompt, response} or {conversation: [...]}.
+    """(file, messages) of JSON lines that are either {prompt, response} or {conversation: [...]}; a null content stays null.
 
     The single pair goes before the conversation; records of neither form, turns that are no
     objects and empty results are dropped, as are lines that are no JSON objects.
@@ -50,7 +50,11 @@ def turns_to_rows(lines: DataFrame, user_key: str = "human", assistant_key: str
 
 
 def nest(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows of turns to one row of messages for each conversation, in turn order."""
+    """Rows of turns to one row of messages for each conversation, in turn order.
+
+    Rows of one turn number are ordered by role, then text; nulls come first and stay null. Repeated
+    rows are messages of their own. Null is a conversation of its own. Further columns are left out.
+    """
     rows = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))))
     return df.groupBy(conv).agg(rows.alias("rows")).select(conv, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content"))).alias("messages"))
 
@@ -60,7 +64,11 @@ def flat(df: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def paired(messages: Column) -> Column:
-    """Messages to (human, assistant) pairs: each user message with the assistant message right after it, if any."""
+    """Messages to (human, assistant) pairs: each user message with the assistant message right after it, if any.
+
+    Null contents are empty; an assistant message that follows no user message is passed over, as are
+    other roles and null ones; without messages there are no pairs.
+    """
     with_next = F.transform(messages, lambda m, i: F.struct(m.alias("m"), F.get(messages, i + 1).alias("n")))
     users = F.filter(with_next, lambda x: x["m"]["role"] == "user")
     return F.transform(users, lambda x: F.struct(strip(F.coalesce(x["m"]["content"], F.lit(""))).alias("human"), F.when(x["n"]["role"] == "assistant", strip(F.coalesce(x["n"]["content"], F.lit("")))).otherwise("").alias("assistant")))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from granary.plans.session import materialized
 
 # Fixed values of the sketch: 128 permutations, 8 bands of 16 rows (threshold 0.85), modulus 2**31 - 1.
 PERMUTATIONS, BANDS, MODULUS = 128, 8, (1 << 31) - 1
+#: Hashes permuted at a time.
+_RUN = 512
 
 
 def permutations(seed: int = 1) -> tuple[list[int], list[int]]:
@@ -25,14 +28,19 @@ def permutations(seed: int = 1) -> tuple[list[int], list[int]]:
 
 
 def exact_dedup(df: DataFrame, content: Column, order: list[Column]) -> DataFrame:
-    """Of rows with equal content hash the first in the order stays.
+    """Of rows with equal content hash the first in the order stays, and only that one.
 
-    The least order key of each hash is aggregated map-side, so a hash with very many rows is no
-    hot spot; then rows are matched with it.
+    The least row of each hash is aggregated map-side, so a hash with very many rows is no hot spot.
+    Rows of different hashes may share an order key. Of rows with one hash and one order key the
+    least by its columns stays; repeated rows give one. Null is a hash of its own. Without rows the
+    result is empty. Columns keep their names, whatever they are.
     """
-    keyed = df.withColumns({"__hash": content, "__order": F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])})
-    first = keyed.groupBy("__hash").agg(F.min("__order").alias("__first")).select("__first").withColumnRenamed("__first", "__order")
-    return keyed.join(first, "__order", "left_semi").drop("__hash", "__order")
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.select(content.alias("hash"), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]).alias("at"), rows.alias("row"))
+    kind = keyed.schema["row"].dataType.simpleString()
+    unordered = "map<" in kind or "variant" in kind  # such values can't be compared: any row with the least key stays
+    least = F.min_by("row", "at") if unordered else F.min(F.struct("at", "row"))["row"]
+    return keyed.groupBy("hash").agg(least.alias("row")).select("row.*")
 
 
 def word_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,32 +59,57 @@ def signatures(sets: DataFrame, id_col: str = "doc_id", seed: int = 1) -> DataFr
 
     An empty set has MODULUS everywhere.
     """
-    a, b = (np.array(x, np.uint64)[:, None] for x in permutations(seed))
+    a, b = (np.array(x, np.uint64) for x in permutations(seed))
+    kept = [c for c in sets.columns if c != "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column("hashes"):
-                h = value.values.to_numpy().astype(np.uint64) if value.is_valid else np.zeros(0, np.uint64)
-                least = np.full((len(a), 1), MODULUS, np.uint64)
-                for k in range(0, len(h), 4096):
-                    least = np.minimum(least, ((a * h[None, k : k + 4096] + b) % np.uint64(MODULUS)).min(axis=1, keepdims=True))
-                rows.append(least[:, 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(rows, pa.list_(pa.int64()))], names=[id_col, "signature"])
+            column = batch.column("hashes")
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            least = _least(column.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sizes, a, b)
+            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(a))
+            signed = pa.ListArray.from_arrays(offsets, pa.array(least.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), signed], names=[*kept, "signature"])
 
-    source = sets.select(id_col, "hashes")
-    return source.mapInArrow(run, f"{id_col} {source.schema[id_col].dataType.simpleString()}, signature array<long>")
+    source = sets.select(*kept, "hashes")
+    return source.mapInArrow(run, "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in kept) + "signature array<long>")
+
+
+def _least(h: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(sets, permutations): the least permuted hash of each set.
+
+    Hashes are taken in runs that fit a processor's cache; MODULUS is 2**31 - 1, so a remainder is a
+    sum of the high and the low bits, taken twice.
+    """
+    out = np.full((len(sizes), len(a)), MODULUS, np.int64)
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(sizes)
+    low, shift = np.uint64(MODULUS), np.uint64(31)
+    for lo in range(0, len(h), _RUN):
+        hi = min(len(h), lo + _RUN)
+        rows = some[np.searchsorted(ends[some], lo, "right") : np.searchsorted(ends[some] - sizes[some], hi, "left")]
+        at = np.maximum(ends[rows] - sizes[rows] - lo, 0)
+        x = a[:, None] * h[None, lo:hi] + b[:, None]
+        x = (x & low) + (x >> shift)
+        x = (x & low) + (x >> shift)
+        x[x >= low] -= low
+        out[rows] = np.minimum(out[rows], np.minimum.reduceat(x, at, axis=1).T.astype(np.int64))
+    return out
 
 
 def bands(signed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, band, key): a hash of each band's rows."""
+    return signed.select(id_col, F.posexplode(_band_keys()).alias("band", "key"))
+
+
+def _band_keys() -> Column:
     rows = PERMUTATIONS // BANDS
-    keys = F.array(*[F.md5(F.array_join(F.slice("signature", 1 + k * rows, rows).cast("array<string>"), ",")) for k in range(BANDS)])
-    return signed.select(id_col, F.posexplode(keys).alias("band", "key"))
+    return F.array(*[F.md5(F.array_join(F.slice("signature", 1 + k * rows, rows).cast("array<string>"), ",")) for k in range(BANDS)])
 
 
 def near_pairs(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(low, high): distinct pairs that share a band."""
+    """(low, high): distinct pairs that share a band. It lists every pair of a bucket, so give it one id of each distinct
+    word set; near_dedup decides without listing any."""
     left, right = banded.select(F.col(id_col).alias("low"), "band", "key"), banded.select(F.col(id_col).alias("high"), "band", "key")
     return left.join(right, ["band", "key"]).where("low < high").select("low", "high").distinct()
 
@@ -119,13 +152,30 @@ def resolve_buckets(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return states.where("state = 'D'").select(F.col("id").alias(id_col))
 
 
+def signature_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
+    """(id, digest, signature): what near-duplicate resolution needs of each row, a bounded number of bytes. The digest is the
+    word set's; rows can be written with sinks.write_parquet, read again and unioned with those of later documents."""
+    digest = F.md5(F.array_join(F.col("hashes").cast("array<string>"), ",")).alias("digest")
+    return signatures(word_hashes(df, id_col, text_col).select(id_col, digest, "hashes"), id_col, seed)
+
+
+def near_dedup_stored(store: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Kept ids of the documents in a signature store. Equal word sets fall together first, which is exact (their sketches are
+    equal) and takes copies and blank texts out of the bands."""
+    firsts = materialized(store.groupBy("digest").agg(F.min(F.struct(id_col, "signature")).alias("least")).select(f"least.{id_col}", "least.signature"))
+    dropped = resolve_buckets(bands(firsts, id_col), id_col)
+    return firsts.select(id_col).distinct().join(dropped, id_col, "left_anti")
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """Kept ids. Equal word sets fall together first, which is exact (their sketches are equal) and
-    takes copies and blank texts out of the bands."""
-    sets = materialized(word_hashes(df, id_col, text_col))
-    firsts = sets.groupBy(F.md5(F.array_join(F.col("hashes").cast("array<string>"), ",")).alias("h")).agg(F.min(id_col).alias(id_col)).select(id_col)
-    unique = sets.join(firsts, id_col, "left_semi")
-    return firsts.join(resolve_buckets(bands(signatures(unique, id_col, seed), id_col), id_col), id_col, "left_anti")
+    """Kept ids, each once.
+
+    A null text counts as blank; blank texts are equal to each other. Repeated rows and copies give
+    their least id. Several texts under one id are one document with all their signatures. Null ids
+    aren't resolved against others and appear once, if any text's least id is null. Only id and text
+    are read, so further columns can't clash; an empty table gives an empty result.
+    """
+    return near_dedup_stored(materialized(signature_store(df, id_col, text_col, seed)), id_col)
 
 
 def semi_join(df: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -10,14 +10,22 @@ from granary.functions.text import shuffle_key
 from granary.plans.session import materialized
 
 
-def positions(df: DataFrame, order: list[Column], name: str = "position", start: int = 0) -> DataFrame:
-    """Adds dense numbers from `start` in the given order.
+def positions(df: DataFrame, order: list[Column], name: str = "position", start: int = 0, key: list[str] | None = None) -> DataFrame:
+    """Adds dense numbers from `start` in the given order; nulls come first, as in any ascending sort.
 
     Rows are dealt by range and sorted within partitions; what is summed up afterwards is one row
-    count for each partition, and only those are broadcast.
+    count for each partition, and only those are broadcast. All columns of df are written to the
+    checkpoint folder once. For wide rows name a `key`, columns that tell rows apart and have no
+    nulls: then only these are numbered, and joined back.
+
+    Without a key repeated rows get a number each, in any order among equals (name enough order
+    columns to fix it). An empty table gives an empty result. A column `name` in df is an error.
     """
     if name in df.columns:
         raise ValueError(f"column {name} exists already")
+    if key:
+        narrow = df.select(*key, *[o.alias(f"__order{k}") for k, o in enumerate(order)])
+        return df.join(positions(narrow, [F.col(f"__order{k}") for k in range(len(order))], name, start).select(*key, name), key).select(*df.columns, name)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = materialized(ranged.withColumns({"__part": F.spark_partition_id(), "__seq": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -101,7 +109,9 @@ def stacked(df: DataFrame, arrays: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, k: int, by: Column, tie: Column, *group: str) -> DataFrame:
-    """The k latest rows (of each group); adds `age` from 1."""
+    """The k latest rows (of each group); adds `age` from 1. Without a group only k rows of each partition are compared."""
+    if not group:
+        df = df.orderBy(by.desc(), tie.desc()).limit(k)
     newest = W.partitionBy(*group).orderBy(by.desc(), tie.desc())
     return df.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= k)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as X
 from granary.functions import tokens as K
 from granary.operators import chat, dedup, metrics, ordering, sampling
+from granary.plans.session import scratch
 from granary.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +143,19 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(docs.select("doc_id", "lang", "n_chars", "hash"), F.col("hash"), [F.col("doc_id")]).select("doc_id", "lang", "n_chars")
 
 
+_REPEATED = "SELECT doc_id // 2 AS place, lang, text FROM documents UNION ALL SELECT doc_id // 2, lang, text FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT NULL, lang, text FROM documents WHERE doc_id % 5 = 0"
+
+
+@query(f"""SELECT text_md5, place, count(*) AS n FROM (
+SELECT md5(text) AS text_md5, place FROM ({_REPEATED}) QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY place NULLS FIRST) = 1) GROUP BY 1, 2""")
+def exact_dedup_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat, and order keys that several texts share or that are null."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("place"), "lang", "text")
+    rows = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 5 = 0").withColumn("place", F.lit(None).cast("long"))).drop("doc_id")
+    kept = dedup.exact_dedup(rows, X.content_hash(F.col("text")), [F.col("place")])
+    return kept.groupBy(F.md5("text").alias("text_md5"), "place").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""SELECT count(*) AS total, count_if(trim(text) = '') AS skipped, count_if(doc_id % 7 = 0) AS cleaned, count_if(trim(text) <> '') AS valid,
 count(DISTINCT md5(regexp_replace({_MARKED}, '{_BIDI}', '', 'g'))) AS unique_rows, count(*) - count(DISTINCT md5(regexp_replace({_MARKED}, '{_BIDI}', '', 'g'))) AS duplicates FROM documents"""
@@ -161,6 +175,90 @@ def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").rollup("source").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("source", F.lit("(all)")).alias("source"), "n")
 
 
+# ---- files: written to the shared folder and read back
+
+
+def _jsonl(df: DataFrame, name: str = "lines", **how) -> str:
+    path = scratch(df.sparkSession, name)
+    sinks.write_jsonl(df, path, **how)
+    return path
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _jsonl(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
+    typed = files.typed_json(files.valid_json(files.read_lines(spark, path, "part-*")), "doc_id long, text string, lang string, n_chars long")
+    return typed.select("doc_id", F.md5("text").alias("text_md5"), "lang", "n_chars")
+
+
+@query("""SELECT doc_id, '{"doc_id": ' || doc_id || ', "lang": "' || lang || '", "n_chars": ' || n_chars || '}' AS line FROM documents""")
+def jsonl_default_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _jsonl(sinks.without(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source"), "source", "absent"), spaced=True)
+    lines = files.read_lines(spark, path)
+    return lines.select(F.try_variant_get(F.try_parse_json("line"), "$.doc_id", "long").alias("doc_id"), "line")
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1")
+def text_field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _jsonl(read(spark, sf_dir, "documents").select("text", "lang"))
+    return files.text_field(files.read_lines(spark, path)).groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT messages_md5, count(*) AS n FROM (SELECT conv_id, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM conversations GROUP BY 1) GROUP BY 1""")
+def chat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _jsonl(chat.nest(read(spark, sf_dir, "conversations")).select("messages"))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return files.chat_records(files.read_lines(spark, path)).groupBy(F.md5(said).alias("messages_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text || chr(10) || 'ab', chr(10))) AS line FROM documents) GROUP BY 1""")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "text")
+    line = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("0A61FF620D"))).cast("string")  # a byte that is no UTF-8, a carriage return
+    read(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    lines = files.read_lines(spark, path, drop_bad_bytes=True)
+    return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT k // 2500 + 1 AS shard, k % 2500 + 1 AS line_no, '{"a":' || event_id AS line, 'Expecting '','' delimiter: line 1 column ' || (6 + length(event_id::VARCHAR)) || ' (char ' || (5 + length(event_id::VARCHAR)) || ')' AS error
+FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) WHERE event_id % 5 = 1"""
+)
+def quarantine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers and errors of the lines that are no JSON, in files of 2,500 lines."""
+    events = ordering.positions(read(spark, sf_dir, "events").select("event_id", "props"), [F.col("event_id")])
+    line = F.when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"a":'), F.col("event_id").cast("string"))).otherwise(F.col("props"))
+    path = scratch(spark, "shards")
+    rows = events.select((F.floor(F.col("position") / 2500) + 1).alias("shard"), "position", line.alias("value"))
+    rows.repartition("shard").sortWithinPartitions("shard", "position").select("shard", "value").write.partitionBy("shard").text(path)
+    lines = spark.read.text(path).select("shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return files.quarantined(files.numbered(lines)).select(F.col("shard").cast("long"), F.col("line_no").cast("long"), "line", "error")
+
+
+@query("SELECT (k // 300 + 1)::BIGINT AS shard, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) GROUP BY 1")
+def sharded_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "sharded")
+    sinks.write_sharded_jsonl(_docs(spark, sf_dir), path, [F.col("doc_id")], 300)
+    rows = spark.read.text(path).select(F.col("shard").cast("long").alias("shard"), F.from_json("value", "doc_id long")["doc_id"].alias("doc_id"))
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+
+
+@query("SELECT DISTINCT n_chars AS id FROM documents")
+def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "ids")
+    sinks.write_ids(read(spark, sf_dir, "documents").select(F.col("n_chars").alias("id")), path, "id")
+    return files.read_ids(spark, path, "id")
+
+
+@query("SELECT doc_id, source, NULL::BIGINT AS n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, n_chars FROM documents WHERE doc_id % 2 = 1")
+def parquet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of different columns, read with the union of them."""
+    path, docs = scratch(spark, "parquet"), read(spark, sf_dir, "documents")
+    sinks.write_parquet(docs.where("doc_id % 2 = 0").select("doc_id", "source"), f"{path}/half=0")
+    sinks.write_parquet(docs.where("doc_id % 2 = 1").select("doc_id", "n_chars"), f"{path}/half=1")
+    return files.read_parquet(spark, path, ["doc_id", "source", "n_chars"])
+
+
 # ---- order, shuffles, splits
 
 
@@ -282,6 +380,15 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(dedup.bands(dedup.signatures(firsts)))
 
 
+@query(_kept_sql() + "SELECT doc_id FROM kept")
+def near_dup_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates from a store of signatures that was written in two parts."""
+    docs, path = read(spark, sf_dir, "documents"), scratch(spark, "signatures")
+    for k in range(2):
+        sinks.write_parquet(dedup.signature_store(docs.where(F.col("doc_id") % 2 == k)), f"{path}/half={k}")
+    return dedup.near_dedup_stored(files.read_parquet(spark, path, ["doc_id", "digest", "signature"]))
+
+
 @query(_kept_sql() + "SELECT doc_id FROM kept")
 def near_dup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_dedup(read(spark, sf_dir, "documents"))
@@ -384,7 +491,7 @@ def encode_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH t AS (SELECT doc_id, list_concat([{K.BOS}], {_ids_sql("text")}, [{K.EOS}]) AS ids FROM documents),
 s AS (SELECT *, CASE WHEN len(ids) > 64 THEN ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT % (len(ids) - 64) ELSE 0 END AS start FROM t),
-p AS (SELECT *, ids[start + 1:start + 64] AS x, ids[start + 2:start + 65] AS y FROM s)
+p AS (SELECT *, CASE WHEN len(ids) > 64 THEN ids[start + 1:start + 64] ELSE ids[1:len(ids) - 1] END AS x, CASE WHEN len(ids) > 64 THEN ids[start + 2:start + 65] ELSE ids[2:] END AS y FROM s)
 SELECT doc_id, start::INT AS start, md5(array_to_string(list_concat(x, [{K.PAD} for i in range(64 - len(x))]), ',')) AS input_md5,
 md5(array_to_string(list_concat(y, [{K.PAD} for i in range(64 - len(y))]), ',')) AS target_md5 FROM p"""
 )
@@ -395,47 +502,42 @@ def shifted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", F.md5(_joined(x)).alias("input_md5"), F.md5(_joined(y)).alias("target_md5"))
 
 
-@query(
-    f"""WITH m AS (SELECT conv_id, turn, role, list_concat([CASE role WHEN 'user' THEN {K.USER} ELSE {K.BOT} END], {_ids_sql("text")}, [{K.EOS}]) AS ids FROM conversations WHERE role IN ('user', 'assistant')),
-c AS (SELECT conv_id, list_concat([{K.BOS}], flatten(list(ids ORDER BY turn))) AS ids, list_concat([0], flatten(list([(role = 'assistant')::INT for i in ids] ORDER BY turn))) AS mask FROM m GROUP BY 1)
-SELECT conv_id, len(ids)::INT AS n_ids, md5(array_to_string(list_concat(ids[1:128], [{K.PAD} for i in range(128 - len(ids[1:128]))]), ',')) AS ids_md5,
-coalesce(list_sum(mask[1:128]), 0)::INT AS n_loss, md5(array_to_string(list_concat(mask[1:128], [0 for i in range(128 - len(mask[1:128]))]), ',')) AS mask_md5 FROM c"""
-)
-def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = chat.nest(read(spark, sf_dir, "conversations"))
-    ids, mask = K.chat_ids(F.col("messages"), K.hashed_words)
-    rows = nested.select("conv_id", ids.alias("ids"), mask.alias("mask")).where(F.size("ids") > 1)
-    short = K.head(F.col("mask"), 128)
-    return rows.select(
-        "conv_id", F.size("ids").alias("n_ids"), F.md5(_joined(K.pad_to(K.head(F.col("ids"), 128), 128))).alias("ids_md5"),
-        F.aggregate(short, F.lit(0), lambda a, x: a + x).alias("n_loss"), F.md5(_joined(K.pad_to(short, 128, 0))).alias("mask_md5"),
-    )
+_CHAT = f"""WITH m AS (SELECT conv_id, turn, role, list_concat([CASE role WHEN 'user' THEN {K.USER} ELSE {K.BOT} END], {_ids_sql("text")}, [{K.EOS}]) AS ids FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (SELECT conv_id, list_concat([{K.BOS}], flatten(list(ids ORDER BY turn))) AS ids, list_concat([0], flatten(list([(role = 'assistant')::INT for i in ids] ORDER BY turn))) AS mask FROM m GROUP BY 1),
+p AS (SELECT conv_id, ids, CASE WHEN len(ids) > 128 THEN ids[1:128] ELSE ids[1:len(ids) - 1] END AS x, CASE WHEN len(ids) > 128 THEN ids[2:129] ELSE ids[2:] END AS y,
+  CASE WHEN len(ids) > 128 THEN mask[2:129] ELSE mask[2:] END AS k FROM c)
+"""
 
 
-@query(
-    f"""WITH m AS (SELECT conv_id, turn, role, list_concat([CASE role WHEN 'user' THEN {K.USER} ELSE {K.BOT} END], {_ids_sql("text")}, [{K.EOS}]) AS ids FROM conversations WHERE role IN ('user', 'assistant')),
-c AS (SELECT conv_id, list_concat([{K.BOS}], flatten(list(ids ORDER BY turn))) AS ids, list_concat([0], flatten(list([(role = 'assistant')::INT for i in ids] ORDER BY turn))) AS mask FROM m GROUP BY 1),
-p AS (SELECT conv_id, ids[1:least(len(ids) - 1, 128)] AS x, ids[2:129] AS y, mask[2:129] AS k FROM c)
-SELECT conv_id, md5(array_to_string(list_concat(x, [{K.PAD} for i in range(128 - len(x))]), ',')) AS input_md5, md5(array_to_string(list_concat(y, [{K.PAD} for i in range(128 - len(y))]), ',')) AS target_md5,
-coalesce(list_sum(k), 0)::INT AS n_loss, md5(array_to_string(list_concat(k, [0 for i in range(128 - len(k))]), ',')) AS mask_md5 FROM p"""
-)
-def chat_training_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _padded_sql(array: str, value: int) -> str:
+    return f"md5(array_to_string(list_concat({array}, [{value} for i in range(128 - len({array}))]), ','))"
+
+
+def _chat_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = chat.nest(read(spark, sf_dir, "conversations"))
     ids, mask = K.chat_ids(F.col("messages"), K.hashed_words)
     rows = nested.select("conv_id", ids.alias("ids"), mask.alias("mask")).where(F.size("ids") > 1)
-    x, y, k = K.chat_training_arrays(F.col("ids"), F.col("mask"), 128)
-    return rows.select(
-        "conv_id", F.md5(_joined(x)).alias("input_md5"), F.md5(_joined(y)).alias("target_md5"),
-        F.aggregate(k, F.lit(0), lambda a, b: a + b).alias("n_loss"), F.md5(_joined(k)).alias("mask_md5"),
-    )
+    x, y, k = K.chat_example(F.col("ids"), F.col("mask"), 128)
+    return rows.select("conv_id", F.size("ids").alias("n_ids"), x.alias("x"), y.alias("y"), k.alias("k"))
+
+
+@query(_CHAT + f"SELECT conv_id, len(ids)::INT AS n_ids, coalesce(list_sum(k), 0)::INT AS n_loss, {_padded_sql('k', 0)} AS mask_md5 FROM p")
+def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chat_arrays(spark, sf_dir)
+    return rows.select("conv_id", "n_ids", F.aggregate("k", F.lit(0), lambda a, b: a + b).alias("n_loss"), F.md5(_joined(F.col("k"))).alias("mask_md5"))
+
+
+@query(_CHAT + f"SELECT conv_id, {_padded_sql('x', K.PAD)} AS input_md5, {_padded_sql('y', K.PAD)} AS target_md5, {_padded_sql('k', 0)} AS mask_md5 FROM p")
+def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat_arrays(spark, sf_dir).select("conv_id", F.md5(_joined(F.col("x"))).alias("input_md5"), F.md5(_joined(F.col("y"))).alias("target_md5"), F.md5(_joined(F.col("k"))).alias("mask_md5"))
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch, list_concat({_ids_sql("text")}[1:8], [{K.PAD} for i in range(8 - len({_ids_sql("text")}[1:8]))]) AS ids FROM documents)
-SELECT batch, count(*)::INT AS n_rows, md5(string_agg(array_to_string(ids, ','), ';' ORDER BY doc_id)) AS ids_md5 FROM t GROUP BY 1"""
+    f"""WITH t AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch, list_concat([{K.BOS}], {_ids_sql("text")}, [{K.EOS}])[1:256] AS ids FROM documents)
+SELECT batch, count(*)::INT AS n_rows, md5(string_agg(array_to_string(list_concat(ids, [{K.PAD} for i in range(256 - len(ids))]), ','), ';' ORDER BY doc_id)) AS ids_md5 FROM t GROUP BY 1"""
 )
 def stacked_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", K.pad_to(K.head(K.hashed_words(F.col("text")), 8), 8).alias("ids"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", K.pad_to(K.head(K.wrap(K.hashed_words(F.col("text"))), 256), 256).alias("ids"))
     stacked = ordering.stacked(ordering.batches(ordering.positions(docs, [F.col("doc_id")]), 16), ["ids"])
     return stacked.select("batch", F.size("ids").alias("n_rows"), F.md5(F.array_join(F.transform("ids", _joined), ";")).alias("ids_md5"))
 
@@ -489,20 +591,12 @@ def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.running_best(_steps(spark, sf_dir), ["event_id"], "loss", ["user_id"]).select("event_id", "best_before", "improved")
 
 
-@query(
-    """SELECT event_id, round(CASE WHEN event_id <= 299 THEN 0.001 + (0.00004 - 0.001) / 2 * (1 + cos(pi() * event_id / 299.0::DOUBLE))
-ELSE 0.000000004::DOUBLE + (0.001 - 0.000000004::DOUBLE) / 2 * (1 + cos(pi() * (event_id - 299) / 700.0::DOUBLE)) END, 9)::DOUBLE AS rate FROM events WHERE event_id < 1000"""
-)
-def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where("event_id < 1000").select("event_id", F.round(metrics.one_cycle(F.col("event_id"), 1000, 0.001), 9).alias("rate"))
-
-
 @query(
     """SELECT event_id, round(CASE WHEN event_id <= turn THEN 0.001 + (0.00004 - 0.001) / 2 * (1 + cos(pi() * event_id / turn))
 ELSE 0.000000004::DOUBLE + (0.001 - 0.000000004::DOUBLE) / 2 * (1 + cos(pi() * (event_id - turn) / (total - 1 - turn))) END, 9)::DOUBLE AS rate
 FROM events, (SELECT max(event_id) + 1 AS total, 0.3::DOUBLE * (max(event_id) + 1) - 1 AS turn FROM events)"""
 )
-def learning_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule over all events: its total is the largest step plus one."""
     events = read(spark, sf_dir, "events").select("event_id")
     rows = events.crossJoin(F.broadcast(events.agg((F.max("event_id") + 1).alias("total"))))  # one row

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,28 @@ def session(master: str = "local[*]", **settings: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=SETTINGS | settings).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors share.
+
+    Where none is set, a temporary folder is, but only if the session runs on this machine alone:
+    executors of a cluster don't see each other's disks, so there it is an error.
+    """
+    context = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/granary-{uuid.uuid4().hex}/{name}"
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.text import is_blank, is_json, strip
+from granary.functions.text import is_blank, is_json, json_error, strip
 
 #: What a text scan yields for bytes that are no UTF-8.
 BAD_BYTE = "\ufffd"
@@ -15,20 +15,32 @@ BAD_BYTE = "\ufffd"
 ANY_CASE_JSONL = "*.[jJ][sS][oO][nN][lL]"
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str | None = None, drop_bad_bytes: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, pattern: str | None = None, drop_bad_bytes: bool = False, blocks: bool = False) -> DataFrame:
     """(file, line): every line; `pattern` filters the files of a folder by name, not recursively.
 
-    Bad bytes are read as U+FFFD; drop_bad_bytes removes those (and genuine U+FFFD).
+    Bad bytes are read as U+FFFD; drop_bad_bytes removes those (and genuine U+FFFD). With `blocks`
+    there is also `block`, the place in the file where the line's split begins.
     """
     reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
-    lines = reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
-    return lines.withColumn("line", F.replace(F.col("line"), F.lit(BAD_BYTE), F.lit(""))) if drop_bad_bytes else lines
+    block = [F.col("_metadata.file_block_start").alias("block")] if blocks else []
+    lines = reader.text(path).select(F.col("_metadata.file_name").alias("file"), *block, F.col("value").alias("line"))
+    # a scan decodes bad bytes only where a value is looked at: a regular expression does so
+    return lines.withColumn("line", F.regexp_replace("line", BAD_BYTE, "")) if drop_bad_bytes else lines
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Adds line numbers from 1 in each file. A text scan keeps the lines of a file in order by split."""
+    """Line numbers from 1 in each file, for lines with their blocks (block is left out).
+
+    Lines are counted and numbered by split, so a task holds one split's lines and not a file's; the
+    splits' counts are then summed up by file. File names are taken to differ.
+    """
     placed = lines.withColumn("__at", F.monotonically_increasing_id())
-    return placed.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("__at"))).drop("__at")
+    placed = placed.withColumn("__in", F.row_number().over(W.partitionBy("file", "block").orderBy("__at")))
+    before = W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    counts = lines.groupBy(F.col("file").alias("__file"), F.col("block").alias("__block")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    joined = placed.join(counts, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return joined.withColumn("line_no", F.col("__before") + F.col("__in")).drop("__at", "__in", "__file", "__block", "__n", "__before", "block")
 
 
 def valid_json(lines: DataFrame) -> DataFrame:
@@ -41,6 +53,11 @@ def invalid_json(lines: DataFrame) -> DataFrame:
     return lines.where(~is_blank(F.col("line")) & ~is_json(F.col("line")))
 
 
+def quarantined(lines: DataFrame) -> DataFrame:
+    """Diagnostic: the non-blank lines that are no JSON, with what a full parser says against them."""
+    return invalid_json(lines).withColumn("error", json_error(F.col("line")))
+
+
 def strict_json(lines: DataFrame) -> DataFrame:
     """Strict: an invalid line fails the job; blank lines are left out."""
     kept = lines.where(~is_blank(F.col("line")))
@@ -67,6 +84,11 @@ def typed_json(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
 CHAT = "messages array<struct<role:string,content:string>>"
 
 
+def chat_records(lines: DataFrame) -> DataFrame:
+    """Strict: (file, messages) of each line; an invalid line fails the job. Values of other types are null."""
+    return typed_json(strict_json(lines), CHAT)
+
+
 def field_union(lines: DataFrame) -> DataFrame:
     """Names of the top-level keys of all JSON objects, with how many lines have them."""
     return lines.select(F.explode(F.array_distinct(F.json_object_keys("line"))).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n_lines"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.text import spaced_json
 from granary.operators.ordering import positions
 
 
@@ -13,8 +14,15 @@ def json_line(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
-def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
-    df.select(json_line(df).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """Leaves out the named columns; names that aren't there do no harm."""
+    return df.drop(*names)
+
+
+def write_jsonl(df: DataFrame, path: str, compression: str = "none", spaced: bool = False) -> None:
+    """Compact lines; `spaced` ones have a space after each comma and colon. An empty table gives an empty folder."""
+    line = json_line(df)
+    df.select((spaced_json(line) if spaced else line).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def shards(df: DataFrame, order: list[Column], rows: int = 300_000) -> DataFrame:

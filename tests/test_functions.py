@@ -72,10 +72,11 @@ def test_pad_head_wrap(spark):
 
 
 def test_shifted_targets_at_the_block_length(spark):
-    for n, inputs, targets in ((3, [0, 1, 2, 3], [1, 2, 3, 3]), (4, [0, 1, 2, 3], [1, 2, 3, 3]), (5, [0, 1, 2, 3], [1, 2, 3, 4])):
+    P = K.PAD
+    for n, inputs, targets in ((2, [10, P, P, P], [11, P, P, P]), (3, [10, 11, P, P], [11, 12, P, P]), (4, [10, 11, 12, P], [11, 12, 13, P]), (5, [10, 11, 12, 13], [11, 12, 13, 14])):
         start = K.crop_start(F.col("v"), 4, 1, F.lit(5))
         x, y = K.training_pair(F.col("v"), 4, start)
-        row = spark.createDataFrame([(list(range(n)),)], "v array<int>").select(start.alias("s"), x.alias("x"), y.alias("y")).first()
+        row = spark.createDataFrame([(list(range(10, 10 + n)),)], "v array<int>").select(start.alias("s"), x.alias("x"), y.alias("y")).first()
         assert (row.s, row.x, row.y) == (0, inputs, targets)
 
 
@@ -93,10 +94,15 @@ def test_chat_ids_and_mask(spark):
     assert row.k == [0, 0, 0, 0, 0, 1, 1, 1]
 
 
-def test_chat_training_arrays_at_the_block_length(spark):
-    for n, inputs, targets, mask in ((3, [0, 1, 3, 3], [1, 2, 3, 3], [1, 0, 0, 0]), (4, [0, 1, 2, 3], [1, 2, 3, 3], [1, 0, 1, 0]), (5, [0, 1, 2, 3], [1, 2, 3, 4], [1, 0, 1, 0]), (6, [0, 1, 2, 3], [1, 2, 3, 4], [1, 0, 1, 0])):
-        arrays = K.chat_training_arrays(F.col("v"), F.col("m"), 4)
-        row = spark.createDataFrame([(list(range(n)), [i % 2 for i in range(n)])], "v array<int>, m array<int>").select(F.array(*arrays).alias("a")).first()
+def test_chat_example_at_the_block_length(spark):
+    P = K.PAD
+    cases = (
+        (3, [10, 11, P, P], [11, 12, P, P], [1, 0, 0, 0]), (4, [10, 11, 12, P], [11, 12, 13, P], [1, 0, 1, 0]),
+        (5, [10, 11, 12, 13], [11, 12, 13, 14], [1, 0, 1, 0]), (6, [10, 11, 12, 13], [11, 12, 13, 14], [1, 0, 1, 0]),
+    )
+    for n, inputs, targets, mask in cases:
+        arrays = K.chat_example(F.col("v"), F.col("m"), 4)
+        row = spark.createDataFrame([(list(range(10, 10 + n)), [i % 2 for i in range(n)])], "v array<int>, m array<int>").select(F.array(*arrays).alias("a")).first()
         assert row.a == [inputs, targets, mask]
 
 

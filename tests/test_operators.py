@@ -66,6 +66,39 @@ def test_exact_dedup_keeps_the_first(spark):
     assert sorted(r.id for r in dedup.exact_dedup(df, F.md5("t"), [F.col("id")]).collect()) == [1, 2]
 
 
+def test_exact_dedup_of_repeated_rows_and_shared_keys(spark):
+    rows = [(1, "A"), (1, "B"), (0, "B"), (2, "C"), (2, "C"), (None, "D"), (None, "E"), (3, None), (4, None)]
+    df = spark.createDataFrame(rows, "hash int, `at.row` string")
+    got = dedup.exact_dedup(df, F.md5(F.col("`at.row`")), [F.col("hash")])
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "A"), (0, "B"), (2, "C"), (None, "D"), (None, "E"), (3, None)], key=str)
+    assert dedup.exact_dedup(df.limit(0), F.md5(F.col("`at.row`")), [F.col("hash")]).count() == 0
+    maps = spark.createDataFrame([(2, {"a": 1}), (1, {"b": 2})], "id int, m map<string,int>")
+    assert [r.id for r in dedup.exact_dedup(maps, F.lit("x"), [F.col("id")]).collect()] == [1]
+
+
+def test_signatures_equal_plain_arithmetic(spark):
+    rng = random.Random(4)
+    sets = [sorted({rng.randrange(dedup.MODULUS) for _ in range(n)}) for n in (0, 1, 700, 3, 0, 1500, 511, 2)]
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id long, hashes array<long>").unionByName(spark.createDataFrame([(99, None)], "doc_id long, hashes array<long>"))
+    a, b = dedup.permutations()
+    for r in dedup.signatures(df).collect():
+        hashes = sets[r.doc_id] if r.doc_id < 99 else []
+        assert r.signature == [min([(x * h + y) % dedup.MODULUS for h in hashes], default=dedup.MODULUS) for x, y in zip(a, b, strict=True)]
+
+
+def test_positions_by_key_equal_positions(spark):
+    df = spark.range(200).select(F.col("id").alias("k"), F.pmod(F.col("id") * 7, F.lit(50)).alias("v"), F.lit("wide").alias("text"))
+    order = [F.col("v"), F.col("k")]
+    plain, keyed = (sorted(map(tuple, ordering.positions(df, order, key=key).collect())) for key in (None, ["k"]))
+    assert plain == keyed and ordering.positions(df, order, key=["k"]).columns == ["k", "v", "text", "position"]
+
+
+def test_near_dedup_of_one_id_with_several_texts(spark):
+    rows = [(1, "a b c"), (1, "x y z"), (2, "c b a"), (None, "u v")]
+    assert sorted((r.doc_id for r in dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == [1, None]
+
+
 def test_greedy_keeps_what_is_near_a_dropped_row_only(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "low long, high long")

@@ -44,5 +44,5 @@ def test_query(spark, duck, name):
 
 def test_learning_rate_of_every_event(spark, tmp_path):
     spark.range(3000).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
-    rates = {r.event_id: r.rate for r in QUERIES["learning_rate_all"](spark, str(tmp_path)).collect()}
+    rates = {r.event_id: r.rate for r in QUERIES["learning_rate"](spark, str(tmp_path)).collect()}
     assert len(rates) == 3000 and rates[0] == 0.00004 and rates[899] == 0.001 and rates[2999] == 4e-9

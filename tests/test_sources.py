@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -29,7 +30,59 @@ def test_tolerant_lines_and_counts(spark, folder):
     assert [r.line for r in files.invalid_json(lines).collect()] == ["not json"]
     assert {r.file: (r.raw, r.skipped, r.valid) for r in files.line_statistics(lines).collect()} == {"a.jsonl": (6, 3, 3), "B.JSONL": (1, 0, 1)}
     assert {r.field: r.n_lines for r in files.field_union(files.valid_json(lines)).collect()} == {"text": 2, "n": 1, "m": 1}
-    assert [r.line_no for r in files.numbered(lines).where("file = 'a.jsonl' and line = 'null'").collect()] == [5]
+    assert [(r.line, r.error) for r in files.quarantined(lines).collect()] == [("not json", "Expecting value: line 1 column 1 (char 0)")]
+
+
+def test_line_numbers_over_several_splits(spark, tmp_path):
+    for name, n in (("a.txt", 5000), ("b.txt", 3)):
+        (tmp_path / name).write_text("".join(f"{name} {k}\n" for k in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        lines = files.read_lines(spark, str(tmp_path), blocks=True)
+        assert lines.select("block").distinct().count() > 3
+        rows = files.numbered(lines).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 5003 and all(r.line == f"{r.file} {r.line_no}" for r in rows)
+
+
+def test_chat_records_and_spaced_lines(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"messages":[{"role":"user","content":"a"},{"role":"user","content":null}]}\n\n{"messages":3}\n')
+    got = [r.messages for r in files.chat_records(files.read_lines(spark, str(tmp_path))).collect()]
+    assert [[tuple(m) for m in ms] if ms is not None else None for ms in got] == [[("user", "a"), ("user", None)], None]
+    df = spark.createDataFrame([(1, "é, :", [1, 2], None)], "a int, b string, c array<int>, d string")
+    sinks.write_jsonl(sinks.without(df, "d", "none"), f"{tmp_path}/out", spaced=True)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ['{"a": 1, "b": "é, :", "c": [1, 2]}']
+
+
+def test_sentencepiece_equals_the_plain_processor(spark):
+    public_tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    from granary.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    processor = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = processor.encode(r.text)
+        want[r.doc_id] = (len(ids), hashlib.md5(",".join(map(str, ids)).encode()).hexdigest())
+    assert {r.doc_id: (r.n_ids, r.ids_md5) for r in QUERIES["sentencepiece_tokens"](spark, sf).collect()} == want
+
+
+def test_no_local_folder_off_this_machine(spark, monkeypatch):
+    from granary.plans import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="all executors share"):
+        session.shared_folder(Session)
 
 
 def test_strict_reads_fail_on_bad_lines(spark, folder):

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import checkpointed
 
-
 #: A node is heavy if it has more than one in so many of all links: at most twice so many are broadcast.
 _HEAVY = 512
+#: Links for each task of a round. Rounds shrink a graph, and many near-empty tasks would cost more than its links.
+_TASK = 1 << 16
 
 
-def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(links: DataFrame, large: bool, total: int, tasks: int) -> DataFrame:
     """large: each node hands its larger neighbours to its least neighbour; else its smaller ones and itself.
 
     Heavy nodes meet their neighbours by a broadcast, so none of them fills a task of its own.
     """
     u, v = F.col("u"), F.col("v")
     if large:
-        around = links.select("u", "v").unionByName(links.select(v.alias("u"), u.alias("v")))
+        around = links.select("u", "v").unionByName(links.select(v.alias("u"), u.alias("v"))).coalesce(tasks)
     else:
         around = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(u.alias("w"), F.least("m", "u").alias("m"), "degree")
@@ -34,7 +35,14 @@ def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
         out = out.where(F.col("u") > F.col("own")).select("u", "v")
     else:
         out = out.select("u", "v").unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether each node has one link, to a node that has none."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1)).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,12 +51,12 @@ def components(links: DataFrame) -> DataFrame:
     Loops and repeated links do no harm; without links the result is empty. Each round is
     checkpointed, so a lost executor costs one round at most.
     """
-    links = checkpointed(links.where(F.col("u") != F.col("v")).distinct())
-    before = None
-    while True:
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+    u, v = F.col("u"), F.col("v")
+    links = checkpointed(links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    while total := links.count():
+        tasks = 1 + total // _TASK
+        links = links.coalesce(tasks)
+        if _settled(links):
             break
-        before = state
-        links = checkpointed(_star(_star(links, True, state[0]), False, state[0]))
+        links = checkpointed(_star(_star(links, True, total, tasks), False, total, tasks))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

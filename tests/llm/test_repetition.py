@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter
 
+import pytest
+
 from granary.llm.repetition import RepetitionRules, measure, repetition_coverage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,3 +80,13 @@ def test_rules_reject_repeats_that_the_base_rule_lets_pass(spark):
     assert not got[2].kept and not got[2].base_failed
     loose = RepetitionRules(ngram_percent=((5, 100),), line_percent=100)
     assert all(r.kept for r in repetition_coverage(spark.createDataFrame(rows, "doc_id long, text string"), rules=loose).collect())
+
+
+def test_the_method_decides_on_the_tables(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    rows = repetition_coverage(spark.read.parquet(path)).where("NOT base_failed").collect()
+    gone = [r for r in rows if not r.kept]
+    assert 0 < len(gone) < 0.02 * len(rows)
+    assert all(100 * max(*(r[f"cover_{n}"] for n in range(5, 11)), 2 * r.dup_line_chars) > 20 * r.word_chars for r in gone)

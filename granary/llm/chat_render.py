@@ -6,10 +6,11 @@ outputs. If an output begins with the one before, what is new is the turn's span
 template rewrites history at that turn. Where inside its span a turn's text stands is found by
 rendering the turn with a marker for its text.
 
-Rendering all prefixes takes time with the square of the number of turns. So beyond `window` turns
-each step renders only the last `window` turns, with and without the newest; at the end one
-rendering of the whole conversation must equal the spans in a row. If it doesn't (the template looks
-back further), all prefixes are rendered after all. Results are those of full prefixes either way.
+Rendering all prefixes takes time with the square of the number of turns, but only two outputs are
+held at a time. For templates known to be local, `window` is an approximation that isn't on unless
+asked for: each step then renders only the last `window` turns, with and without the newest, and all
+prefixes after all if the spans in a row don't equal one rendering of the whole conversation. It
+misses what a template rewrites at some prefixes and undoes later.
 
 `bracket_template` is the template used here. It marks turns with control strings and escapes
 control strings inside texts by a backslash after their first character (and doubles backslashes),
@@ -28,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,10 +46,18 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 _MARK = "\ue000\ue001\ue000"
 
 
-def escape(text: str) -> str:
+def _escaped(text: str) -> str:
     return _SPECIAL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
+#: Short texts recur in every prefix.
+_remembered = lru_cache(4096)(_escaped)
+
+
+def escape(text: str) -> str:
+    return _remembered(text) if len(text) <= 4096 else _escaped(text)
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -128,7 +138,7 @@ def _prefixes(template: Template, turns: list[Turn], window: int | None) -> tupl
     return added, rewrites
 
 
-def trace(template: Template, turns: list[Turn], window: int | None = 32) -> Trace:
+def trace(template: Template, turns: list[Turn], window: int | None = None) -> Trace:
     whole = template(turns)
     first = template([])
     added, rewrites = _prefixes(template, turns, window)
@@ -148,7 +158,7 @@ _TURNS = 4_096
 
 
 def format_conversations(
-    df: DataFrame, template: Template = bracket_template, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant", window: int | None = 32
+    df: DataFrame, template: Template = bracket_template, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant", window: int | None = None
 ) -> DataFrame:
     """One row for each conversation: its id, the formatted string, the turns' spans with the loss mask, rewrites.
 

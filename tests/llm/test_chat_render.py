@@ -99,3 +99,21 @@ def test_query_against_plain_python(spark, sf):
         loss = "".join(x for role, x in t if role == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(t), digest("".join(f"{a}\n{b}\n" for a, b in t)))
         assert (r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(loss), digest(loss), len(bracket_template(t)))
+
+
+def marks_some_lengths(turns):
+    """Puts a mark in front of 36 to 40 turns only."""
+    return ("#" if 36 <= len(turns) <= 40 else "") + "".join(f"<{r}>{t}" for r, t in turns)
+
+
+def test_rewrites_that_are_undone_are_detected(spark):
+    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(60)]
+    assert trace(marks_some_lengths, turns).rewrites == trace(marks_some_lengths, turns, None).rewrites == [35, 40]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert format_conversations(rows, marks_some_lengths).first().rewrites == [35, 40]
+
+
+def test_hundreds_of_turns():
+    turns = [("user" if k % 2 else "assistant", f"text {k} " * 20) for k in range(400)]
+    got = trace(bracket_template, turns)
+    assert not got.rewrites and [got.formatted[c:d] for _, _, c, d in got.spans] == [t for _, t in turns]

@@ -1,8 +1,8 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed length.
 
 Documents are tokenised by `tokenizers` and end with a separator id; only those longer than a
-sequence are cut. The pieces are dealt by hash over blocks of a bounded expected number of
-documents, and each block is packed on a histogram of its lengths: a sequence takes the longest
+sequence are cut. The pieces are dealt by a hash of their row number (so equal rows are spread, too)
+over blocks of a bounded expected number of pieces, and each block is packed on a histogram of its lengths: a sequence takes the longest
 piece left, then always the longest that fits; if a gap remains, the sequence's smallest piece is
 swapped for the two unpacked pieces that fill the gap and its place most tightly, if any two do
 better. A block leaves at most a few sequences part-filled, so blocks cost a small share of
@@ -38,7 +38,7 @@ from granary.llm.common import pieces
 class PackSettings:
     length: int = 2048
     separator: int = 0
-    block_docs: int = 16_384
+    block_docs: int = 16_384  # of documents; pieces of long ones come on top
     #: Distinct words that a worker remembers, in each of two generations.
     remembered: int = 250_000
 
@@ -207,7 +207,7 @@ def pack_pieces(parts: DataFrame, docs: int, id_col: str = "doc_id", settings: P
     docs: the number of documents, from which the number of blocks follows.
     """
     blocks = max(1, -(-docs // settings.block_docs))
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64(id_col, "piece", "length", "ids_crc32"), F.lit(blocks)).cast("long"))
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
     names = parts.columns
 

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from granary.llm import packing, queries
 from granary.llm.packing import PackSettings, best_two_fit, public_vocabulary
 
@@ -79,6 +81,13 @@ def test_many_blocks_lose_little(spark):
     assert one <= many <= one + 10
 
 
+def test_equal_rows_are_spread_over_blocks(spark):
+    df = spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("a b").alias("text"))
+    rows = packing.pack_documents(df, public_vocabulary, settings=PackSettings(block_docs=5_000))
+    sizes = [r["count"] for r in rows.groupBy(F.shiftright("sequence_id", 40)).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 100_000 and max(sizes) < 6_000
+
+
 def test_ids_can_be_had(spark):
     df = spark.createDataFrame([(1, "hello " * 2100)], "doc_id long, text string")
     rows = packing.token_pieces(df, public_vocabulary, with_ids=True).orderBy("piece").collect()

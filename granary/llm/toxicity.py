@@ -10,8 +10,11 @@ numpy, for a whole batch of texts. A text is scored in windows of `window` words
 of its most toxic window, so a few toxic words weigh as much in a very long text as in a short one.
 
 The fit takes at most `max_rows_per_class` labelled texts of each class, those with the smallest
-hashes of their ids, both classes weighing the same. It runs on the driver, which gets those texts'
-hashed features and nothing else. Scoring covers every row.
+hashes of their ids, both classes weighing the same. Workers turn them into distinct features with
+counts; these are summed by class in Spark, and the `max_features` features whose counts depart most
+from an even spread (by the log-likelihood ratio) stay. Only those reach the driver, three bytes for
+each that a text holds, so what it gets is bounded by rows and features and not by the texts'
+lengths. Scoring covers every row.
 
 Defined results: null text counts as empty; an empty text gets the score of the intercept. Null
 labels and labels of absent documents are passed over; an id labelled twice takes the larger label;
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import mix64, pieces
+from granary.llm.common import checkpointed, mix64, pieces
 
 _PRIME = np.uint64(0x100000001B3)
 #: Texts turned into arrays of four bytes a character at a time.
@@ -43,6 +46,7 @@ class ToxicitySettings:
     max_rows_per_class: int = 2_000
     grams: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
+    max_features: int = 32_768
     smoothing: float = 1.0
     penalty: float = 30.0
     steps: int = 60
@@ -125,18 +129,21 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, share: float, settings: ToxicitySettings) -> ToxicityModel:
-    """rows: the features of each text, repeats for counts. share: of label 1 among all labels."""
+def log_ratios(clean: np.ndarray, toxic: np.ndarray, sums: tuple[float, float], settings: ToxicitySettings) -> np.ndarray:
+    """Log ratio of the smoothed shares of features with these counts, given each class's sum over all features."""
+    size = settings.smoothing * (1 << settings.bits)
+    return np.log((toxic + settings.smoothing) / (sums[1] + size)) - np.log((clean + settings.smoothing) / (sums[0] + size))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: float, ratio: np.ndarray, features: np.ndarray, settings: ToxicitySettings) -> ToxicityModel:
+    """rows: for each text places in `features`, and counts. ratio: the features' log ratios. share: of label 1 among all labels."""
     logit = lambda p: float(np.log(p / (1 - p)))
     if not len(y) or y.min() == y.max():
         return ToxicityModel(logit(min(max(share, 0.01), 0.99)), None, settings)
-    size = 1 << settings.bits
-    held = [np.unique(r, return_counts=True) for r in rows]
-    gram, count = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]).astype(np.float32)
-    doc = np.repeat(np.arange(len(rows)), [len(g) for g, _ in held])
-    totals = [np.bincount(gram[mine], count[mine], size) + settings.smoothing for mine in ((y == 0)[doc], (y == 1)[doc])]
-    ratio = np.log(totals[1] / totals[1].sum()) - np.log(totals[0] / totals[0].sum())
-    scaled = (ratio[gram] * count).astype(np.float32)
+    size = len(features)
+    gram = np.concatenate([g for g, _ in rows]).astype(np.int64)
+    doc = np.repeat(np.arange(len(rows)), [len(g) for g, _ in rows])
+    scaled = (ratio[gram] * np.concatenate([n for _, n in rows])).astype(np.float32)
     sample_weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(size), 0.0
     # Adam over all rows at once; the sample is bounded, so is each step
@@ -149,7 +156,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, settings: ToxicityS
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return ToxicityModel(bias, (w * ratio).astype(np.float32), settings)
+    weights = np.zeros(1 << settings.bits, np.float32)
+    weights[features] = w * ratio
+    return ToxicityModel(bias, weights, settings)
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -176,19 +185,54 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     by_hash = lambda c: known.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(settings.max_rows_per_class)
     sample = by_hash(1.0).unionByName(by_hash(0.0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's distinct features, ascending, as four bytes each, and counts, as one."""
         for piece in pieces(batches, "text", _PIECE):
             doc, _, gram = gram_features(_texts(piece.column("text")), settings)
-            order = np.argsort(doc, kind="stable")
-            counts = np.bincount(doc, minlength=piece.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(gram[order], pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), lists], names=["id", "y", "x"])
+            key, n = np.unique(doc.astype(np.int64) << settings.bits | gram, return_counts=True)
+            cut = np.searchsorted(key, np.arange(piece.num_rows + 1, dtype=np.int64) << settings.bits)
+            gram, n = (key & ((1 << settings.bits) - 1)).astype("<u4"), np.minimum(n, 255).astype(np.uint8)
+            packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (gram, n)]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), *packed], names=["id", "y", "grams", "counts"])
 
     # the sample has at most twice max_rows_per_class rows, so it is broadcast whatever the size of the corpus
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
     kind = joined.schema["id"].dataType.simpleString()
-    rows = joined.select("id", "y", "text").dropDuplicates(["id", "text"]).mapInArrow(run, f"id {kind}, y double, x array<int>").groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y"))
-    got = rows.toArrow()
+    counted = joined.select("id", "y", "text").mapInArrow(count, f"id {kind}, y double, grams binary, counts binary")
+    rows = checkpointed(counted.groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct("grams", "counts")).alias("x")).select("id", "y", "x.grams", "x.counts"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 << settings.bits), np.int64)
+        for batch in batches:
+            for y, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("y", "grams", "counts")), strict=True):
+                sums[int(y), np.frombuffer(grams, "<u4")] += np.frombuffer(counts, np.uint8)
+        held = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (held, sums[0, held], sums[1, held])], names=["gram", "clean", "toxic"])
+
+    totals = rows.mapInArrow(add, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").cast("double").alias("clean"), F.sum("toxic").cast("double").alias("toxic"))
+    totals = checkpointed(totals)
+    sums = totals.agg(F.coalesce(F.sum("clean"), F.lit(0.0)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    whole = max(sum(sums), 1.0)
+    part = lambda c, total: F.when((F.col(c) > 0) & F.lit(total > 0), F.col(c) * F.log(F.col(c) / ((F.col("clean") + F.col("toxic")) * (max(total, 1.0) / whole)))).otherwise(0.0)
+    departure = F.round(part("clean", sums[0]) + part("toxic", sums[1]), 6)
+    chosen = totals.orderBy(departure.desc(), "gram").limit(settings.max_features).toArrow()
+    chosen = chosen.take(np.argsort(chosen["gram"].to_numpy(), kind="stable")) if chosen.num_rows else chosen
+    features = chosen["gram"].to_numpy()
+    ratio = log_ratios(chosen["clean"].to_numpy(), chosen["toxic"].to_numpy(), sums, settings)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed: list[list[bytes]] = [[], []]
+            for grams, counts in zip(*(batch.column(c).to_pylist() for c in ("grams", "counts")), strict=True):
+                gram = np.frombuffer(grams, "<u4").astype(np.int64)
+                place = np.searchsorted(features, gram)
+                hit = features[np.minimum(place, len(features) - 1)] == gram if len(features) else np.zeros(len(gram), bool)
+                packed[0].append(place[hit].astype("<u2" if len(features) <= 1 << 16 else "<u4").tobytes())
+                packed[1].append(np.frombuffer(counts, np.uint8)[hit].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array(x, pa.binary()) for x in packed)], names=["id", "y", "places", "counts"])
+
+    got = rows.mapInArrow(select, f"id {kind}, y double, places binary, counts binary").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable") if got.num_rows else np.zeros(0, int)
-    x = [got["x"][int(i)].values.to_numpy() for i in order]
-    return fit(x, got["y"].to_numpy()[order] if got.num_rows else np.zeros(0), (ones + 1) / (n + 2), settings)
+    width = "<u2" if len(features) <= 1 << 16 else "<u4"
+    x = [(np.frombuffer(got["places"][int(i)].as_py(), width), np.frombuffer(got["counts"][int(i)].as_py(), np.uint8)) for i in order]
+    return fit(x, got["y"].to_numpy()[order] if got.num_rows else np.zeros(0), (ones + 1) / (n + 2), ratio, features, settings)

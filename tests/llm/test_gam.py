@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +87,40 @@ def test_sample_is_bounded(spark):
     assert seen == [40]
 
 
+def plain_features(text):
+    """FEATURES, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars = max(len(words), 1), sum(map(len, words))
+    raw = text.encode()
+    count = lambda marks: sum(chr(b) in marks for b in raw)
+    letters = max(sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw), 1)
+    grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    often = Counter(grams)
+    covered = {k + i for k, g in enumerate(grams) if often[g] > 1 for i in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    mean = chars / n
+    return [
+        np.log1p(len(words)), mean, math.sqrt(max(sum(len(w) ** 2 for w in words) / n - mean**2, 0)), count("#*$%&<>@^~=+_\\{}[]") / n, count("|") / n,
+        sum(65 <= b <= 90 for b in raw) / letters, sum(48 <= b <= 57 for b in raw) / max(chars, 1), count("!?") / n, len(covered) / n,
+        (len(lines) - len(set(lines))) / max(len(lines), 1), sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 1 - (len(words) - len(set(words))) / n, np.log1p(len(words) / max(len(lines), 1)),
+    ]
+
+
+def test_query_against_plain_python(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, queries.learnable(labels, 4, 2))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op8_quality_gam(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and model.tables
+    for r in rows:
+        x = plain_features(texts[r.doc_id])
+        assert x == pytest.approx(features([texts[r.doc_id].encode()])[0].tolist(), abs=1e-9)
+        margin = model.intercept + sum(t[sum(x[f] >= c for c in e)] for f, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)))
+        margin += sum(v[sum(x[i] >= c for c in model.pair_edges[i]), sum(x[j] >= c for c in model.pair_edges[j])] for i, j, v in model.pairs)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-6)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op8_quality_gam(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.plans.session import materialized
+
 #: Bytes of text that a worker turns into numpy arrays at a time; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
 
@@ -19,21 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
-
-    Only where that setting is empty (tests on one machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Cuts the lineage with a reliable checkpoint in the folder that all executors share.
+checkpointed = materialized
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

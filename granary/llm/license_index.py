@@ -1,18 +1,25 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are word sequences with mandatory key phrases. Of each template the key-phrase word with
-the highest IDF over the corpus is its rare token; document frequencies are counted over all files.
-A file's index holds the places of the rare tokens in it. A posting proposes the alignment in which
-the file's token falls on the template's; an alignment stands if every mandatory key phrase's words
-stand at their relative positions and at least `share` of all the template's words do. Since the
-rare token belongs to a key phrase, no alignment is missed, whichever token is the rarest.
+Templates are word sequences with mandatory key phrases; the phrases' words are the licence words. One
+pass over the texts writes, for each file, its number of words and the licence words it holds; and,
+if it holds all the licence words of some template, its index: the places of all words that stand in
+templates. Nothing else is kept, and the texts aren't read again.
+
+The licence words' document frequencies are counted over all files. Each file's licence words are
+then ranked by IDF. For each template of which the file has all licence words, the two that rank
+highest in the file are looked up: their postings, less their places in the template, are
+intersected, which leaves the starts at which both stand in the right distance. The starts of the
+other licence words are intersected with those, which verifies the key phrases. An alignment stands
+if at least `share` of all the template's words do; these are counted over the starts that are left.
+All steps are linear in a file's postings.
 
 Words are runs of digits, ASCII letters (lower-cased) and characters beyond ASCII.
 
 Defined results: null text counts as empty; a text without words has no alignment, null places, no
 labels and score 0. Ties in IDF go to the word that is first by code point. Equal texts get equal
-results; rows are handled one by one, repeated rows too, without any shuffle. Very long texts are
-taken whole. Only id and text are read, so further columns can't clash; an empty table gives an
+results; rows are handled one by one, repeated rows too, without any shuffle but the count of
+frequencies. Null ids are kept. An alignment may begin before the text or end after it, as long as
+the key phrases stand inside. Very long texts are taken whole. Only id and text are read, so further columns can't clash; an empty table gives an
 empty result.
 """
 
@@ -23,6 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import checkpointed
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -71,6 +80,37 @@ TEMPLATES = (
     Template("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy", "without fee")),
     Template("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    Template(
+        "mit-body",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with "
+        "the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "merchantability fitness for a particular purpose"),
+    ),
+    Template(
+        "isc-body",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all "
+        "copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author "
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+        "action arising out of or in connection with the use or performance of this software",
+        ("with or without fee", "author disclaims all warranties"),
+    ),
+    Template(
+        "bsd-2-body",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "zlib-body",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to "
+        "anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ("express or implied warranty", "alter it and redistribute it freely"),
+    ),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
@@ -80,50 +120,76 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def document_frequencies(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> dict[str, int]:
-    """Files that hold each key-phrase word; as many rows reach the driver as there are such words."""
-    vocabulary = sorted({w for t in templates for w in t.mandatory.values()})
-    found = df.select(F.explode(F.array_intersect(words(F.col(text_col)), F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {w: counts.get(w, 0) for w in vocabulary}
+def licence_words(templates: tuple[Template, ...] = TEMPLATES) -> list[str]:
+    return sorted({w for t in templates for w in t.mandatory.values()})
+
 
+def _texts(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
 
-def rare_token(template: Template, frequencies: dict[str, int]) -> tuple[int, str]:
-    """Place and word of the template's key-phrase word with the highest IDF."""
-    _, word, place = min((frequencies[w], w, k) for k, w in template.mandatory.items())
-    return place, word
+
+def index_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """(id, n_words, held, postings): each file's licence words, and the places of template words if it has all of some template's licence words."""
+    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    rows = rows.select("id", "words", F.array_intersect("words", _texts(licence_words(templates))).alias("held"))
+    wanted = F.lit(False)
+    for t in templates:
+        wanted = wanted | (F.size(F.array_except(_texts(sorted(set(t.mandatory.values()))), "held")) == 0)
+    vocabulary = sorted({w for t in templates for w in t.words})
+    posting = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(vocabulary))
+    none = F.from_json(F.lit("[]"), "array<struct<at:int,word:string>>")
+    return rows.select("id", F.size("words").cast("long").alias("n_words"), "held", F.when(wanted, posting).otherwise(none).alias("postings"))
+
+
+def document_frequencies(index: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
+    """Files that hold each licence word; as many rows reach the driver as there are such words."""
+    counts = {r["word"]: r["n"] for r in index.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {w: counts.get(w, 0) for w in licence_words(templates)}
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, frequencies: dict[str, int] | None = None) -> DataFrame:
     """One row for each row of df: id, n_words, matches (label, base, start, share), by start and label."""
-    frequencies = document_frequencies(df, templates, text_col) if frequencies is None else frequencies
-    rare = [rare_token(t, frequencies) for t in templates]
-    tokens = sorted({w for _, w in rare})
-    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    posting = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(tokens))
-    held = F.arrays_overlap("words", F.array(*map(F.lit, tokens)))
-    rows = rows.select("id", "words", F.when(held, posting).otherwise(F.from_json(F.lit("[]"), "array<struct<at:int,word:string>>")).alias("postings"))
-    found = F.flatten(F.array(*[_alignments(t, place, word) for t, (place, word) in zip(templates, rare, strict=True)]))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,label:string,base:boolean,share:double>>")
-    return rows.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.when(F.size("postings") > 0, F.array_sort(found)).otherwise(none).alias("matches"))
-
-
-def _alignments(t: Template, place: int, word: str) -> Column:
-    """Where the template stands, proposed by the postings of its rare token."""
-    starts = F.transform(F.filter("postings", lambda x: x["word"] == word), lambda x: x["at"] - place)
-    at = lambda start, k: F.get("words", start + k)
-
-    def stands(start: Column) -> Column:
-        out = F.lit(True)
-        for k, w in t.mandatory.items():
-            out = out & F.coalesce(at(start, k) == w, F.lit(False))
-        return out
-
-    def share(start: Column) -> Column:
-        hits = F.lit(0)
-        for k, w in enumerate(t.words):
-            hits = hits + F.coalesce(at(start, k) == w, F.lit(False)).cast("int")
-        return hits / F.lit(float(len(t.words)))
-
-    matched = F.transform(F.filter(starts, stands), lambda s: F.struct(s.alias("start"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), share(s).alias("share")))
-    return F.filter(matched, lambda m: m["share"] >= t.share)
+    index = checkpointed(index_files(df, id_col, text_col, templates))
+    frequencies = document_frequencies(index, templates) if frequencies is None else frequencies
+    by_idf = sorted(frequencies, key=lambda w: (frequencies[w], w))
+    rows = index.withColumn("ranked", F.array_intersect(_texts(by_idf), F.when(F.size("postings") > 0, F.col("held")).otherwise(_texts([]).cast("array<string>"))))
+    # one column after the other, so that none is worked out again inside a lambda
+    rows = rows.withColumns({f"stands{k}": _stands(t) for k, t in enumerate(templates)})
+    rows = rows.withColumns({f"hits{k}": _hits(t, F.col(f"stands{k}")) for k, t in enumerate(templates)})
+    rows = rows.withColumns({f"runs{k}": _runs(f"hits{k}") for k in range(len(templates))})
+    found = F.flatten(F.array(*[_matches(t, f"hits{k}", f"runs{k}") for k, t in enumerate(templates)]))
+    return rows.select(F.col("id").alias(id_col), "n_words", F.array_sort(found).alias("matches"))
+
+
+def _starts(word: Column, place: Column) -> Column:
+    """Where a template would start for each posting of the word at that place of it."""
+    return F.transform(F.filter("postings", lambda p: p["word"] == word), lambda p: p["at"] - place)
+
+
+def _stands(t: Template) -> Column:
+    """Starts at which all key phrases stand, proposed by the file's two highest-IDF words of them."""
+    places = {w: k for k, w in reversed(t.mandatory.items())}
+    place = F.create_map(*[F.lit(x) for wk in places.items() for x in wk])
+    own = F.filter("ranked", lambda w: w.isin(list(places)))
+    rarest = [F.get(own, F.lit(min(i, len(places) - 1))) for i in range(2)]
+    out = F.array_intersect(*[_starts(w, place[w]) for w in rarest])
+    for k, w in t.mandatory.items():
+        out = F.array_intersect(out, _starts(F.lit(w), F.lit(k)))
+    return F.when(F.size(own) == len(places), out).otherwise(F.array().cast("array<int>"))
+
+
+def _hits(t: Template, stands: Column) -> Column:
+    """Each of these starts, sorted, as often as words of the template stand right for it."""
+    each = F.array(*[F.array_intersect(stands, _starts(F.lit(w), F.lit(k))) for k, w in enumerate(t.words)])
+    return F.when(F.size(stands) > 0, F.sort_array(F.flatten(each))).otherwise(F.array().cast("array<int>"))
+
+
+def _runs(hits: str) -> Column:
+    """Places in the sorted array at which a new value begins."""
+    return F.filter(F.transform(hits, lambda x, i: F.when((i == 0) | (F.get(hits, i - 1) != x), i)), lambda i: i.isNotNull())
+
+
+def _matches(t: Template, hits: str, runs: str) -> Column:
+    share = lambda i, j: (F.coalesce(F.get(runs, j + 1), F.size(hits)) - i) / F.lit(float(len(t.words)))
+    found = F.transform(runs, lambda i, j: F.struct(F.get(hits, i).alias("start"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), share(i, j).alias("share")))
+    return F.filter(found, lambda m: m["share"] >= t.share)

@@ -4,21 +4,26 @@ A source's target is its weight's share of all sizes, capped at a number of epoc
 what lies above a cap is shared anew by weight among the others until no source is above its cap.
 A source takes as many complete epochs as fit its target. The rest of its budget is a weighted
 sample without replacement: each document draws an exponential key scaled by its quality weight,
--ln(u) / weight, with u from a hash of the id; documents come in the order of their keys, and the
-prefix sum of their sizes goes up to the budget. The document that crosses it is left out; then,
-twice, the largest document that still fits is added. What fits after that is taken in the order of
-keys, again up to the document that crosses what is left, in as many rounds as it takes until no
-source has a document left that fits. (`whole=False` ends after the two; op9's SQL does so.)
+-ln(u) / weight, with u from a hash of the id; in the order of their keys, each document is taken
+that fits what the documents before it have left of the budget.
+
+This goes in rounds. A round takes, of the documents that fit what is left, those whose prefix sum
+fits, too; the one that crosses fits no more, and neither does any passed over before, so the next
+round goes on behind it. Rounds end when no source has a document left that fits.
 
 The prefix sum never sorts a source in one task. Keys are dealt over a fixed number of ranges;
 sizes are summed by source and range (map-side first), a running sum over those few rows finds the
-range in which a source's budget ends, and only that range's documents are sorted.
+range in which a source's budget ends, and only that range's documents are put in order: rows with
+equal key, id and size are summed by part of the input first, so that rows of one id, however many,
+are no hot spot. What is known of a source meets its rows under several salts. The sources
+themselves, one row each, are sorted in one task; that holds for millions of them.
 
 Defined results: a null text has size 0, as has an empty one; such documents take 0. Null is a
 source of its own, last in the order. A null, NaN or non-positive quality weight counts as 1.
-Documents with equal keys are ordered by id, then by size; rows that repeat id and text draw the
-same key and are taken in that order, one by one. An empty table gives an empty result. Columns
-other than the id, source, text and weight are left behind, so their names can't clash. Reruns agree.
+Documents with equal keys are ordered by id (null last), then by size; rows that repeat id and size
+draw the same key and are taken one by one, in any order. An empty table gives an empty result.
+Columns other than the id, the source and those to carry are left behind, so their names can't
+clash. Reruns agree.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from granary.llm.common import checkpointed
 
 #: Tasks over which the rows of one source are spread where they meet its sums.
 _SALTS = 64
+#: Rows for each task of a round: later rounds have few.
+_TASK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -42,9 +49,7 @@ class MixSettings:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  # of the sources in order, repeating
     max_epochs: int = 3
     ranges: int = 4096
-    fill_rounds: int = 2
     seed: str = "mix"
-    whole: bool = True  # after the fills, on in the order of keys until nothing that is left fits
 
 
 def targets(sizes: DataFrame, settings: MixSettings) -> DataFrame:
@@ -71,108 +76,67 @@ def targets(sizes: DataFrame, settings: MixSettings) -> DataFrame:
 
 
 def mix_sources(
-    df: DataFrame, size: Column, quality: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: MixSettings = MixSettings()
+    df: DataFrame, size: Column, quality: Column | None = None, id_col: str = "doc_id", source_col: str = "source", settings: MixSettings = MixSettings(), carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row for each row of df: id, source, size, source_size, target, taken (size times its epochs).
+    """One row for each row of df: id, source, size, source_size, target, taken (size times its epochs), and the columns to carry.
 
     `size` and `quality` are expressions over df.
     """
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(settings.seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     weight = F.coalesce(quality.cast("double"), F.lit(1.0)) if quality is not None else F.lit(1.0)
     weight = F.when(F.isnan(weight) | (weight <= 0), 1.0).otherwise(weight)
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), (-F.log(u) / weight).alias("key"))
-    docs = docs.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * settings.ranges))
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), (-F.log(u) / weight).alias("key"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
     # ids, sources and numbers only: the texts are read once; the checkpoint also fixes the rows' numbers
     docs = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
-    ranges = docs.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    plan = targets(sizes, settings)
+    plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), settings)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    ranges = _with_plan(_running(ranges), plan).select("source", "range", "before", "range_size", "budget", "epochs", "target", "source_size")
-    # one row a source and range, at most `ranges` for each source
-    docs = docs.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-    out = _in_order(docs.select("row", "id", "d.source", "size", "key", "d.range", "before", "range_size", "budget", "epochs", "target", "source_size"))
-    for _ in range(settings.fill_rounds):
-        out = _filled(out)
-    if settings.whole:
-        out = _completed(out)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
-
-
-def _with_plan(ranges: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.withColumnRenamed("source", "plan_source")
-    return ranges.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-
-
-def _running(ranges: DataFrame) -> DataFrame:
-    """Adds to rows of (source, range, range_size) what the source's earlier ranges hold."""
-    by_source = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    return ranges.withColumn("before", F.coalesce(F.sum("range_size").over(by_source), F.lit(0)))
-
-
-def _in_order(docs: DataFrame) -> DataFrame:
-    """Adds `more`, 1 for the documents of a source whose prefix sum is within its budget; before and range_size go."""
-    columns = [c for c in docs.columns if c not in ("before", "range_size")]
-    docs = docs.withColumn("whole", F.col("before") + F.col("range_size") <= F.col("budget"))
-    edge = docs.where(~F.col("whole") & (F.col("before") <= F.col("budget")))
-    inside = W.partitionBy("source", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "row")
-    upto = F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.select(*columns, (upto <= F.col("budget")).cast("long").alias("more"))
-    rest = docs.where(F.col("whole") | (F.col("before") > F.col("budget"))).select(*columns, F.col("whole").cast("long").alias("more"))
-    return edge.unionByName(rest)
-
-
-def _rooms(rows: DataFrame) -> DataFrame:
-    """What the documents taken so far leave of each source's budget."""
-    taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("more")).alias("got"), F.max("budget").alias("room"))
-    return taken.select(F.col("source").alias("fill_source"), (F.col("room") - F.col("got")).alias("room"))
-
+    plan = checkpointed(plan.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size")))
 
-def _every_salt() -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("fill_salt")
-
-
-def _same() -> Column:
-    return F.col("source").eqNullSafe(F.col("fill_source")) & (F.col("salt") == F.col("fill_salt"))
-
-
-def _completed(rows: DataFrame) -> DataFrame:
-    """Documents that still fit are taken in the order of keys, until no source has one left.
-
-    Each round takes at least the first document that fits, and the one that crosses the room fits no
-    more, so a round goes on behind it; only documents that fit go into the next round.
-    """
-    rows = checkpointed(rows)
-    columns = ["row", "id", "source", "size", "key", "range"]
-    left, rooms, picks = rows.where((F.col("more") == 0) & (F.col("size") > 0)).select(*columns), _rooms(rows), []
+    in_range = F.floor((1 - F.exp(-F.col("key"))) * settings.ranges).alias("range")
+    left, rooms, picks = docs.select("row", "id", "source", "size", "key", in_range), plan.select("source", "room"), []
     while True:
-        salted = left.withColumn("salt", F.pmod("row", F.lit(_SALTS)))
-        fits = salted.join(rooms.select("*", _every_salt()), _same()).where(F.col("size") <= F.col("room"))
-        fits = checkpointed(fits.select(*columns, F.col("room").alias("budget")))
-        if fits.isEmpty():
+        fits = checkpointed(_known(left, rooms).where((F.col("size") > 0) & (F.col("size") <= F.col("room"))))
+        rows = fits.count()
+        if not rows:
             break
-        ranges = _running(fits.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
-        docs = fits.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-        got = checkpointed(_in_order(docs.select("row", "id", "d.source", "size", "key", "d.range", "before", "range_size", "budget")))
+        tasks = 1 + rows // _TASK
+        got = checkpointed(_prefixes(fits.coalesce(tasks)).coalesce(tasks))
         picks.append(got.where("more = 1").select(F.col("row").alias("pick")))
-        left, rooms = got.where("more = 0").select(*columns), _rooms(got)
-    if not picks:
-        return rows
-    joined = rows.join(reduce(DataFrame.unionByName, picks), F.col("row") == F.col("pick"), "left")
-    return joined.withColumn("more", F.when(F.col("pick").isNotNull(), 1).otherwise(F.col("more"))).drop("pick")
-
-
-def _filled(rows: DataFrame) -> DataFrame:
-    """Each source takes one more document: the largest that its budget still has room for.
-
-    What is known of a source meets its rows under several salts, so a source with very many rows is
-    spread over as many tasks; sums and picks are aggregated map-side.
-    """
-    salted = rows.withColumn("salt", F.pmod("row", F.lit(_SALTS)))
-    taken = checkpointed(_rooms(rows))
-    open_rows = salted.where((F.col("more") == 0) & (F.col("size") > 0)).join(taken.select("*", _every_salt()), _same()).where(F.col("size") <= F.col("room"))
-    best = checkpointed(open_rows.groupBy("fill_source").agg(F.max_by("row", F.struct("size", -F.col("key"), "id", "row")).alias("pick")))
-    joined = salted.join(best.select("*", _every_salt()), _same(), "left")
-    hit = F.coalesce(F.col("row") == F.col("pick"), F.lit(False))
-    return joined.withColumn("more", F.when(hit, 1).otherwise(F.col("more"))).drop("fill_source", "fill_salt", "pick", "salt")
+        rooms = got.groupBy("source").agg((F.max("room") - F.sum(F.col("size") * F.col("more"))).alias("room"))
+        left = got.where("more = 0").select("row", "id", "source", "size", "key", "range")
+    out = _known(docs, plan.select("source", "source_size", "target", "epochs"))
+    more = F.lit(0)
+    if picks:
+        out = out.join(reduce(DataFrame.unionByName, picks), F.col("row") == F.col("pick"), "left")
+        more = F.col("pick").isNotNull().cast("int")
+    taken = (F.col("size") * (F.col("epochs") + more)).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), *[F.col("carried")[c].alias(c) for c in carry])
+
+
+def _known(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """Rows (with their number) and what is known of their source; rows of other sources go."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+    by_source = by_source.withColumnRenamed("source", "__source").withColumn("__salt", salts)
+    same = F.col("source").eqNullSafe(F.col("__source")) & (F.pmod("row", F.lit(_SALTS)) == F.col("__salt"))
+    return rows.join(by_source, same).drop("__source", "__salt")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """Adds `more`, 1 for the rows of a source whose prefix sum, in the order of keys, is within its room."""
+    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("held"), F.max("room").alias("room"))
+    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    crossing = F.when(F.col("before") + F.col("held") > F.col("room"), F.struct("range", "before"))
+    edges = ranges.groupBy("source").agg(F.min(crossing).alias("edge"))
+    placed = _known(rows, edges)
+    columns = rows.columns
+    inside = placed.where(F.col("edge").isNotNull() & (F.col("range") == F.col("edge.range"))).withColumn("part", F.shiftright("row", 33))
+    whole = placed.where(F.col("edge").isNull() | (F.col("range") != F.col("edge.range"))).select(*columns, (F.col("edge").isNull() | (F.col("range") < F.col("edge.range"))).cast("int").alias("more"))
+    alike = ["source", "key", "id", "size", "part"]
+    in_order = W.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last(), "size", "part").rowsBetween(W.unboundedPreceding, -1)
+    counts = inside.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.coalesce(F.sum(F.col("n") * F.col("size")).over(in_order), F.lit(0)))
+    counts = counts.select(*[F.col(c).alias(f"__{c}") for c in alike], "earlier")
+    joined = inside.join(counts, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in alike]))
+    place = F.row_number().over(W.partitionBy(*alike).orderBy("row"))
+    upto = F.col("edge.before") + F.col("earlier") + place * F.col("size")
+    return whole.unionByName(joined.select(*columns, (upto <= F.col("room")).cast("int").alias("more")))

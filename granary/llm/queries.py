@@ -15,9 +15,10 @@ from granary.llm.mixing import MixSettings, mix_sources
 from granary.llm.packing import pack_documents, public_vocabulary
 from granary.llm.partenum import jaccard_components
 from granary.llm.repetition import RepetitionRules, repetition_coverage
-from granary.llm.secret_ledger import RULES, scan
+from granary.llm.secret_ledger import RULES, scan_increments
 from granary.llm.toxicity import fit_toxicity, toxicity_column
 from granary.llm.transport_stream import read_transport_streams, write_transport_streams
+from granary.plans.session import scratch
 
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,7 @@ def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" pts="), F.array_min(F.transform("units", lambda u: u["pts"])).cast("string"), F.lit("-"), F.array_max(F.transform("units", lambda u: u["pts"])).cast("string"),
         F.lit(" errors="), (F.col("bad_packets") + F.col("crc_errors") + F.col("continuity_errors")).cast("string"),
     )
+    read = read.withColumn("payload", F.get("payloads", F.lit(0))["payload"])  # of the one stream of the one program
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
@@ -65,7 +67,10 @@ def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    # two increments: a first half of the documents, then all; the ledger between them says what needs no second scan
+    half = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2, F.lit(0)) == 0)
+    findings = scan_increments([half, docs], scratch(spark, "ledger"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -110,7 +115,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Colu
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     weighted, weight = quality_weights(docs, table(spark, sf_dir, "labels"))
-    return mix_sources(weighted, F.col("size"), weight, settings=MixSettings(whole=False))  # its SQL ends after two fills
+    return mix_sources(weighted, F.col("size"), weight)
 
 
 def n_words(text: Column) -> Column:
@@ -161,16 +166,6 @@ FROM a"""
 
 def _op9_sql() -> str:
     m = MixSettings()
-    fills, last = "", "f0"
-    for k in range(1, m.fill_rounds + 1):
-        fills += f"""
-s{k} AS (SELECT source, max(budget) - sum(size * more) AS room FROM {last} GROUP BY 1),
-p{k} AS (SELECT doc_id AS pick, f.source AS pick_source FROM {last} f JOIN s{k} s ON f.source IS NOT DISTINCT FROM s.source
-  WHERE more = 0 AND size > 0 AND size <= room
-  QUALIFY row_number() OVER (PARTITION BY f.source ORDER BY size DESC, key, doc_id DESC) = 1),
-f{k} AS (SELECT f.* REPLACE (CASE WHEN pick IS NOT NULL THEN 1 ELSE more END AS more)
-  FROM {last} f LEFT JOIN p{k} p ON f.source IS NOT DISTINCT FROM pick_source AND f.doc_id = pick),"""
-        last = f"f{k}"
     return rf"""
 WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
@@ -186,11 +181,12 @@ l AS (SELECT *, row_number() OVER up AS place, ((sum(source_size) OVER ())::DOUB
 v AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= cap),
 t AS (SELECT source, source_size, round(least(cap, coalesce((SELECT level FROM v) * weight, cap)), 6) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-f0 AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS budget,
-  CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - epochs * source_size THEN 1 ELSE 0 END AS more
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),{fills}
-r AS (SELECT * FROM {last})
-SELECT doc_id, source, size, source_size, target, (size * (epochs + more))::BIGINT AS taken FROM r"""
+g AS (SELECT b.source, any_value(budget) AS budget, list({{'room': 0::DOUBLE, 'size': size, 'id': doc_id, 'ids': []::BIGINT[]}} ORDER BY key, doc_id, size) FILTER (size > 0) AS xs
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source GROUP BY 1),
+p AS (SELECT source, unnest(list_reduce(xs, lambda a, x: CASE WHEN x.size <= a.room THEN {{'room': a.room - x.size, 'size': 0::BIGINT, 'id': 0::BIGINT, 'ids': list_append(a.ids, x.id)}} ELSE a END,
+  {{'room': budget, 'size': 0::BIGINT, 'id': 0::BIGINT, 'ids': []::BIGINT[]}}).ids) AS pick FROM g)
+SELECT doc_id, d.source, size, source_size, target, (size * (epochs + (pick IS NOT NULL)::INT))::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN p ON doc_id = pick AND p.source IS NOT DISTINCT FROM d.source"""
 
 
 def _op4_sql() -> str:
@@ -199,9 +195,9 @@ def _op4_sql() -> str:
         at = lambda k: f"(CASE WHEN i + {k} >= 0 THEN ws[i + {k + 1}] END)"
         first = next(iter(t.mandatory))
         stands = " AND ".join(f"{at(k)} = '{w}'" for k, w in t.mandatory.items())
-        share = " + ".join(f"coalesce(({at(k)} = '{w}')::INT, 0)" for k, w in enumerate(t.words))
+        share = f"list_sum(list_transform(range({len(t.words)}), lambda k: CASE WHEN i + k >= 0 AND ws[i + k + 1] = {t.words}[k + 1] THEN 1 ELSE 0 END))"
         each.append(f"""
-SELECT doc_id, '{t.label}' AS label, {t.base} AS base, {t.share} AS least, i AS start, ({share}) / {len(t.words)}::DOUBLE AS share
+SELECT doc_id, '{t.label}' AS label, {t.base} AS base, {t.share} AS least, i AS start, {share} / {len(t.words)}::DOUBLE AS share
 FROM (SELECT doc_id, ws, place - {first} AS i FROM p WHERE word = '{t.mandatory[first]}') WHERE {stands}""")
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),

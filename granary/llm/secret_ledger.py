@@ -1,19 +1,24 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every file is content-addressed: its blob is the SHA-256 of its text. The ledger
-lists the pairs of blob and rule version that were scanned. A scan takes the distinct blobs of the
-versions at hand (copies fall together before the shuffle), leaves out the pairs in the ledger,
-matches the rules against the rest, and joins the findings, old and new, back to all paths that bear
-the blob. Changing a rule means a new rule version, so only that rule is run again.
+lists the pairs of blob and rule version that were scanned, with their spans. A scan takes the
+distinct blobs of the versions at hand, leaves out the pairs in the ledger, matches the rules
+against the rest, and joins the findings, old and new, back to all paths that bear the blob.
+Changing a rule means a new rule version, so only that rule is run again.
 
 A rule is a regular expression whose matches are leftmost and don't overlap; matches whose deciding
-group is too short are dropped. Spans are in code points, end exclusive. Places come from the text's
-pieces between matches: the lengths of pieces and matches in turn sum up to them.
+group is too short are dropped. A cheaper pattern, which every match contains, tells which texts can
+hold a finding: only those texts are shuffled, once for each blob and task; of all others only the
+hash is. Spans are in code points, end exclusive. Places come from the text's pieces between
+matches: their lengths and those of the matches, one row each, are summed up in order.
+
+Blobs that very many rows bear are joined back under several salts.
 
 Defined results: null text counts as empty; an empty text has a blob and no findings. Repeated rows
 and equal texts share one blob and each get its findings. Null ids are kept. Very long texts are
-matched whole. Only id and text are read, so further columns can't clash; an empty table gives empty
-results, and so does an empty ledger stand for nothing scanned.
+matched whole. A ledger may repeat its rows, and may hold rules that aren't asked for; spans get
+their kind and order from the rules at hand. Only id and text are read, so further columns can't
+clash; an empty table gives empty results, and an empty ledger stands for nothing scanned.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,7 +37,7 @@ class Rule:
     group: int = 0
     least: int = 0  # characters of that group
     version: int = 1
-    hint: str = ""  # a cheaper pattern that any match contains; the pattern itself if empty
+    hint: str = ""  # a cheaper pattern that any match that counts contains; the pattern itself if empty
 
     @property
     def name(self) -> str:
@@ -41,53 +47,95 @@ class Rule:
 # A run of hexadecimal digits is matched whole, so asking for 24 of them equals dropping shorter runs.
 BASE_RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, hint=r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 EXTRA_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, hint="-----BEGIN "),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, hint="gh[pousr]_"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, hint="xox[abprs]-"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, hint="gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, hint="xox[abprs]-[A-Za-z0-9-]{10}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, hint=r"eyJ[A-Za-z0-9_-]+\.eyJ"),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, hint="AIza"),
-    Rule("url_login", r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D@/]+@", 0, 8, hint="://"),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, hint="AIza[A-Za-z0-9_-]{35}"),
+    Rule("url_login", r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D@/]+@", 0, 8),
 )
 RULES = BASE_RULES + EXTRA_RULES
 
-_SPAN = "struct<kind:string,order:int,start:int,end:int>"
+#: Tasks over which the rows that bear one blob are spread where they meet its findings.
+_SALTS = 8
+
+_FOUND = "array<struct<start:int,end:int>>"
+_SPANS = "array<struct<start:int,order:int,end:int,kind:string,before:int>>"
+
+
+def _empty(kind: str) -> Column:
+    return F.from_json(F.lit("[]"), kind)
+
+
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def may_hold(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """False for texts in which no rule can find anything."""
+    out = F.lit(False)
+    for r in rules:
+        out = out | text.rlike(r.hint or r.pattern)
+    return F.coalesce(out, F.lit(False))
+
+
+def _pieces(rule: Rule, text: Column) -> Column:
+    """Lengths of the gaps between matches, of the matches and of their deciding groups; the last gap has no match."""
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    deciding = F.transform(found, lambda m: F.char_length(F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m))
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
+    return F.when(text.rlike(rule.hint or rule.pattern), F.arrays_zip(gaps.alias("gap"), F.transform(found, F.char_length).alias("size"), deciding.alias("deciding")))
+
+
+def _scanned(blobs: DataFrame, rules: tuple[Rule, ...], done: Column) -> DataFrame:
+    """(blob, rule, spans) of each blob's rules that aren't done."""
+    each = [F.when(~F.array_contains(done, r.name), F.struct(F.lit(r.name).alias("rule"), F.lit(r.least).alias("least"), _pieces(r, F.col("text")).alias("pieces"))) for r in rules]
+    per = blobs.select("blob", F.explode(F.filter(F.array(*each), lambda e: e.isNotNull())).alias("e"))
+    rows = per.select("blob", "e.rule", "e.least", F.posexplode_outer("e.pieces").alias("k", "p")).select("blob", "rule", "least", "k", "p.*")
+    upto = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(W.partitionBy("blob", "rule").orderBy("k").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    span = F.when(F.col("deciding") >= F.col("least"), F.struct((F.col("end") - F.col("size")).alias("start"), "end"))
+    return rows.withColumn("end", upto).groupBy("blob", "rule").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Content-addresses every row: id, blob, text."""
+def _parts(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the ledger has of these rules, what the scan finds in texts that may hold something, and the former's rules by blob."""
+    names = [r.name for r in rules]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
-
-
-def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """The rule's spans in the text, as an array of structs."""
-    lit = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, lit, F.lit(0))
-    deciding = F.regexp_extract_all(text, lit, F.lit(rule.group)) if rule.group else found
-    lengths = F.zip_with(F.transform(F.split(text, rule.pattern, -1), F.char_length), F.transform(found, F.char_length), lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))
-    empty = F.from_json(F.lit("[]"), f"array<{_SPAN}>")
-    # gap, match, gap, match, ..., gap: the last gap has no match and is passed over
-    placed = F.aggregate(
-        F.arrays_zip(lengths.alias("l"), deciding.alias("d")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.when(x["l"]["size"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["l"]["gap"] + x["l"]["size"]).alias("at"),
-                F.when(
-                    F.char_length(x["d"]) >= rule.least,
-                    F.concat(acc["out"], F.array(F.struct(F.lit(rule.kind).alias("kind"), F.lit(order).alias("order"), (acc["at"] + x["l"]["gap"]).alias("start"), (acc["at"] + x["l"]["gap"] + x["l"]["size"]).alias("end")))),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(rule.hint or rule.pattern), placed).otherwise(empty)
+    if ledger is None:
+        ledger = df.sparkSession.createDataFrame([], f"blob binary, rule string, spans {_FOUND}")
+    seen = ledger.where(F.col("rule").isin(names)).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
+    done = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    blobs = df.select(blob_of(F.col(text_col)).alias("blob"), text.alias("text")).where(may_hold(F.col("text"), rules)).groupBy("blob").agg(F.first("text").alias("text"))
+    none = F.coalesce("done", _empty("array<string>"))
+    fresh = _scanned(blobs.join(done, "blob", "left").where(F.size(none) < len(names)), rules, none)
+    return seen, fresh, done
+
+
+def blob_findings(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """(blob, spans) of the blobs with findings. Spans are sorted; `before` is the furthest end of those before."""
+    seen, fresh, _ = _parts(df, ledger, rules, text_col)
+    return _by_blob(seen.unionByName(fresh), rules)
+
+
+def _by_blob(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.name, k)])[F.col("rule")]
+    rows = found.select("blob", order.alias("order"), F.explode("spans").alias("s")).select("blob", "order", "s.start", "s.end")
+    before = F.max("end").over(W.partitionBy("blob").orderBy("start", "order").rowsBetween(W.unboundedPreceding, -1))
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("order") + 1)
+    span = F.struct("start", "order", "end", kind.alias("kind"), F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.select("blob", span.alias("s")).groupBy("blob").agg(F.sort_array(F.collect_list("s")).cast(_SPANS).alias("spans"))
+
+
+def _every_salt(known: DataFrame) -> DataFrame:
+    return known.select(F.col("blob").alias("__blob"), "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("__salt"))
+
+
+def _salt() -> Column:
+    return F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))
 
 
 def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -96,46 +144,49 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...]
     The ledger has rows (blob, rule, spans), written from earlier entries; rules are named with
     their versions. Findings of rules that aren't asked for are left out.
     """
-    rows = versions(df, id_col, text_col)
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is None:
-        fresh = blobs.withColumn("todo", F.lit(True))
-        scanned = _scanned(fresh, [F.lit(True)] * len(rules), rules)
-        known = scanned.select("blob", F.flatten(F.transform("entries", lambda e: e["spans"])).alias("spans"))
-        entries = scanned.select("blob", F.explode("entries").alias("e")).select("blob", "e.rule", "e.spans")
-    else:
-        seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("rules"), F.flatten(F.collect_list("spans")).alias("old"))
-        fresh = blobs.join(seen, "blob", "left")
-        todo = [~F.coalesce(F.array_contains("rules", r.name), F.lit(False)) for r in rules]
-        scanned = _scanned(fresh, todo, rules, "old")
-        known = scanned.select("blob", F.concat(F.coalesce("old", F.from_json(F.lit("[]"), f"array<{_SPAN}>")), F.flatten(F.transform("entries", lambda e: e["spans"]))).alias("spans"))
-        entries = scanned.select("blob", F.explode("entries").alias("e")).select("blob", "e.rule", "e.spans")
-    # blobs without a finding need not meet their paths again
-    known = known.where(F.size("spans") > 0)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    known = known.select("blob", ordered.alias("spans"))
-    findings = rows.select("id", "blob").join(known, "blob", "left")
-    return findings.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<start:int,order:int,end:int,kind:string>>")).alias("spans")), entries
-
-
-def _scanned(blobs: DataFrame, todo: list[Column], rules: tuple[Rule, ...], *keep: str) -> DataFrame:
-    """(blob, entries): for each rule still to do, its name and spans."""
-    each = [F.when(t, F.struct(F.lit(r.name).alias("rule"), _spans(r, k, F.col("text")).alias("spans"))) for k, (r, t) in enumerate(zip(rules, todo, strict=True))]
-    return blobs.select("blob", *keep, F.filter(F.array(*each), lambda e: e.isNotNull()).alias("entries"))
+    seen, fresh, done = _parts(df, ledger, rules, text_col)
+    known = _every_salt(_by_blob(seen.unionByName(fresh), rules))
+    rows = df.select(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob"), _salt().alias("salt"))
+    joined = rows.join(known, (F.col("blob") == F.col("__blob")) & (F.col("salt") == F.col("__salt")), "left")
+    findings = joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", _empty(_SPANS)).alias("spans"))
+    # texts that can't hold anything are scanned, too, as far as the ledger goes: their entries are empty
+    names = F.array(*[F.lit(r.name) for r in rules])
+    clean = df.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(~may_hold(F.col("text"), rules)).select("blob").distinct()
+    todo = clean.join(done, "blob", "left").select("blob", F.explode(F.array_except(names, F.coalesce("done", _empty("array<string>")))).alias("rule"))
+    return findings, fresh.unionByName(todo.withColumn("spans", _empty(_FOUND)))
+
+
+def scan_increments(parts: list[DataFrame], ledger_path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings of the last part, after the entries of those before were written to a new ledger and read again."""
+    spark, ledger = parts[0].sparkSession, None
+    for k, part in enumerate(parts):
+        findings, entries = scan(part, ledger, rules, id_col, text_col)
+        if k < len(parts) - 1:
+            entries.write.parquet(f"{ledger_path}/part={k}")
+            ledger = spark.read.parquet(ledger_path).select("blob", "rule", "spans")
+    return findings
+
+
+def redact(df: DataFrame, text_col: str = "text", flag: str = "redacted", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
+    """df with every span, and what overlaps it, replaced by the mask; `flag` tells which texts have changed.
+
+    Texts that can't hold a finding pass by the join.
+    """
+    if flag in df.columns:
+        raise ValueError(f"column {flag} exists already")
+    known = _every_salt(blob_findings(df, ledger, rules, text_col))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    clean = df.where(~may_hold(F.coalesce(F.col(text_col), F.lit("")), rules)).select(*columns, F.lit(False).alias(flag))
+    rows = df.where(may_hold(F.coalesce(F.col(text_col), F.lit("")), rules)).withColumns({"__own": blob_of(F.col(text_col)), "__own_salt": _salt()})
+    joined = rows.join(known.withColumnRenamed("spans", "__spans"), (F.col("__own") == F.col("__blob")) & (F.col("__own_salt") == F.col("__salt")), "left")
+    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans"), mask))
+    changed = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return clean.unionByName(joined.select(*changed, F.col("__spans").isNotNull().alias(flag)))
 
 
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with each span, and what overlaps it, replaced by the mask. Spans as in scan()'s findings."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(F.char_length(text) - acc["at"], F.lit(0)))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    cut = lambda begin, end: F.substr(text, begin + 1, F.greatest(end - begin, F.lit(0)))
+    parts = F.transform(spans, lambda s: F.when((s["end"] > s["before"]) & (s["start"] >= s["before"]), F.concat(cut(s["before"], s["start"]), F.lit(mask))).otherwise(F.lit("")))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), cut(last, F.char_length(text)))).otherwise(text)

@@ -6,10 +6,11 @@ presentation and decoding time stamps, a clock reference and the random-access f
 adaptation field, continuity counters, and stuffing in the last packet of each PES.
 
 `read_transport_streams` parses any stream of 188-byte packets: it reads the program tables and
-checks their CRC, checks continuity counters for each PID, reassembles the PES of the first
-program's streams, and returns their time stamps with their random-access points.
+checks their CRC, checks continuity counters for each PID, reassembles the PES of
+every program's streams, and returns their time stamps with their random-access points, and one
+payload for each program and PID.
 
-Defined results: a null media value gives a row with zero counts, empty lists and an empty payload;
+Defined results: a null media value gives a row with zero counts and empty lists;
 so does an empty one. Packets without the sync byte, and a cut last packet, are counted in
 bad_packets and passed over. A payload packet that repeats its predecessor is taken once; any other
 jump of the counter without the discontinuity flag counts as a continuity error, and the bytes are
@@ -153,7 +154,7 @@ class Stream:
     continuity_errors: int = 0
     programs: list[dict] = field(default_factory=list)
     units: list[dict] = field(default_factory=list)
-    payload: bytes = b""
+    payloads: list[dict] = field(default_factory=list)
 
 
 def _sections(chunks: list[bytes], stream: Stream) -> list[bytes]:
@@ -222,7 +223,7 @@ def demux(media: bytes | None) -> Stream:
                 number = section[at] << 8 | section[at + 1]
                 if number:
                     tables[number] = (section[at + 2] & 31) << 8 | section[at + 3]
-    streams: list[int] = []
+    streams: list[tuple[int, int]] = []
     for number, where in sorted(tables.items()):
         found: dict[int, int] = {}
         for section in _sections(chunks(where), out):
@@ -232,10 +233,9 @@ def demux(media: bytes | None) -> Stream:
                     found[(section[at + 1] & 31) << 8 | section[at + 2]] = section[at]
                     at += 5 + ((section[at + 3] & 15) << 8 | section[at + 4])
         out.programs.append({"program": number, "pmt_pid": where, "streams": [{"pid": k, "type": v} for k, v in sorted(found.items())]})
-        if not streams:
-            streams = sorted(found)
-    parts = []
-    for number in streams:
+        streams += [(number, k) for k in sorted(found)]
+    for program, number in streams:
+        parts = []
         own = of(number)
         sizes = PACKET - offset[own]
         es = p[own][np.arange(PACKET) >= offset[own][:, None]]
@@ -252,19 +252,21 @@ def demux(media: bytes | None) -> Stream:
         dts = np.where(have == 3, _ticks(padded, begins + 14), pts)
         for a, b, more, x, y, i in zip(begins.tolist(), ends.tolist(), extra.tolist(), pts.tolist(), dts.tolist(), first.tolist(), strict=True):
             data = es[a + 9 + more : b].tobytes()
-            out.units.append({"pid": number, "pts": x, "dts": y, "random_access": bool(flags[i] & 0x40), "packet": i, "length": len(data)})
+            out.units.append({"program": program, "pid": number, "pts": x, "dts": y, "random_access": bool(flags[i] & 0x40), "packet": i, "length": len(data)})
             parts.append(data)
-    out.payload = b"".join(parts)
+        out.payloads.append({"program": program, "pid": number, "payload": b"".join(parts)})
     return out
 
 
 _STREAMS = pa.list_(pa.struct([("pid", pa.int32()), ("type", pa.int32())]))
 _PROGRAMS = pa.list_(pa.struct([("program", pa.int32()), ("pmt_pid", pa.int32()), ("streams", _STREAMS)]))
-_UNITS = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("packet", pa.int64()), ("length", pa.int64())]))
+_UNITS = pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("packet", pa.int64()), ("length", pa.int64())]))
+_PAYLOADS = pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32()), ("payload", pa.binary())]))
 _READ = (
     "packets long, bad_packets long, crc_errors long, continuity_errors long, "
     "programs array<struct<program:int,pmt_pid:int,streams:array<struct<pid:int,type:int>>>>, "
-    "units array<struct<pid:int,pts:long,dts:long,random_access:boolean,packet:long,length:long>>, payload binary"
+    "units array<struct<program:int,pid:int,pts:long,dts:long,random_access:boolean,packet:long,length:long>>, "
+    "payloads array<struct<program:int,pid:int,payload:binary>>"
 )
 
 
@@ -286,7 +288,7 @@ def write_transport_streams(df: DataFrame, payload_col: str, keep: list[str]) ->
 
 
 def read_transport_streams(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
-    """The columns of `keep` and what the stream holds: program tables, errors, units, payload."""
+    """The columns of `keep` and what the stream holds: program tables, errors, units, and the payload of each program and PID."""
     source, schema = _kept(df, keep, media_col, "__media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +296,7 @@ def read_transport_streams(df: DataFrame, media_col: str, keep: list[str]) -> Da
             got = [demux(x) for x in piece.column("__media").to_pylist()]
             counts = ["packets", "bad_packets", "crc_errors", "continuity_errors"]
             arrays = [pa.array([getattr(x, c) for x in got], pa.int64()) for c in counts]
-            arrays += [pa.array([x.programs for x in got], _PROGRAMS), pa.array([x.units for x in got], _UNITS), pa.array([x.payload for x in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *arrays], names=[*keep, *counts, "programs", "units", "payload"])
+            arrays += [pa.array([x.programs for x in got], _PROGRAMS), pa.array([x.units for x in got], _UNITS), pa.array([x.payloads for x in got], _PAYLOADS)]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *arrays], names=[*keep, *counts, "programs", "units", "payloads"])
 
     return source.mapInArrow(run, schema + _READ)

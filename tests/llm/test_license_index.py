@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
 
-from granary.llm.license_index import TEMPLATES, Template, document_frequencies, rare_token, scan_licenses
+from granary.llm.license_index import TEMPLATES, document_frequencies, index_files, scan_licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -44,11 +45,30 @@ def test_the_choice_of_rare_tokens_changes_nothing(spark):
         assert scan_licenses(df, frequencies=frequencies).collect() == want
 
 
-def test_rare_token_has_the_highest_idf(spark):
-    df = spark.createDataFrame([(1, "license"), (2, "license MIT"), (3, "license")], "doc_id long, text string")
-    frequencies = document_frequencies(df)
+def test_files_and_their_index(spark):
+    df = spark.createDataFrame([(1, "license"), (2, "the license MIT"), (3, "license license")], "doc_id long, text string")
+    index = index_files(df)
+    frequencies = document_frequencies(index)
     assert frequencies["license"] == 3 and frequencies["mit"] == 1
-    assert rare_token(Template("mit", "mit license", ("mit license",)), frequencies) == (0, "mit")
+    assert {r.id: [tuple(p) for p in r.postings] for r in index.collect()} == {1: [], 2: [(0, "the"), (1, "license"), (2, "mit")], 3: []}
+
+
+def test_bodies(spark):
+    rng = random.Random(6)
+    texts = []
+    for t in TEMPLATES:
+        if t.label.endswith("-body"):
+            words, keys = t.words, t.mandatory
+            changed = [w if k in keys or rng.random() < 0.7 else "other" for k, w in enumerate(words)]
+            texts += [" ".join(words), "; ".join(w.title() for w in words[: len(words) * 4 // 5]) + " x", " ".join(changed), " ".join([*words, *words]), " ".join(words[5:])]
+            texts.append(" ".join("gap" if k == min(keys) else w for k, w in enumerate(words)))
+    texts.append("mit license " * 30_000 + "licensed under cc by 4 0 " * 10_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in scan_licenses(df).collect()}
+    for k, text in enumerate(texts[:-1]):
+        assert [(m.start, m.label, m.base, m.share) for m in rows[k].matches] == plain(text)[1]
+    assert {m.label for r in rows.values() for m in r.matches} >= {"mit-body", "isc-body", "bsd-2-body", "zlib-body"}
+    assert sum(m.label == "mit" for m in rows[len(texts) - 1].matches) == 30_000 and sum(m.label == "cc-by-4.0" for m in rows[len(texts) - 1].matches) == 10_000
 
 
 def test_odd_rows(odd_docs, no_docs):

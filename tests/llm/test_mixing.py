@@ -74,19 +74,10 @@ def test_better_documents_are_taken_more_often(spark):
 
 
 def in_order(rows, budget):
-    """Prefix in the order of keys, the two largest that fit, then whatever fits in that order; rows are (key, id, size)."""
-    rows, taken, room = sorted(rows), set(), budget
-    for _, i, size in rows:
-        if size > room:
-            break
-        taken.add(i)
-        room -= size
-    for _ in range(2):
-        if fit := [(size, -key, i) for key, i, size in rows if i not in taken and 0 < size <= room]:
-            taken.add(max(fit)[2])
-            room -= max(fit)[0]
-    for _, i, size in rows:
-        if i not in taken and 0 < size <= room:
+    """Whatever fits, in the order of keys; rows are (key, id, size)."""
+    taken, room = set(), budget
+    for _, i, size in sorted(rows):
+        if 0 < size <= room:
             taken.add(i)
             room -= size
     return taken
@@ -123,6 +114,22 @@ def test_ties_repeats_and_odd_weights(spark):
             assert 0 <= mine[0].target - sum(r.taken for r in mine) < max(r.size for r in mine)
 
 
+def test_one_id_may_hold_a_third_of_all_rows(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), (F.col("id") % 5 + 1).alias("size"), F.col("id").alias("own"))
+    other = spark.range(10).select((F.col("id") + 10_000).alias("doc_id"), F.lit("b").alias("source"), F.lit(1).alias("size"), F.col("id").alias("own"))
+    got = mix_sources(rows.unionByName(other).repartition(5), F.col("size"), settings=MixSettings(weights=(1.0, 1.0)), carry=("own",)).collect()
+    assert sorted(r.own for r in got if r.source == "a") == list(range(6000))
+    mine = [r for r in got if r.source == "a"]
+    key = lambda i: -math.log((int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+    epochs = int(mine[0].target // mine[0].source_size)
+    room, want = mine[0].target - epochs * mine[0].source_size, []
+    for _, _, i, size in sorted(((key(r.doc_id), r.doc_id is None, r.doc_id, r.size) for r in mine), key=lambda x: (x[0], x[1], x[2] or 0, x[3])):
+        if size <= room:
+            room -= size
+            want.append((i, size))
+    assert sorted(((r.doc_id, r.size) for r in mine if r.taken > epochs * r.size), key=str) == sorted(want, key=str)
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = mix_sources(odd_docs, n_words(F.col("text"))).collect()
     assert len(got) == odd_docs.count() and all(r.taken == 0 for r in got if r.size == 0)

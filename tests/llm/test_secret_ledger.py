@@ -5,7 +5,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from granary.llm.secret_ledger import BASE_RULES, RULES, redacted, scan
+from granary.llm.secret_ledger import BASE_RULES, RULES, redact, redacted, scan, scan_increments
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 TEXTS = [
@@ -68,12 +68,42 @@ def test_redaction(spark):
         assert not plain(r.t, BASE_RULES)
 
 
+def test_repeated_ledger_rows_and_other_rule_orders(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    _, entries = scan(df, rules=RULES[::-1])
+    ledger = entries.unionByName(entries).cache()
+    findings, fresh = scan(df, ledger)
+    assert {r.doc_id: spans(r) for r in findings.collect()} == {k: plain(t) for k, t in enumerate(TEXTS)}
+    assert fresh.count() == 0
+
+
+def test_increments_equal_one_scan(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    parts = [df.where("doc_id < 5"), df.where("doc_id < 9"), df]
+    got = scan_increments(parts, str(tmp_path / "ledger"))
+    assert {r.doc_id: spans(r) for r in got.collect()} == {k: plain(t) for k, t in enumerate(TEXTS)}
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    assert ledger.count() == ledger.select("blob", "rule").distinct().count() == len(RULES) * len({t or "" for t in TEXTS[:9]})
+
+
+def test_many_matches_in_one_text_and_many_copies(spark):
+    long = "token: abcdef " * 20_000
+    rows = spark.createDataFrame([(0, long)], "doc_id long, text string").unionByName(spark.range(1, 3000).select(F.col("id").alias("doc_id"), F.lit("password=hunter22").alias("text")))
+    got = scan(rows)[0].select("doc_id", F.size("spans").alias("n"))
+    assert got.where("doc_id = 0").first().n == 20_000 and got.where("n = 1").count() == 2999
+    masked = redact(rows).where("doc_id = 0").first()
+    assert masked.redacted and masked.text == "[secret] " * 20_000
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = scan(odd_docs)[0].collect()
     assert len(rows) == odd_docs.count()
     assert [s.kind for r in rows if r.doc_id == 1 for s in r.spans] == ["assign"]
     assert scan(no_docs)[0].count() == 0 and scan(no_docs)[1].count() == 0
     assert scan(odd_docs, scan(no_docs)[1])[0].count() == odd_docs.count()
+    masked = redact(odd_docs)
+    assert masked.columns == [*odd_docs.columns, "redacted"] and masked.count() == odd_docs.count()
+    assert [r.doc_id for r in masked.where("redacted").collect()] == [1] and redact(no_docs).count() == 0
 
 
 def test_main_path_has_no_python(odd_docs):

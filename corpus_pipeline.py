@@ -2,16 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and
 returns a DataFrame; all but the last return the columns of documents. `run` writes what each stage
-returns to the checkpoint folder and hands that to the next.
+returns as Parquet to the checkpoint folder and hands that to the next.
 
 Defined results: an empty table passes through all stages as an empty one. Null text counts as
 empty. Documents without an id are never dropped as duplicates. Columns beyond those of documents
-are left behind by the first stage, whatever their names. Repeated rows of one id are one document:
-they stay or go together, and are taken equally often.
+are left behind by the first stage, whatever their names. Rows that share an id are rows of their
+own in all stages but the second, where an id that a lower one replaces goes with all its rows.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from granary.llm.mixing import mix_sources
 from granary.llm.packing import pack_documents, public_vocabulary
 from granary.llm.partenum import JoinSettings, jaccard_components
 from granary.llm.queries import learnable, n_words, quality_weights
-from granary.llm.secret_ledger import redacted, scan
+from granary.llm.secret_ledger import redact
+from granary.plans.session import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,23 +50,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the secret scan (6) finds is masked."""
-    findings, _ = scan(docs)
-    found = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
-    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    joined = docs.withColumn("__blob", blob).join(found, F.col("__blob") == F.col("blob"), "left")
-    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    return joined.withColumn("text", masked).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long")).select(*COLUMNS)
+    masked = redact(docs, flag="__redacted")
+    return masked.withColumn("n_chars", F.when(F.col("__redacted"), F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """Adds __file and __place, a name for each row that a second read gives again: where it stands in the table read,
+    or, of rows that come from elsewhere, in a checkpoint."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:
+        return checkpointed(docs.select("*", F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__place")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix (9) takes it: once an epoch, not at all if it isn't taken."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    """Each row as often as the mix (9) takes it: once an epoch, not at all if it isn't taken.
+
+    Rows are told apart by their place, so rows that share an id, or have none, are mixed one by one.
+    Documents without a word have nothing to take and go.
+    """
+    docs = _named_rows(docs)
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), "__file", "__place")
     weighted, weight = quality_weights(sized, table(spark, sf_dir, "labels"))
-    mix = mix_sources(weighted, F.col("size"), weight)
-    copies = F.coalesce(F.max(F.col("taken") / F.col("size")), F.lit(0.0)).cast("int")
-    taken = mix.where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(copies.alias("copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    mix = mix_sources(weighted, F.col("size"), weight, carry=("__file", "__place"))
+    taken = mix.where("taken > 0").select("__file", "__place", F.floor(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    joined = docs.join(taken, ["__file", "__place"])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +91,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            path = scratch(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -25,6 +25,7 @@ empty result.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -128,13 +129,27 @@ def _texts(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+def _literal(templates: tuple[Template, ...]) -> Column:
+    """The templates as one value: their words and key-phrase words by place, and the latter's distinct words."""
+    places = lambda items: [{"k": k, "w": w} for k, w in items]
+    rows = [
+        {"label": t.label, "base": t.base, "share": t.share, "keys": places(t.mandatory.items()), "own": sorted(set(t.mandatory.values())), "words": places(enumerate(t.words))}
+        for t in templates
+    ]
+    place = "array<struct<k:int,w:string>>"
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<label:string,base:boolean,share:double,keys:{place},own:array<string>,words:{place}>>")
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def index_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(id, n_words, held, postings): each file's licence words, and the places of template words if it has all of some template's licence words."""
     rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
     rows = rows.select("id", "words", F.array_intersect("words", _texts(licence_words(templates))).alias("held"))
-    wanted = F.lit(False)
-    for t in templates:
-        wanted = wanted | (F.size(F.array_except(_texts(sorted(set(t.mandatory.values()))), "held")) == 0)
+    wanted = F.exists(_literal(templates), lambda t: F.size(F.array_except(t["own"], F.col("held"))) == 0)
     vocabulary = sorted({w for t in templates for w in t.words})
     posting = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(vocabulary))
     none = F.from_json(F.lit("[]"), "array<struct<at:int,word:string>>")
@@ -152,44 +167,38 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = checkpointed(index_files(df, id_col, text_col, templates))
     frequencies = document_frequencies(index, templates) if frequencies is None else frequencies
     by_idf = sorted(frequencies, key=lambda w: (frequencies[w], w))
-    rows = index.withColumn("ranked", F.array_intersect(_texts(by_idf), F.when(F.size("postings") > 0, F.col("held")).otherwise(_texts([]).cast("array<string>"))))
-    # one column after the other, so that none is worked out again inside a lambda
-    rows = rows.withColumns({f"stands{k}": _stands(t) for k, t in enumerate(templates)})
-    rows = rows.withColumns({f"hits{k}": _hits(t, F.col(f"stands{k}")) for k, t in enumerate(templates)})
-    rows = rows.withColumns({f"runs{k}": _runs(f"hits{k}") for k in range(len(templates))})
-    found = F.flatten(F.array(*[_matches(t, f"hits{k}", f"runs{k}") for k, t in enumerate(templates)]))
-    return rows.select(F.col("id").alias(id_col), "n_words", F.array_sort(found).alias("matches"))
+    rows = index.withColumn("ranked", F.array_intersect(_texts(by_idf), "held"))
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,label:string,base:boolean,share:double>>")
+    found = F.array_sort(F.flatten(F.transform(_literal(templates), _matches)))
+    return rows.select(F.col("id").alias(id_col), "n_words", F.when(F.size("postings") > 0, found).otherwise(none).alias("matches"))
 
 
-def _starts(word: Column, place: Column) -> Column:
+def _starts(place: Column) -> Column:
     """Where a template would start for each posting of the word at that place of it."""
-    return F.transform(F.filter("postings", lambda p: p["word"] == word), lambda p: p["at"] - place)
+    return F.transform(F.filter("postings", lambda p: p["word"] == place["w"]), lambda p: p["at"] - place["k"])
 
 
-def _stands(t: Template) -> Column:
+def _stands(t: Column) -> Column:
     """Starts at which all key phrases stand, proposed by the file's two highest-IDF words of them."""
-    places = {w: k for k, w in reversed(t.mandatory.items())}
-    place = F.create_map(*[F.lit(x) for wk in places.items() for x in wk])
-    own = F.filter("ranked", lambda w: w.isin(list(places)))
-    rarest = [F.get(own, F.lit(min(i, len(places) - 1))) for i in range(2)]
-    out = F.array_intersect(*[_starts(w, place[w]) for w in rarest])
-    for k, w in t.mandatory.items():
-        out = F.array_intersect(out, _starts(F.lit(w), F.lit(k)))
-    return F.when(F.size(own) == len(places), out).otherwise(F.array().cast("array<int>"))
 
+    def verified(own: Column) -> Column:
+        rarest = F.transform(F.slice(own, 1, 2), lambda w: F.get(F.filter(t["keys"], lambda key: key["w"] == w), F.lit(0)))
+        proposed = F.array_intersect(_starts(F.get(rarest, F.lit(0))), _starts(F.get(rarest, F.size(rarest) - 1)))
+        starts = F.aggregate(t["keys"], proposed, lambda left, key: F.array_intersect(left, _starts(key)))
+        return F.when(F.size(own) == F.size(t["own"]), starts).otherwise(F.array().cast("array<int>"))
 
-def _hits(t: Template, stands: Column) -> Column:
-    """Each of these starts, sorted, as often as words of the template stand right for it."""
-    each = F.array(*[F.array_intersect(stands, _starts(F.lit(w), F.lit(k))) for k, w in enumerate(t.words)])
-    return F.when(F.size(stands) > 0, F.sort_array(F.flatten(each))).otherwise(F.array().cast("array<int>"))
+    return _let(F.filter("ranked", lambda w: F.array_contains(t["own"], w)), verified)
 
 
-def _runs(hits: str) -> Column:
-    """Places in the sorted array at which a new value begins."""
-    return F.filter(F.transform(hits, lambda x, i: F.when((i == 0) | (F.get(hits, i - 1) != x), i)), lambda i: i.isNotNull())
+def _matches(t: Column) -> Column:
+    """The template's alignments in the file: for each start, the share of its words that stand right."""
 
+    def matched(hits: Column, runs: Column) -> Column:
+        share = lambda i, j: (F.coalesce(F.get(runs, j + 1), F.size(hits)) - i) / F.size(t["words"]).cast("double")
+        found = F.transform(runs, lambda i, j: F.struct(F.get(hits, i).alias("start"), t["label"].alias("label"), t["base"].alias("base"), share(i, j).alias("share")))
+        return F.filter(found, lambda m: m["share"] >= t["share"])
 
-def _matches(t: Template, hits: str, runs: str) -> Column:
-    share = lambda i, j: (F.coalesce(F.get(runs, j + 1), F.size(hits)) - i) / F.lit(float(len(t.words)))
-    found = F.transform(runs, lambda i, j: F.struct(F.get(hits, i).alias("start"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), share(i, j).alias("share")))
-    return F.filter(found, lambda m: m["share"] >= t.share)
+    # each start as often as words stand right for it, sorted; then where each run of equal ones begins
+    hits = lambda stands: F.when(F.size(stands) > 0, F.sort_array(F.flatten(F.transform(t["words"], lambda word: F.array_intersect(stands, _starts(word)))))).otherwise(stands)
+    runs = lambda hits: F.filter(F.transform(hits, lambda x, i: F.when((i == 0) | (F.get(hits, i - 1) != x), i)), lambda i: i.isNotNull())
+    return _let(_let(_stands(t), hits), lambda h: _let(runs(h), lambda r: matched(h, r)))

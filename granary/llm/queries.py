@@ -181,7 +181,7 @@ l AS (SELECT *, row_number() OVER up AS place, ((sum(source_size) OVER ())::DOUB
 v AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= cap),
 t AS (SELECT source, source_size, round(least(cap, coalesce((SELECT level FROM v) * weight, cap)), 6) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-g AS (SELECT b.source, any_value(budget) AS budget, list({{'room': 0::DOUBLE, 'size': size, 'id': doc_id, 'ids': []::BIGINT[]}} ORDER BY key, doc_id, size) FILTER (size > 0) AS xs
+g AS (SELECT b.source, any_value(target - epochs * source_size) AS budget, list({{'room': 0::DOUBLE, 'size': size, 'id': doc_id, 'ids': []::BIGINT[]}} ORDER BY key, doc_id, size) FILTER (size > 0) AS xs
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source GROUP BY 1),
 p AS (SELECT source, unnest(list_reduce(xs, lambda a, x: CASE WHEN x.size <= a.room THEN {{'room': a.room - x.size, 'size': 0::BIGINT, 'id': 0::BIGINT, 'ids': list_append(a.ids, x.id)}} ELSE a END,
   {{'room': budget, 'size': 0::BIGINT, 'id': 0::BIGINT, 'ids': []::BIGINT[]}}).ids) AS pick FROM g)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm.gam import features, fit_quality
-from granary.llm.queries import learnable
+from granary.llm.mixing import mix_sources
+from granary.llm.queries import learnable, n_words
 from granary.llm.secret_ledger import RULES
 
 
@@ -96,6 +97,24 @@ def test_odd_and_empty_tables(spark, sf, odd_docs, no_docs, tmp_path):
         assert (docs.count() > 0) == (k == 0)
 
 
+def test_mixing_of_rows_without_ids_and_of_shared_ids(spark, sf, tmp_path):
+    """40 rows without an id and three under one, of different sizes: each is a row of its own."""
+    rows = [(None, " ".join(["w"] * (k % 7 + 3)) + f" n{k}", "en", "s1", 1) for k in range(40)]
+    rows += [(7, " ".join(["v"] * k), "en", "s2", 1) for k in (1, 30, 90)] + [(8, "", "en", "s2", 0), (9, None, "en", "s1", 0)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (given, write(given, tmp_path / "docs")):
+        mix = mix_sources(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), F.col("size")).collect()
+        out = cp.mixing(spark, docs, sf)
+        assert out.columns == cp.COLUMNS
+        texts = [r.text for r in out.collect()]
+        for source in ("s1", "s2"):
+            own = {t for _, t, _, s, _ in rows if s == source}
+            target = next(r.target for r in mix if r.source == source)
+            taken = sum(len(t.split()) for t in texts if t in own)
+            assert taken == sum(r.taken for r in mix if r.source == source) <= target + 1e-6
+        assert max(texts.count(t) for t in texts) <= 3 and all(texts)
+
+
 def test_documents_without_an_id_are_not_dropped_as_duplicates(spark, sf):
     rows = [(None, "a b c d e f g", "en", "s", 1), (None, "a b c d e f g", "en", "s", 1), (4, "a b c d e f g", "en", "s", 1), (2, "a b c d e f g", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

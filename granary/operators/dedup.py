@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 
@@ -152,11 +153,52 @@ def resolve_buckets(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return states.where("state = 'D'").select(F.col("id").alias(id_col))
 
 
+class WordHashes:
+    """Hashes of words as word_hashes has them, remembered in two generations of bounded size."""
+
+    def __init__(self, limit: int = 500_000):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct hashes of the text's words."""
+        young, out = self.young, []
+        for word in set((text or "").split()):
+            value = young.get(word)
+            if value is None:
+                value = self.old.get(word)
+                if value is None:
+                    value = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % MODULUS
+                if len(young) >= self.limit:
+                    self.old, self.young = young, {}
+                    young = self.young
+                young[word] = value
+            out.append(value)
+        return np.unique(np.array(out, np.uint64))
+
+
 def signature_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
     """(id, digest, signature): what near-duplicate resolution needs of each row, a bounded number of bytes. The digest is the
-    word set's; rows can be written with sinks.write_parquet, read again and unioned with those of later documents."""
-    digest = F.md5(F.array_join(F.col("hashes").cast("array<string>"), ",")).alias("digest")
-    return signatures(word_hashes(df, id_col, text_col).select(id_col, digest, "hashes"), id_col, seed)
+    word set's; rows can be written with sinks.write_parquet, read again and unioned with those of later documents.
+
+    Equals signatures(word_hashes(df)), in one pass over Arrow batches.
+    """
+    a, b = (np.array(x, np.uint64) for x in permutations(seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [hashes.of(t.as_py()) for t in part.column("text")]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                least = _least(np.concatenate(sets), sizes, a, b)
+                digests = pa.array([hashlib.md5(x.tobytes()).hexdigest() for x in sets], pa.string())
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(a))
+                yield pa.RecordBatch.from_arrays([part.column("id"), digests, pa.ListArray.from_arrays(offsets, pa.array(least.reshape(-1)))], names=["id", "digest", "signature"])
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, digest string, signature array<long>")
+    return signed.withColumnRenamed("id", id_col)
 
 
 def near_dedup_stored(store: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -364,7 +364,7 @@ def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_NEAR + " SELECT doc_id, sum(m)::BIGINT AS signature_sum, max(m) AS signature_max FROM sig GROUP BY 1")
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = dedup.signatures(dedup.word_hashes(read(spark, sf_dir, "documents")))
+    signed = dedup.signature_store(read(spark, sf_dir, "documents"))
     return signed.select("doc_id", F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x).alias("signature_sum"), F.array_max("signature").alias("signature_max"))
 
 
@@ -375,9 +375,9 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_NEAR + " SELECT low, high FROM e")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = dedup.word_hashes(read(spark, sf_dir, "documents"))
-    firsts = sets.groupBy("hashes").agg(F.min("doc_id").alias("doc_id"))
-    return dedup.near_pairs(dedup.bands(dedup.signatures(firsts)))
+    store = dedup.signature_store(read(spark, sf_dir, "documents"))
+    firsts = store.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    return dedup.near_pairs(dedup.bands(firsts))
 
 
 @query(_kept_sql() + "SELECT doc_id FROM kept")

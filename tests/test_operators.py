@@ -87,6 +87,14 @@ def test_signatures_equal_plain_arithmetic(spark):
         assert r.signature == [min([(x * h + y) % dedup.MODULUS for h in hashes], default=dedup.MODULUS) for x, y in zip(a, b, strict=True)]
 
 
+def test_signature_store_equals_signatures_of_word_hashes(spark):
+    texts = [None, "", " \u00a0\u3000", "a b a\u2003c", "c\x1cb\x85a", "\u200b x", "é\U0001f600 é"] + [" ".join(f"w{k * j}" for k in range(900)) for j in (1, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = {r.doc_id: r for r in dedup.signature_store(df).collect()}
+    assert {k: r.signature for k, r in store.items()} == {r.doc_id: r.signature for r in dedup.signatures(dedup.word_hashes(df)).collect()}
+    assert len({store[k].digest for k in (0, 1, 2)}) == 1 and store[3].digest == store[4].digest != store[5].digest
+
+
 def test_positions_by_key_equal_positions(spark):
     df = spark.range(200).select(F.col("id").alias("k"), F.pmod(F.col("id") * 7, F.lit(50)).alias("v"), F.lit("wide").alias("text"))
     order = [F.col("v"), F.col("k")]

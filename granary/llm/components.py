@@ -24,8 +24,9 @@ def _star(links: DataFrame, large: bool, total: int, tasks: int) -> DataFrame:
     else:
         around = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(u.alias("w"), F.least("m", "u").alias("m"), "degree")
+    least = checkpointed(least.coalesce(tasks))  # one row a node; keeps the plans of what follows small
     own, most = F.col("u") == F.col("w"), max(1_000, total // _HEAVY)
-    if 2 * total <= most:  # so few links that no node has more
+    if 2 * total <= most or least.where(F.col("degree") > most).isEmpty():
         joined = around.join(least, own)
     else:
         heavy, light = F.broadcast(least.where(F.col("degree") > most)), least.where(F.col("degree") <= most)
@@ -58,5 +59,6 @@ def components(links: DataFrame) -> DataFrame:
         links = links.coalesce(tasks)
         if _settled(links):
             break
-        links = checkpointed(_star(_star(links, True, total, tasks), False, total, tasks))
+        for large in (True, False):
+            links = checkpointed(_star(links, large, total, tasks))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -90,7 +90,7 @@ def mix_sources(
     docs = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), settings)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = checkpointed(plan.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size")))
+    plan = checkpointed(plan.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size")).coalesce(1))
 
     in_range = F.floor((1 - F.exp(-F.col("key"))) * settings.ranges).alias("range")
     left, rooms, picks = docs.select("row", "id", "source", "size", "key", in_range), plan.select("source", "room"), []
@@ -102,7 +102,7 @@ def mix_sources(
         tasks = 1 + rows // _TASK
         got = checkpointed(_prefixes(fits.coalesce(tasks)).coalesce(tasks))
         picks.append(got.where("more = 1").select(F.col("row").alias("pick")))
-        rooms = got.groupBy("source").agg((F.max("room") - F.sum(F.col("size") * F.col("more"))).alias("room"))
+        rooms = checkpointed(got.groupBy("source").agg((F.max("room") - F.sum(F.col("size") * F.col("more"))).alias("room")).coalesce(1))
         left = got.where("more = 0").select("row", "id", "source", "size", "key", "range")
     out = _known(docs, plan.select("source", "source_size", "target", "epochs"))
     more = F.lit(0)
@@ -127,7 +127,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
     crossing = F.when(F.col("before") + F.col("held") > F.col("room"), F.struct("range", "before"))
-    edges = ranges.groupBy("source").agg(F.min(crossing).alias("edge"))
+    edges = checkpointed(ranges.groupBy("source").agg(F.min(crossing).alias("edge")).coalesce(1))  # one row a source; keeps the plan below small
     placed = _known(rows, edges)
     columns = rows.columns
     inside = placed.where(F.col("edge").isNotNull() & (F.col("range") == F.col("edge.range"))).withColumn("part", F.shiftright("row", 33))

@@ -17,7 +17,8 @@ sets link when 100 * |A and B| >= percent * |A or B|. The join is exact, in thes
    all rows are counted by hash; the pairs found don't depend on it, only the work does.
 3. Signatures are dealt into buckets as packed arrays, and nodes that share one are joined to the
    least of them. The components of that candidate graph hold all links; no pairs are listed. Here
-   a signature has 40 bits besides its bucket, and a node 40: what collides is taken for a candidate.
+   a signature has 40 bits besides its bucket, and a node 40: what collides is taken for a candidate,
+   and so are sets whose nodes collide with each other.
 4. Candidates' sets are gathered by component, in blocks of a bounded number of features in the order of set sizes
    (in a large component each block meets the blocks of near sizes), and each task verifies its pairs exactly in numpy, rarest features
    first. It returns for each node its number of partners and a link to a local root.
@@ -52,8 +53,8 @@ from granary.llm.components import components
 from granary.llm.textscan import Scan
 
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
-#: Bits of a node's name in the candidate graph, and bytes of a signature or of such a name.
-_NODE, _WIDTH = (1 << 40) - 1, 5
+#: Bytes of a signature or of a node's name in the candidate graph.
+_WIDTH = 5
 #: Cells of the table that counts features by hash (2**22 at one byte a task), in chunks of 2**14.
 _CELLS, _CHUNK = 1 << 22, 1 << 14
 #: A cell is common at 1.5 times the mean and one document in so many more.
@@ -78,6 +79,7 @@ class JoinSettings:
     few: int = 0  # signatures over fewer uncommon features are left out where spare parts allow
     block: int = 1 << 20  # features of a block; a task compares two blocks at most
     bucket: int = 1 << 20  # signatures in one task
+    node_bits: int = 40  # of a node's name in the candidate graph; results don't depend on them
 
 
 def gram_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,7 +327,7 @@ def _node(a: str = "a", b: str = "b"):
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id, n_links (other rows that it links with)."""
-    bands = Bands(settings)
+    bands, node_mask = Bands(settings), (1 << settings.node_bits) - 1
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     texts = df.select(F.col(text_col).alias("text"))
@@ -368,7 +370,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             bucket = ((signature >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             # the low bytes: the bucket comes from the high ones
-            node, signature, bucket = a[node[order]] & np.uint64(_NODE), signature[order], bucket[order]
+            node, signature, bucket = a[node[order]] & np.uint64(node_mask), signature[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
             bounds = list(zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True)) if len(bucket) else []
             columns = [[int(bucket[lo]) for lo, _ in bounds], *([_narrow(x[lo:hi]) for lo, hi in bounds] for x in (signature, node))]
@@ -387,8 +389,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     near = texts.mapInArrow(sign, "bucket long, signatures binary, nodes binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
-    candidates = checkpointed(components(near))
-    del near
+    classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    classes = checkpointed(classes.withColumn("node", F.col("a").bitwiseAND(F.lit(node_mask))))
+    crowded = classes.groupBy("node").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("node", F.col("node").alias("component"))
+    found = components(near)
+    candidates = checkpointed(found.unionByName(crowded.join(found, "node", "left_anti")))
+    del near, found
     # a table of bounded size tells the next pass which sets to bring; a false alarm is dropped by the join after it
     bits = min(_BITS, max(1 << 10, 1 << (16 * candidates.count()).bit_length()))
     places = candidates.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("bit"))
@@ -401,18 +407,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for piece in pieces(batches, "text"):
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
             a, b = fingerprints(sizes, features)
-            bit = a & np.uint64(bits - 1)
+            bit = a & np.uint64((bits - 1) & node_mask)
             wanted = (wanted_bits[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
             rows = np.flatnonzero(seen.new(a, b, wanted & (sizes > 0)))
             ends = np.cumsum(sizes)
             blobs = pa.array([features[ends[i] - sizes[i] : ends[i]].tobytes() for i in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([_signed(a[rows]), _signed(b[rows]), blobs], names=["a", "b", "features"])
 
-    classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    classes = checkpointed(classes)
     # a component's nodes are put into blocks in the order of their sizes, those of one size by hash;
     # only blocks whose sizes are near enough for a link meet
-    placed = classes.withColumn("node", F.col("a").bitwiseAND(F.lit(_NODE))).join(candidates, "node")
+    placed = classes.join(candidates, "node")
     by_size = W.partitionBy("component").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     sizes = placed.groupBy("component", "n").agg(F.count(F.lit(1)).alias("same")).withColumn("before", F.coalesce(F.sum(F.col("same") * F.col("n")).over(by_size), F.lit(0)))
     sizes = sizes.select(F.col("component").alias("size_component"), F.col("n").alias("size_n"), "same", "before")

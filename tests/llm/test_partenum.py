@@ -51,7 +51,7 @@ def corpus(seed, n=120):
     return texts
 
 
-@pytest.mark.parametrize("settings", [JoinSettings(), JoinSettings(words=5, percent=80, spare=0.2, few=1), JoinSettings(percent=70, cells=4, spoiled=2, block=300, bucket=500), JoinSettings(cells=1, spoiled=0, block=2000)])
+@pytest.mark.parametrize("settings", [JoinSettings(), JoinSettings(words=5, percent=80, spare=0.2, few=1), JoinSettings(percent=70, cells=4, spoiled=2, block=300, bucket=500), JoinSettings(cells=1, spoiled=0, block=2000), JoinSettings(node_bits=4)])
 def test_equals_comparing_everything(spark, settings):
     texts = corpus(settings.percent)
     ids = list(range(len(texts)))

@@ -128,7 +128,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
     crossing = F.when(F.col("before") + F.col("held") > F.col("room"), F.struct("range", "before"))
     edges = checkpointed(ranges.groupBy("source").agg(F.min(crossing).alias("edge")).coalesce(1))  # one row a source; keeps the plan below small
-    placed = _known(rows, edges)
+    placed = checkpointed(_known(rows, edges))  # read three times below
     columns = rows.columns
     inside = placed.where(F.col("edge").isNotNull() & (F.col("range") == F.col("edge.range"))).withColumn("part", F.shiftright("row", 33))
     whole = placed.where(F.col("edge").isNull() | (F.col("range") != F.col("edge.range"))).select(*columns, (F.col("edge").isNull() | (F.col("range") < F.col("edge.range"))).cast("int").alias("more"))

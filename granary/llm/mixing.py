@@ -9,7 +9,8 @@ that fits what the documents before it have left of the budget.
 
 This goes in rounds. A round takes, of the documents that fit what is left, those whose prefix sum
 fits, too; the one that crosses fits no more, and neither does any passed over before, so the next
-round goes on behind it. Rounds end when no source has a document left that fits.
+round goes on behind it. Rounds end when no source has a document left that fits, or when
+so few rows of all sources together are left that one task can go through them in the same order.
 
 The prefix sum never sorts a source in one task. Keys are dealt over a fixed number of ranges;
 sizes are summed by source and range (map-side first), a running sum over those few rows finds the
@@ -28,9 +29,11 @@ clash. Reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +53,7 @@ class MixSettings:
     max_epochs: int = 3
     ranges: int = 4096
     seed: str = "mix"
+    alone: int = 1 << 16  # so few rows that still fit are gone through by one task; more take another round
 
 
 def targets(sizes: DataFrame, settings: MixSettings) -> DataFrame:
@@ -99,6 +103,9 @@ def mix_sources(
         rows = fits.count()
         if not rows:
             break
+        if rows <= settings.alone:
+            picks.append(checkpointed(_one_by_one(fits)))
+            break
         tasks = 1 + rows // _TASK
         got = checkpointed(_prefixes(fits.coalesce(tasks)).coalesce(tasks))
         picks.append(got.where("more = 1").select(F.col("row").alias("pick")))
@@ -113,6 +120,25 @@ def mix_sources(
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
+def _one_by_one(rows: DataFrame) -> DataFrame:
+    """The rows taken, of a bounded number, by going through them in the order of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[str | None, float] = {}
+        for batch in batches:
+            taken = []
+            for row, source, size, room in zip(*(batch.column(c).to_pylist() for c in ("row", "source", "size", "room")), strict=True):
+                now = left.get(source, room)
+                if size <= now:
+                    taken.append(row)
+                    now -= size
+                left[source] = now
+            yield pa.RecordBatch.from_arrays([pa.array(taken, pa.int64())], names=["pick"])
+
+    ordered = rows.coalesce(1).sortWithinPartitions("key", F.col("id").asc_nulls_last(), "size", "row")
+    return ordered.select("row", "source", "size", "room").mapInArrow(run, "pick long")
+
+
 def _known(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     """Rows (with their number) and what is known of their source; rows of other sources go."""
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))

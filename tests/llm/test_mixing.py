@@ -59,7 +59,7 @@ def test_epochs_budgets_and_reruns(spark):
         assert all(r.taken in (whole * r.size, (whole + 1) * r.size) and r.taken <= 3 * r.size for r in v)
         taken = sum(r.taken for r in v)
         assert 0.99 * target <= taken <= target
-    again = mix_sources(df.repartition(9), F.col("size"), settings=MixSettings(ranges=7)).collect()
+    again = mix_sources(df.repartition(9), F.col("size"), settings=MixSettings(ranges=7, alone=0)).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
     other = mix_sources(df, F.col("size"), settings=MixSettings(seed="else")).collect()
     assert sorted(map(tuple, other), key=str) != sorted(map(tuple, rows), key=str)
@@ -91,8 +91,8 @@ def test_nothing_that_is_left_fits(spark):
     early = next(f"x{k}" for k in range(10_000) if key(f"x{k}") < 0.02)
     sizes.append((early, "a", 20_000))
     df = spark.createDataFrame(sizes, "doc_id string, source string, size long")
-    for ranges in (4096, 3):
-        got = mix_sources(df, F.col("size"), settings=MixSettings(weights=(1.0, 9.0, 1.0), ranges=ranges)).collect()
+    for ranges, alone in ((3, 0), (3, 300), (4096, 1 << 16)):
+        got = mix_sources(df, F.col("size"), settings=MixSettings(weights=(1.0, 9.0, 1.0), ranges=ranges, alone=alone)).collect()
         for source in ("a", "b", None):
             mine = [r for r in got if r.source == source]
             epochs = int(mine[0].target // mine[0].source_size)
@@ -106,8 +106,8 @@ def test_nothing_that_is_left_fits(spark):
 def test_ties_repeats_and_odd_weights(spark):
     rows = [(1, "a", 5)] * 30 + [(None, "a", 5)] * 10 + [(2, "b", 40)] * 3
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    for weight in (F.lit(None), F.lit(0.0), F.lit(float("nan")), F.lit(-1)):
-        got = mix_sources(df, F.col("size"), weight, settings=MixSettings(weights=(1.0, 2.0))).collect()
+    for weight, alone in ((F.lit(None), 0), (F.lit(0.0), 20), (F.lit(float("nan")), 1000), (F.lit(-1), 1000)):
+        got = mix_sources(df, F.col("size"), weight, settings=MixSettings(weights=(1.0, 2.0), alone=alone)).collect()
         assert len(got) == len(rows)
         for source in "ab":
             mine = [r for r in got if r.source == source]
@@ -117,7 +117,7 @@ def test_ties_repeats_and_odd_weights(spark):
 def test_one_id_may_hold_a_third_of_all_rows(spark):
     rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), (F.col("id") % 5 + 1).alias("size"), F.col("id").alias("own"))
     other = spark.range(10).select((F.col("id") + 10_000).alias("doc_id"), F.lit("b").alias("source"), F.lit(1).alias("size"), F.col("id").alias("own"))
-    got = mix_sources(rows.unionByName(other).repartition(5), F.col("size"), settings=MixSettings(weights=(1.0, 1.0)), carry=("own",)).collect()
+    got = mix_sources(rows.unionByName(other).repartition(5), F.col("size"), settings=MixSettings(weights=(1.0, 1.0), alone=0), carry=("own",)).collect()
     assert sorted(r.own for r in got if r.source == "a") == list(range(6000))
     mine = [r for r in got if r.source == "a"]
     key = lambda i: -math.log((int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,9 @@ from granary.llm.packing import pack_documents, public_vocabulary
 from granary.llm.partenum import jaccard_components
 from granary.llm.repetition import RepetitionRules, repetition_coverage
 from granary.llm.secret_ledger import RULES, scan_increments
+from granary.llm.simhash import near_duplicates
+from granary.llm.spelling import SpellingSettings, spelling_variants, word_counts
+from granary.llm.tandem import periodic_runs
 from granary.llm.toxicity import fit_toxicity, toxicity_column
 from granary.llm.transport_stream import read_transport_streams, write_transport_streams
 from granary.plans.session import scratch
@@ -131,6 +135,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity_column(model, F.col("text")), 3, 1)
 
 
+def drop_letter(doc_id: str, word: str) -> str:
+    """The word without one letter, if 31 divides the hash of id and word."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    return word if h % 31 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), drop_letter))
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def repeat_words(doc_id: str, words: list[bytes]) -> list[bytes]:
+    """In texts whose id's hash 10 divides, from some word on the words repeat."""
+    h, n = zlib.crc32(doc_id.encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(table(spark, sf_dir, "documents"), repeat_words)
+    # runs are in order, so of equal exponents the first by start and period stays
+    longer = lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), longer)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -263,6 +302,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id"""
 
 
+def _op11_sql() -> str:
+    s = SpellingSettings()
+    steps = []  # of CRC-32 over one byte, the polynomial's bits reversed
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        steps.append(byte)
+    hexed = "hex(encode(doc_id::VARCHAR || ':' || run))"
+    data = f"list_transform(range(length({hexed}) // 2), lambda k: ('0x' || substr({hexed}, (2 * k + 1)::INT, 2))::BIGINT)"
+    return f"""
+WITH RECURSIVE steps AS MATERIALIZED (SELECT {steps}::BIGINT[] AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM r WHERE length(run) >= {s.least} GROUP BY 1, 2),
+h AS (SELECT run, c, xor(list_reduce({data}, lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]), 4294967295::BIGINT), 4294967295) AS h FROM d, steps),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM v GROUP BY 1 HAVING length(word) >= {s.least} AND sum(c) >= {s.occurrences}),
+k AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT k.word, w.word FROM k JOIN w ON k.less = w.word UNION SELECT w.word, k.word FROM k JOIN w ON k.less = w.word),
+b AS (SELECT a AS word, count(*) AS n_near, arg_min({{'form': w.word, 'n': w.n}}, {{'a': -w.n, 'b': w.word}}) AS best FROM p JOIN w ON w.word = p.b GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {s.ratio} * w.n THEN best.form END AS form, CASE WHEN best.n >= {s.ratio} * w.n THEN best.n END AS form_n FROM w LEFT JOIN b USING (word)),
+z AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT z.word, f.form, step + 1 FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL),
+x AS (SELECT word, arg_max(root, step) AS root FROM z GROUP BY 1)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN x USING (word)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_streams": op1_transport_streams,
     "op2_repetition_coverage": op2_repetition_coverage,
@@ -274,6 +339,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_gam": op8_quality_gam,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash_trie": op12_simhash_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -283,4 +351,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_ledger": _op6_sql(),
     "op7_chat_rendering": _op7_sql(),
     "op9_source_mixing": _op9_sql(),
+    "op11_spelling_variants": _op11_sql(),
 }

@@ -1,0 +1,138 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from granary.llm.queries import op12_simhash_trie
+from granary.llm.simhash import SimHashSettings, Walk, fingerprint, links, merge, near_duplicates, subtrees
+
+
+def close(values, budget):
+    return {(min(a, b), max(a, b)) for a in values for b in values if a != b and bin(a ^ b).count("1") <= budget}
+
+
+def plain_components(pairs, values):
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {v: find(v) for v in values}
+
+
+def some_values(seed, n):
+    """Random numbers, some of them a few bits from others, some in one small subtree."""
+    rng = random.Random(seed)
+    values = {0, 2**64 - 1}
+    while len(values) < n:
+        v = rng.choice([rng.getrandbits(64), rng.getrandbits(12), (5 << 60) + rng.getrandbits(20)])
+        for _ in range(rng.randrange(1, 5)):
+            values.add(v)
+            for _ in range(rng.randrange(7)):
+                v ^= 1 << rng.randrange(64)
+    return sorted(values)
+
+
+@pytest.mark.parametrize("budget", [0, 1, 4, 9])
+def test_walk_finds_each_pair_once(budget, monkeypatch):
+    monkeypatch.setattr("granary.llm.simhash._WIDE", 50)
+    values = some_values(budget, 400)
+    x = np.array(values, np.uint64)
+    found = [(int(x[i]), int(x[j])) for a, b in Walk(x, None, budget).links() for i, j in zip(a, b, strict=True)]
+    assert len(found) == len(set(found)) and set(found) == close(values, budget)
+    left, right = values[::2], values[1::2]
+    x, y = np.array(left, np.uint64), np.array(right, np.uint64)
+    across = {tuple(sorted((int(x[i]), int(y[j])))) for a, b in Walk(x, y, budget).links() for i, j in zip(a, b, strict=True)}
+    assert across == {p for p in close(values, budget) if (p[0] in set(left)) != (p[1] in set(left))}
+
+
+def test_merge():
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    root = np.arange(300)
+    for k in range(0, 200, 30):
+        i, j = (np.array(c) for c in zip(*pairs[k : k + 30], strict=True))
+        root = merge(root, i, j)
+    assert dict(enumerate(root.tolist())) == plain_components([p for p in pairs if p[0] != p[1]], range(300))
+
+
+@pytest.mark.parametrize("settings", [SimHashSettings(), SimHashSettings(subtree=20, subtrees=1), SimHashSettings(subtree=1), SimHashSettings(subtree=60, differing=2)])
+def test_links_connect_what_is_close(spark, settings):
+    values = some_values(7, 500)
+    bits = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "bits long")
+    first, depth = subtrees(bits, len(values), settings)
+    held = [sum(int(a) <= v < int(a) + (1 << (64 - int(d))) for v in values) for a, d in zip(first, depth, strict=True)]
+    assert sum(held) == len(values) and max(held) <= settings.subtree
+    rows = links(bits, settings).collect()
+    pairs = [(r.u % (1 << 64), r.v % (1 << 64)) for r in rows]
+    assert set(plain_components(pairs, values).items()) == set(plain_components(close(values, settings.differing), values).items())
+    assert len(pairs) <= 40 * len(values)
+
+
+def plain_fingerprint(spark, texts):
+    """By Spark's own hash of the shingles, which has this seed."""
+    rows = []
+    for k, t in enumerate(texts):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        for c in "\t\n\x0b\x0c\r":
+            lower = lower.replace(c, " ")
+        w = [x for x in lower.split(" ") if x]
+        rows += [(k, " ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))] if w else []
+    ones = {k: (0, [0] * 64) for k in range(len(texts))}
+    for r in spark.createDataFrame(rows, "k long, s string").select("k", F.xxhash64("s").alias("h")).collect():
+        n, bits = ones[r.k]
+        ones[r.k] = (n + 1, [b + (r.h >> i & 1) for i, b in enumerate(bits)])
+    return [sum(1 << i for i, b in enumerate(bits) if 2 * b > n) for n, bits in ones.values()]
+
+
+def plain(ids, values, budget=4):
+    of = plain_components(close(sorted(set(values)), budget), sorted(set(values)))
+    low = {}
+    for i, v in zip(ids, values, strict=True):
+        if i is not None:
+            low[of[v]] = min(low.get(of[v], i), i)
+    return sorted(((i, f"{v:016x}", low.get(of[v])) for i, v in zip(ids, values, strict=True)), key=str)
+
+
+def test_equals_comparing_everything(spark, monkeypatch):
+    monkeypatch.setattr("granary.llm.simhash._RUN", 100)
+    rng = random.Random(1)
+    texts = ["", None, "a", "A", "a b c", "a b c d", "A\tb\nc\rd", "a b c d e", "é è", "É è"]
+    for _ in range(40):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([5, 40, 300]))]
+        for _ in range(rng.randrange(1, 6)):
+            texts.append(" ".join(base))
+            if rng.random() < 0.7:
+                base[rng.randrange(len(base))] = "changed"
+    values = plain_fingerprint(spark, texts)
+    assert [fingerprint((t or "").encode()) for t in texts] == values
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == plain(ids, values)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    rows = odd_docs.select("doc_id", "text").collect()
+    values = plain_fingerprint(spark, [r.text for r in rows])
+    assert sorted(map(tuple, near_duplicates(odd_docs).collect()), key=str) == plain([r.doc_id for r in rows], values)
+    assert near_duplicates(no_docs).count() == 0
+
+
+def test_many_copies_are_broadcast(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5000, "the same text in all of these rows").otherwise(F.concat(F.lit("other "), F.col("id"))).alias("text"))
+    rows = near_duplicates(df).collect()
+    assert len(rows) == 6000 and {r.component_id for r in rows if r.doc_id < 5000} == {0}
+
+
+def test_query_equals_plain(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    values = plain_fingerprint(spark, [r.text for r in docs])
+    assert sorted(map(tuple, op12_simhash_trie(spark, sf).collect()), key=str) == plain([r.doc_id for r in docs], values)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +20,17 @@ BOS, EOS, PAD, USER, BOT = 1, 2, 3, 4, 5
 FIRST_WORD, VOCABULARY = 16, 32_768
 
 
+@dataclass(frozen=True)
+class ChatTokens:
+    """Ids of the special tokens of a chat example."""
+
+    bos: int = BOS
+    eos: int = EOS
+    pad: int = PAD
+    user: int = USER
+    bot: int = BOT
+
+
 def hashed_words(text: Column) -> Column:
     """A stand-in for a tokenizer, in SQL functions: one id for each word, from its hash."""
     return F.transform(words(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % (VOCABULARY - FIRST_WORD) + FIRST_WORD).cast("int"))
@@ -34,6 +49,38 @@ def sentencepiece_ids(text: Column, model: Callable[[], str]) -> Column:
     return _iterated(run, "array<int>")(text)
 
 
+def sentencepiece_ids_of_each(texts: Column, model: Callable[[], str]) -> Column:
+    """array<string> to array<array<int>>: all texts of an Arrow batch are encoded in one call, and the rows' offsets kept.
+
+    A null array stays null; a null text is empty.
+    """
+
+    def run(batches):
+        import sentencepiece
+
+        processor = sentencepiece.SentencePieceProcessor(model_file=model())
+        for rows in batches:
+            ids = processor.encode(["" if t is None else t for t in rows.flatten().to_pylist()], num_threads=1)
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(ids, pa.list_(pa.int32())))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<array<int>>")(texts)
+
+
+def sentencepiece_chat_tokens(model: Callable[[], str], user: str = "<user>", bot: str = "<bot>") -> ChatTokens:
+    """The special ids of a SentencePiece model; role tags are looked up by their pieces.
+
+    A piece that the vocabulary lacks has the unknown id, as everywhere in SentencePiece; so has padding where there is none.
+    """
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=model())
+    pad = p.pad_id() if p.pad_id() >= 0 else p.unk_id()
+    return ChatTokens(p.bos_id(), p.eos_id(), pad, p.piece_to_id(user), p.piece_to_id(bot))
+
+
 def sentencepiece_text(ids: Column, model: Callable[[], str]) -> Column:
     def run(batches):
         import sentencepiece
@@ -71,33 +118,44 @@ def crop_start(ids: Column, block: int, seed: int, *key: Column) -> Column:
     return F.when(room > 0, F.pmod(draw, room)).otherwise(0).cast("int")
 
 
-def training_pair(ids: Column, block: int, start: Column) -> tuple[Column, Column]:
+def training_pair(ids: Column, block: int, start: Column, pad: int = PAD) -> tuple[Column, Column]:
     """Inputs and next-token targets of `block` ids each, padded.
 
     The last id of an array is a target only, so one that fits the block gives up its last input.
     """
     inputs = F.slice(ids, start + 1, F.greatest(F.least(F.size(ids) - 1, F.lit(block)), F.lit(0)))
-    return pad_to(inputs, block), pad_to(F.slice(ids, start + 2, block), block)
+    return pad_to(inputs, block, pad), pad_to(F.slice(ids, start + 2, block), block, pad)
+
+
+def each(encode: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """An encoder of array<string> from one of texts in SQL functions."""
+    return lambda texts: F.transform(texts, encode)
+
+
+def said(messages: Column) -> Column:
+    """The messages that take part in an example: of users and assistants, with a text."""
+    return F.filter(messages, lambda m: m["role"].isin("user", "assistant") & m["content"].isNotNull())
 
 
-def chat_ids(messages: Column, encode: Callable[[Column], Column]) -> tuple[Column, Column]:
+def chat_ids(messages: Column, encode: Callable[[Column], Column], tokens: ChatTokens = ChatTokens()) -> tuple[Column, Column]:
     """Token ids of user and assistant messages with role tags, and the loss mask of the same length.
 
-    The mask is 1 over an assistant's tag, content and end, and 0 elsewhere. Other roles and null
-    contents are passed over.
+    `encode` turns array<string> into array<array<int>>. The mask is 1 over an assistant's tag,
+    content and end, and 0 elsewhere. Other roles and null contents are passed over.
     """
-    said = F.filter(messages, lambda m: m["role"].isin("user", "assistant") & m["content"].isNotNull())
-    tag = lambda m: F.when(m["role"] == "user", USER).otherwise(BOT)
-    segments = F.transform(said, lambda m: F.struct((m["role"] == "assistant").cast("int").alias("on"), F.concat(F.array(tag(m)), encode(m["content"]), F.array(F.lit(EOS))).alias("ids")))
-    ids = F.concat(F.array(F.lit(BOS)), F.flatten(F.transform(segments, lambda s: s["ids"])))
+    kept = said(messages)
+    both = F.arrays_zip(F.transform(kept, lambda m: m["role"] == "assistant").alias("bot"), encode(F.transform(kept, lambda m: m["content"])).alias("ids"))
+    tag = lambda x: F.when(x["bot"], tokens.bot).otherwise(tokens.user)
+    segments = F.transform(both, lambda x: F.struct(x["bot"].cast("int").alias("on"), F.concat(F.array(tag(x)), x["ids"], F.array(F.lit(tokens.eos))).alias("ids")))
+    ids = F.concat(F.array(F.lit(tokens.bos)), F.flatten(F.transform(segments, lambda s: s["ids"])))
     mask = F.concat(F.array(F.lit(0)), F.flatten(F.transform(segments, lambda s: F.array_repeat(s["on"], F.size(s["ids"])))))
     return ids, mask
 
 
-def chat_example(ids: Column, mask: Column, block: int) -> tuple[Column, Column, Column]:
+def chat_example(ids: Column, mask: Column, block: int, pad: int = PAD) -> tuple[Column, Column, Column]:
     """Inputs, next-token targets and the targets' loss mask of `block` each, padded.
 
     The mask belongs to the targets, so it is shifted with them.
     """
-    inputs, targets = training_pair(ids, block, F.lit(0))
+    inputs, targets = training_pair(ids, block, F.lit(0), pad)
     return inputs, targets, pad_to(F.slice(mask, 2, block), block, 0)

@@ -14,6 +14,11 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def text_or_null(value: Column) -> Column:
+    """The text of a variant that is one; null for numbers, lists, objects and the rest."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def turns_to_messages(conversation: Column, user_key: str = "human", assistant_key: str = "assistant") -> Column:
     """array<map<string,string>> to messages: of each turn the user's first, then the assistant's, if the key is there."""
     one = lambda t, key, role: F.when(F.map_contains_key(t, key), _message(role, t[key]))
@@ -25,18 +30,18 @@ def pair_to_messages(prompt: Column, response: Column) -> Column:
 
 
 def records_to_messages(lines: DataFrame, user_key: str = "human", assistant_key: str = "assistant") -> DataFrame:
-    """(file, messages) of JSON lines that are either {prompt, response} or {conversation: [...]}; a null content stays null.
+    """(file, messages) of JSON lines that are either {prompt, response} or {conversation: [...]}.
 
-    The single pair goes before the conversation; records of neither form, turns that are no
+    A content that is no text is null, so examples pass over it. The single pair goes before the conversation; records of neither form, turns that are no
     objects and empty results are dropped, as are lines that are no JSON objects.
     """
     record = F.try_parse_json("line")
     keys = F.json_object_keys("line")
-    get = lambda path: F.try_variant_get(record, path, "string")
+    get = lambda path: text_or_null(F.try_variant_get(record, path, "variant"))
     single = F.array_contains(keys, "prompt") & F.array_contains(keys, "response")
     turns = F.try_variant_get(record, "$.conversation", "array<variant>")
     objects = F.filter(turns, lambda t: F.schema_of_variant(t).startswith("OBJECT"))
-    maps = F.transform(objects, lambda t: F.try_variant_get(t, "$", "map<string,string>"))
+    maps = F.transform(objects, lambda t: F.transform_values(F.try_variant_get(t, "$", "map<string,variant>"), lambda _, v: text_or_null(v)))
     messages = F.when(F.coalesce(single, F.lit(False)), pair_to_messages(get("$.prompt"), get("$.response"))).otherwise(turns_to_messages(maps, user_key, assistant_key))
     return lines.select("file", messages.alias("messages")).where(F.size("messages") > 0)
 

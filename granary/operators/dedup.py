@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import words
+from granary.operators import filters
 from granary.plans.session import materialized
 
 # Fixed values of the sketch: 128 permutations, 8 bands of 16 rows (threshold 0.85), modulus 2**31 - 1.
@@ -28,20 +28,33 @@ def permutations(seed: int = 1) -> tuple[list[int], list[int]]:
     return [draw.randrange(1, MODULUS) for _ in range(PERMUTATIONS)], [draw.randrange(0, MODULUS) for _ in range(PERMUTATIONS)]
 
 
-def exact_dedup(df: DataFrame, content: Column, order: list[Column]) -> DataFrame:
+def located(df: DataFrame, from_files: bool) -> DataFrame:
+    """Adds __file and __row, a name for each row that a second read gives again.
+
+    For rows `from_files`, read from Parquet files with no more than filters and projections, it is where the row stands; all
+    others are written to the checkpoint folder once, unshuffled, and named there.
+    """
+    if from_files:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return materialized(df.select("*", F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__row")))
+
+
+def exact_dedup(df: DataFrame, content: Column, order: list[Column], from_files: bool = False) -> DataFrame:
     """Of rows with equal content hash the first in the order stays, and only that one.
 
-    The least row of each hash is aggregated map-side, so a hash with very many rows is no hot spot.
-    Rows of different hashes may share an order key. Of rows with one hash and one order key the
-    least by its columns stays; repeated rows give one. Null is a hash of its own. Without rows the
-    result is empty. Columns keep their names, whatever they are.
+    What is aggregated (map-side first, so a hash with very many rows is no hot spot) and sorted are
+    the hashes, order keys and places of rows, never whole rows. The places of the rows that go then
+    meet the rows by a Bloom filter, so rows that stay aren't shuffled. Rows of different hashes may
+    share an order key. Of rows with one hash and one order key the first by its place stays;
+    repeated rows give one. Null is a hash of its own. Without rows the result is empty. Columns keep
+    their names, whatever they are. `from_files`: see located.
     """
-    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    keyed = df.select(content.alias("hash"), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]).alias("at"), rows.alias("row"))
-    kind = keyed.schema["row"].dataType.simpleString()
-    unordered = "map<" in kind or "variant" in kind  # such values can't be compared: any row with the least key stays
-    least = F.min_by("row", "at") if unordered else F.min(F.struct("at", "row"))["row"]
-    return keyed.groupBy("hash").agg(least.alias("row")).select("row.*")
+    rows = located(df, from_files)
+    at = [o.alias(f"o{k}") for k, o in enumerate(order)]
+    keyed = materialized(rows.select(content.alias("hash"), F.struct(*at, "__file", "__row").alias("at")))
+    shared = keyed.groupBy("hash").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("same"), "least")
+    later = keyed.join(shared, F.col("hash").eqNullSafe(F.col("same"))).where(F.col("at") != F.col("least"))
+    return filters.without(rows, ["__file", "__row"], later.select("at.__file", "at.__row")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def word_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,8 +216,9 @@ def signature_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def near_dedup_stored(store: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Kept ids of the documents in a signature store. Equal word sets fall together first, which is exact (their sketches are
-    equal) and takes copies and blank texts out of the bands."""
-    firsts = materialized(store.groupBy("digest").agg(F.min(F.struct(id_col, "signature")).alias("least")).select(f"least.{id_col}", "least.signature"))
+    equal) and takes copies and blank texts out of the bands. A null id stands for a word set only where no other does."""
+    least = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), id_col, "signature")).alias("least")
+    firsts = materialized(store.groupBy("digest").agg(least).select(f"least.{id_col}", "least.signature"))
     dropped = resolve_buckets(bands(firsts, id_col), id_col)
     return firsts.select(id_col).distinct().join(dropped, id_col, "left_anti")
 
@@ -213,13 +227,27 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     """Kept ids, each once.
 
     A null text counts as blank; blank texts are equal to each other. Repeated rows and copies give
-    their least id. Several texts under one id are one document with all their signatures. Null ids
-    aren't resolved against others and appear once, if any text's least id is null. Only id and text
-    are read, so further columns can't clash; an empty table gives an empty result.
+    their least id that isn't null. Several texts under one id are one document with all their signatures.
+    Null ids aren't resolved against others and appear once, if any text has no other id; near_dedup_rows
+    resolves such rows, too. Only id and text are read, so further columns can't clash; an empty
+    table gives an empty result.
     """
     return near_dedup_stored(materialized(signature_store(df, id_col, text_col, seed)), id_col)
 
 
+def near_dedup_rows(df: DataFrame, text_col: str = "text", seed: int = 1, from_files: bool = False) -> DataFrame:
+    """The rows of df that near-duplicate resolution keeps, each row being a document of its own, whatever its id.
+
+    Rows are taken in the order of their places. Columns keep their names. `from_files`: see located.
+    """
+    rows = located(df, from_files)
+    place = F.struct("__file", "__row").alias("__id")
+    kept = near_dedup_stored(materialized(signature_store(rows.select(place, F.col(f"`{text_col}`").alias("text")), "__id", "text", seed)), "__id")
+    return filters.only(rows, ["__file", "__row"], kept.select("__id.__file", "__id.__row")).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def semi_join(df: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows whose id is kept. Spark broadcasts the ids only if their size is known to be small."""
-    return df.join(kept.select(id_col), id_col, "left_semi").select(*df.columns)
+    """Rows whose id is kept; a kept null keeps the rows without an id, so no text is lost with its id. Spark broadcasts
+    the ids only if their size is known to be small."""
+    kept = kept.select(F.col(id_col).alias("__kept"))
+    return df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")

@@ -140,7 +140,7 @@ QUALIFY row_number() OVER (PARTITION BY md5(regexp_replace({_MARKED}, '{_BIDI}',
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("hash", X.content_hash(X.clean_bidi(_marked(F.col("text")))))
-    return dedup.exact_dedup(docs.select("doc_id", "lang", "n_chars", "hash"), F.col("hash"), [F.col("doc_id")]).select("doc_id", "lang", "n_chars")
+    return dedup.exact_dedup(docs.select("doc_id", "lang", "n_chars", "hash"), F.col("hash"), [F.col("doc_id")], from_files=True).select("doc_id", "lang", "n_chars")
 
 
 _REPEATED = "SELECT doc_id // 2 AS place, lang, text FROM documents UNION ALL SELECT doc_id // 2, lang, text FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT NULL, lang, text FROM documents WHERE doc_id % 5 = 0"
@@ -407,6 +407,16 @@ def semi_join_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.semi_join(docs.select("doc_id", "lang", "n_chars"), dedup.near_dedup(docs))
 
 
+@query(
+    _kept_sql()
+    + """SELECT t, count(*) AS n FROM (SELECT md5(text) AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM kept)) GROUP BY 1"""
+)
+def near_dup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that near-duplicate resolution keeps, where a third of them have no id."""
+    docs = read(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("doc_id"), "text")
+    return dedup.near_dedup_rows(docs, from_files=True).groupBy(F.md5("text").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- chat
 
 
@@ -515,7 +525,7 @@ def _padded_sql(array: str, value: int) -> str:
 
 def _chat_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = chat.nest(read(spark, sf_dir, "conversations"))
-    ids, mask = K.chat_ids(F.col("messages"), K.hashed_words)
+    ids, mask = K.chat_ids(F.col("messages"), K.each(K.hashed_words))
     rows = nested.select("conv_id", ids.alias("ids"), mask.alias("mask")).where(F.size("ids") > 1)
     x, y, k = K.chat_example(F.col("ids"), F.col("mask"), 128)
     return rows.select("conv_id", F.size("ids").alias("n_ids"), x.alias("x"), y.alias("y"), k.alias("k"))
@@ -554,6 +564,18 @@ def sentencepiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_ids"), F.md5(_joined(F.col("ids"))).alias("ids_md5"))
 
 
+@query()
+def chat_examples_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat examples by a SentencePiece model; the role tags are two of its pieces."""
+    tokens = K.sentencepiece_chat_tokens(_piece_model, "<0x01>", "<0x02>")
+    ids, mask = K.chat_ids(F.col("messages"), lambda texts: K.sentencepiece_ids_of_each(texts, _piece_model), tokens)
+    rows = chat.nest(read(spark, sf_dir, "conversations")).select("conv_id", ids.alias("ids"), mask.alias("mask")).where(F.size("ids") > 1)
+    x, y, k = K.chat_example(F.col("ids"), F.col("mask"), 256, tokens.pad)
+    rows = rows.select("conv_id", F.size("ids").alias("n_ids"), x.alias("x"), y.alias("y"), k.alias("k"))
+    loss = F.aggregate("k", F.lit(0), lambda a, b: a + b).alias("n_loss")
+    return rows.select("conv_id", "n_ids", loss, F.md5(_joined(F.col("x"))).alias("input_md5"), F.md5(_joined(F.col("y"))).alias("target_md5"), F.md5(_joined(F.col("k"))).alias("mask_md5"))
+
+
 # ---- metrics
 
 
@@ -644,3 +666,6 @@ def repetition_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multinomial_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.draw(_logits(spark, sf_dir), 5)
+
+
+from granary.plans import relational, streams  # noqa: E402, F401 - they register their queries

@@ -81,12 +81,17 @@ def typed_json(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
     return lines.select("file", F.from_json("line", schema).alias("record")).select("file", "record.*")
 
 
-CHAT = "messages array<struct<role:string,content:string>>"
-
-
 def chat_records(lines: DataFrame) -> DataFrame:
-    """Strict: (file, messages) of each line; an invalid line fails the job. Values of other types are null."""
-    return typed_json(strict_json(lines), CHAT)
+    """Strict: (file, messages) of each line; an invalid line fails the job.
+
+    Messages that are no objects are left out; a role or content that is no text is null, as are messages that are no list.
+    """
+    messages = F.try_variant_get(F.try_parse_json("line"), "$.messages", "array<variant>")
+    objects = F.filter(messages, lambda m: F.schema_of_variant(m).startswith("OBJECT"))
+    field = lambda m, name: F.try_variant_get(m, f"$.{name}", "variant")
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    typed = F.transform(objects, lambda m: F.struct(text(field(m, "role")).alias("role"), text(field(m, "content")).alias("content")))
+    return strict_json(lines).select("file", typed.alias("messages"))
 
 
 def field_union(lines: DataFrame) -> DataFrame:

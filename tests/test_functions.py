@@ -88,7 +88,7 @@ def test_crop_starts_cover_all_places(spark):
 def test_chat_ids_and_mask(spark):
     messages = [("system", "s"), ("user", "a b"), ("assistant", "c"), ("user", None)]
     df = spark.createDataFrame([(messages,)], "m array<struct<role:string,content:string>>")
-    ids, mask = K.chat_ids(F.col("m"), lambda c: F.transform(F.split(c, " "), lambda w: F.ascii(w)))
+    ids, mask = K.chat_ids(F.col("m"), K.each(lambda c: F.transform(F.split(c, " "), lambda w: F.ascii(w))))
     row = df.select(ids.alias("i"), mask.alias("k")).first()
     assert row.i == [K.BOS, K.USER, 97, 98, K.EOS, K.BOT, 99, K.EOS]
     assert row.k == [0, 0, 0, 0, 0, 1, 1, 1]
@@ -116,5 +116,46 @@ def test_sentencepiece_round_trip(spark):
     assert [r.t for r in rows] == texts and rows[1].i == []
 
 
+def test_pieces_of_each_text_keep_their_rows(spark):
+    public_tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    from granary.plans.registry import _piece_model
+
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [["a b", "", "naïve 你好"], [], None, [None, "x"], ["word " * 3000]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, t array<string>").coalesce(1)
+    got = {r.k: r.i for r in df.select("k", K.sentencepiece_ids_of_each(F.col("t"), _piece_model).alias("i")).collect()}
+    assert got == {k: None if ts is None else [p.encode(t or "") for t in ts] for k, ts in enumerate(rows)}
+    tokens = K.sentencepiece_chat_tokens(_piece_model, "<0x01>", "<bot>")
+    assert (tokens.bos, tokens.eos, tokens.user, tokens.bot) == (1, 2, p.piece_to_id("<0x01>"), p.unk_id()) and tokens.pad == p.unk_id()
+
+
+def test_chat_examples_pieces_equal_plain_python(spark):
+    public_tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    import hashlib
+
+    from granary.plans.registry import QUERIES
+
+    sf, block = "/root/testdata/sf0.001", 256
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    said = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        said.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    want, digest = {}, lambda xs: hashlib.md5(",".join(map(str, xs)).encode()).hexdigest()
+    for conv, rows in said.items():
+        ids, mask = [p.bos_id()], [0]
+        for _, role, text in sorted(rows):
+            if role in ("user", "assistant"):
+                own = [p.piece_to_id("<0x01>" if role == "user" else "<0x02>"), *p.encode(text), p.eos_id()]
+                ids += own
+                mask += [int(role == "assistant")] * len(own)
+        if len(ids) < 2:
+            continue
+        x, y, k = (ids[:block], ids[1 : block + 1], mask[1 : block + 1]) if len(ids) > block else (ids[:-1], ids[1:], mask[1:])
+        fill = lambda a, v: a + [v] * (block - len(a))
+        want[conv] = (len(ids), sum(k), digest(fill(x, p.unk_id())), digest(fill(y, p.unk_id())), digest(fill(k, 0)))
+    got = {r.conv_id: (r.n_ids, r.n_loss, r.input_md5, r.target_md5, r.mask_md5) for r in QUERIES["chat_examples_pieces"](spark, sf).collect()}
+    assert got == want and len(want) > 5
+
+
 def test_python_versions_agree():
     assert sys.version_info >= (3, 10)

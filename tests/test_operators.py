@@ -102,6 +102,27 @@ def test_positions_by_key_equal_positions(spark):
     assert plain == keyed and ordering.positions(df, order, key=["k"]).columns == ["k", "v", "text", "position"]
 
 
+def test_no_text_is_lost_with_its_id(spark):
+    df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (6, "x y z"), (None, "u v"), (None, "v u"), (6, "z y x")], "doc_id long, text string")
+    kept = dedup.near_dedup(df)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [5, 6, None]
+    assert {r.text for r in dedup.semi_join(df, kept).collect()} >= {"a b c", "x y z"}
+    three = df.limit(3)
+    assert sorted(map(tuple, dedup.semi_join(three, dedup.near_dedup(three)).collect())) == [(5, "a b c"), (6, "x y z")]
+    rows = dedup.near_dedup_rows(df.coalesce(1))
+    assert rows.columns == df.columns and sorted(r.text for r in rows.collect()) == ["a b c", "u v", "x y z"]
+    assert dedup.near_dedup_rows(df.limit(0)).count() == 0
+
+
+def test_exact_dedup_moves_no_whole_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(500).select("id", (F.col("id") % 200).alias("k"), F.repeat(F.lit("wide"), 50).alias("text")).write.parquet(path)
+    kept = dedup.exact_dedup(spark.read.parquet(path), F.md5(F.col("k").cast("string")), [F.col("id")], from_files=True)
+    assert sorted(r.id for r in kept.select("id").collect()) == list(range(200))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "LeftAnti" in plan
+
+
 def test_near_dedup_of_one_id_with_several_texts(spark):
     rows = [(1, "a b c"), (1, "x y z"), (2, "c b a"), (None, "u v")]
     assert sorted((r.doc_id for r in dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == [1, None]
@@ -166,6 +187,8 @@ def test_records_to_messages(spark):
     )
     got = [[(m.role, m.content) for m in r.messages] for r in chat.records_to_messages(df).collect()]
     assert got == [[("user", "p"), ("assistant", "r")], [("user", "h"), ("assistant", "a"), ("assistant", "b")]]
+    other = chat.records_to_messages(lines(spark, '{"conversation":[{"human":["x"],"assistant":{"a":1}},{"human":5,"assistant":"ok"},{"human":null}]}', '{"prompt":["p"],"response":"r"}')).collect()
+    assert [[(m.role, m.content) for m in r.messages] for r in other] == [[("user", None), ("assistant", None), ("user", None), ("assistant", "ok"), ("user", None)], [("user", None), ("assistant", "r")]]
     named = chat.records_to_messages(lines(spark, '{"conversation":[{"q":"1","a":"2"}]}'), "q", "a").collect()
     assert [(m.role, m.content) for m in named[0].messages] == [("user", "1"), ("assistant", "2")]
 

@@ -50,6 +50,10 @@ def test_chat_records_and_spaced_lines(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"messages":[{"role":"user","content":"a"},{"role":"user","content":null}]}\n\n{"messages":3}\n')
     got = [r.messages for r in files.chat_records(files.read_lines(spark, str(tmp_path))).collect()]
     assert [[tuple(m) for m in ms] if ms is not None else None for ms in got] == [[("user", "a"), ("user", None)], None]
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "c.jsonl").write_text('{"messages":[{"role":"user","content":["a"]},7,{"role":3,"content":"b"},{"content":{"x":1}}]}\n')
+    got = [r.messages for r in files.chat_records(files.read_lines(spark, str(tmp_path / "odd"))).collect()]
+    assert [[tuple(m) for m in ms] for ms in got] == [[("user", None), (None, "b"), (None, None)]]
     df = spark.createDataFrame([(1, "é, :", [1, 2], None)], "a int, b string, c array<int>, d string")
     sinks.write_jsonl(sinks.without(df, "d", "none"), f"{tmp_path}/out", spaced=True)
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ['{"a": 1, "b": "é, :", "c": [1, 2]}']

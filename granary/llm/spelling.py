@@ -8,9 +8,10 @@ their masks, and of three bands of a mask at least one is equal in both.
 1. Each word goes into the buckets of its three bands, by length: a bucket holds the words of one
    band value that have l or l + 1 letters, so that a pair meets once in each band it has in common.
    Buckets above a bound are cut into blocks by the words' hashes, and each block meets each.
-2. In a bucket the other two bands are compared, all against all, by exclusive or and a count of
-   bits; what is left is verified letter by letter. A pair counts in its first equal band only.
-   A task returns for each word the number of its near words and the most frequent one, no pairs.
+2. In a bucket words meet whose other two bands can differ in one or two bits together: one of them
+   is equal, or both differ in one bit. The rest of their masks is compared by exclusive or and a
+   count of bits; what is left is verified letter by letter. A pair counts in its first equal band
+   only. A task returns for each word the number of its near words and the most frequent one, no pairs.
 3. A word's form is its most frequent near word, if that is frequent enough; forms are followed to
    the last by pointer doubling. Counts grow along the way, so there are no cycles and few rounds.
 
@@ -40,8 +41,8 @@ _LETTERS = "A-Za-zÀ-ÿ"
 _PIECE = 1 << 20
 #: Distinct words that a task counts before it hands them on.
 _HELD = 200_000
-#: Pairs of masks that are compared at a time; they stay in a processor's cache.
-_COMPARED = 1 << 16
+#: Pairs of masks that are compared at a time.
+_COMPARED = 1 << 18
 #: Letters of pairs that are verified at a time.
 _CHUNK = 1 << 20
 
@@ -51,7 +52,7 @@ class SpellingSettings:
     least: int = 7  # code points of a word
     occurrences: int = 2  # of a word, at least
     ratio: int = 10  # of a form's count to its word's
-    block: int = 1 << 13  # words of a bucket's block
+    block: int = 1 << 15  # words of a bucket's block
     letters: int = 1 << 21  # of a block
     task: int = 1 << 20  # letters of a task
 
@@ -135,33 +136,75 @@ def _one_edit(codes: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray
     return out
 
 
-def near_in_bucket(band: int, length: int, bands: np.ndarray, lengths: np.ndarray, codes: np.ndarray, start: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of words one edit apart, of words whose given band is equal: one has `length` letters, the other as many or
-    one more. Pairs with an earlier equal band are left out; with sides, so are those of one side."""
-    short, long = np.flatnonzero(lengths == length), np.flatnonzero(lengths == length + 1)
-    rest = [k for k in range(3) if k != band]
-    mask = bands[:, rest[0]] | bands[:, rest[1]] << 30  # what the bucket leaves open, in one number
-    left, right = [], []
-    for others, longer in ((short, 0), (long, 1)):
-        if not len(others):
-            continue
-        theirs, step = mask[others], max(1, _COMPARED // len(others))
-        for k in range(0, len(short), step):
-            some = short[k : k + step]
-            i, j = np.divmod(np.flatnonzero(np.bitwise_count(mask[some, None] ^ theirs) == (1 if longer else 2)), len(others))
-            i, j = some[i], others[j]
-            fits = np.ones(len(i), bool) if longer else i < j
-            for earlier in range(band):
-                fits &= bands[i, earlier] != bands[j, earlier]
-            if side is not None:
-                fits &= side[i] != side[j]
-            i, j = i[fits], j[fits]
-            near = _one_edit(codes, start, i, j, length, longer)
-            left.append(i[near])
-            right.append(j[near])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+def _crossed(low_a: np.ndarray, n_a: np.ndarray, low_b: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a place in a range and one in its partner range, in pieces of bounded size."""
+    some = (n_a > 0) & (n_b > 0)
+    low_a, n_a, low_b, n_b = low_a[some], n_a[some], low_b[some], n_b[some]
+    step = np.maximum(1, _COMPARED // np.maximum(n_b, 1))  # of places of a range at a time
+    parts = -(-n_a // step)
+    which = np.repeat(np.arange(len(n_a)), parts)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    low_a, low_b, n_b = low_a[which] + turn * step[which], low_b[which], n_b[which]
+    n_a = np.minimum(step[which], n_a[which] - turn * step[which])
+    ends = np.cumsum(n_a * n_b)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _COMPARED, "right")))
+        size = n_a[at:stop] * n_b[at:stop]
+        width = np.repeat(n_b[at:stop], size)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        yield np.repeat(low_a[at:stop], size) + place // width, np.repeat(low_b[at:stop], size) + place % width
+        at = stop
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, and the different ones with their start and number in that order."""
+    order = np.argsort(key, kind="stable")
+    value, start, count = np.unique(key[order], return_index=True, return_counts=True)
+    return order, value, start, count
+
+
+def near_masks(bucket: np.ndarray, band: np.ndarray, long: np.ndarray, bands: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket whose masks differ as by one edit: in one bit, the second row being the longer one, or, of
+    rows that aren't long, in two. Each pair comes in its first equal band only; with sides, only pairs across them.
+
+    The differing bits are in one of the two other bands, so the third one is equal, too, and rows
+    meet by both; or there is one in each, so rows meet by a neighbouring value of the first of them.
+    """
+    first, second = np.where(band == 0, bands[:, 1], bands[:, 0]), np.where(band == 2, bands[:, 1], bands[:, 2])
+    short = np.flatnonzero(~long)
+
+    def met(a: np.ndarray, b: np.ndarray, open_: np.ndarray, bits: int, once: bool) -> tuple[np.ndarray, np.ndarray]:
+        fits = np.bitwise_count(open_[a] ^ open_[b]) == bits
+        if once:
+            fits &= a < b
+        if side is not None:
+            fits &= side[a] != side[b]
+        return a[fits], b[fits]
+
+    for equal, open_, bands_here in ((first, second, band == 0), (second, first, band < 2)):
+        key = (bucket << 30) | equal
+        shorts, longs = short[bands_here[short]], np.flatnonzero(long & bands_here)
+        order, value, start, count = _groups(key[shorts])
+        shorts = shorts[order]
+        for i, j in _crossed(start, count, start, count):
+            yield met(shorts[i], shorts[j], open_, 2, True)
+        order = np.argsort(key[longs], kind="stable")
+        longs = longs[order]
+        low, high = (np.searchsorted(key[longs], value, how) for how in ("left", "right"))
+        for i, j in _crossed(start, count, low, high - low):
+            yield met(shorts[i], longs[j], open_, 1, False)
+    order, value, start, count = _groups((bucket[short] << 30) | first[short])
+    short = short[order]
+    used = int(np.bitwise_or.reduce(first[short])) if len(short) else 0
+    for bit in range(30):
+        if used >> bit & 1:
+            without = np.flatnonzero(value & (1 << bit) == 0)
+            at = np.minimum(np.searchsorted(value, value[without] | (1 << bit)), len(value) - 1)
+            there = value[at] == value[without] | (1 << bit)
+            a, b = without[there], at[there]
+            for i, j in _crossed(start[a], count[a], start[b], count[b]):
+                yield met(short[i], short[j], second, 1, False)
 
 
 _ROWS = "word string, n long, letters long, band int, value long, length long"
@@ -175,7 +218,7 @@ def _banded(words: DataFrame) -> DataFrame:
             codes, lengths = letter_codes(batch.column("word").to_pylist())
             bands = masks(codes, lengths)
             for band in range(3):
-                for less in (0, 1):
+                for less in (0, 1) if band < 2 else (0,):  # a letter more leaves two bands equal
                     columns = [pa.array(x) for x in (lengths, np.full(len(lengths), band, np.int32), bands[:, band], lengths - less)]
                     yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *columns], names=["word", "n", "letters", "band", "value", "length"])
 
@@ -207,19 +250,21 @@ def near_words(words: DataFrame, settings: SpellingSettings = SpellingSettings()
         bands, start = masks(codes, lengths), np.cumsum(lengths) - lengths
         order = np.lexsort((j, i, length, value, band))
         new = np.zeros(len(order), bool)
-        new[:1] = True
         for c in (band, value, length, i, j):
             new[1:] |= c[order[1:]] != c[order[:-1]]
-        first = np.flatnonzero(new)
+        bucket = np.empty(len(order), np.int64)
+        bucket[order] = np.cumsum(new)
+        # of a block against another one only words of different blocks meet; in a block of its own all do
+        side = np.where(i == j, np.arange(len(own)), own) if (i != j).any() else None
         left, right = [], []
-        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-            if hi - lo < 2:
-                continue
-            at = order[lo:hi]
-            side = own[at] if i[at[0]] != j[at[0]] else None
-            a, b = near_in_bucket(int(band[at[0]]), int(length[at[0]]), bands[at], lengths[at], codes, start[at], side)
-            left.append(at[a])
-            right.append(at[b])
+        for a, b in near_masks(bucket, band, lengths > length, bands, side):
+            longer = lengths[b] - lengths[a]
+            for size in np.unique(lengths[a]).tolist():
+                for more in (0, 1):
+                    some = np.flatnonzero((lengths[a] == size) & (longer == more))
+                    near = some[_one_edit(codes, start, a[some], b[some], size, more)]
+                    left.append(a[near])
+                    right.append(b[near])
         a, b = (np.concatenate([*x, *y]) if x else np.zeros(0, np.int64) for x, y in ((left, right), (right, left)))
         hit, place = np.unique(a, return_inverse=True)
         by_count = sorted(set(b.tolist()), key=lambda k: (-n[k], words[k]))  # strings compare by code point

@@ -6,11 +6,18 @@ distinct blobs of the versions at hand, leaves out the pairs in the ledger, matc
 against the rest, and joins the findings, old and new, back to all paths that bear the blob.
 Changing a rule means a new rule version, so only that rule is run again.
 
+A text is hashed first. A Bloom filter of the ledger's pairs, of bounded size, then tells for each
+rule whether the pair is surely new; only then is the rule's hint, a cheaper pattern that every
+match contains, tried on the text, and a text that no hint finds is left behind where it is. The
+pairs are joined with the ledger exactly by their hashes; a new pair that the filter took for
+a known one is looked up in a second read, which takes place only if there is any. So a ledger that
+holds all pairs leaves nothing to do but hashing.
+
 A rule is a regular expression whose matches are leftmost and don't overlap; matches whose deciding
-group is too short are dropped. A cheaper pattern, which every match contains, tells which texts can
-hold a finding: only those texts are shuffled, once for each blob and task; of all others only the
-hash is. Spans are in code points, end exclusive. Places come from the text's pieces between
-matches: their lengths and those of the matches, one row each, are summed up in order.
+group is too short are dropped. Only texts that a hint finds are shuffled, once for each blob and
+task, and only the rules not done are matched. Spans are in code points, end exclusive. Places come
+from the text's pieces between matches: their lengths and those of the matches, one row each, are
+summed up in order.
 
 Blobs that very many rows bear are joined back under several salts.
 
@@ -23,12 +30,17 @@ clash; an empty table gives empty results, and an empty ledger stands for nothin
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.llm.common import checkpointed
+from granary.operators.filters import bloom, only
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -75,12 +87,13 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def may_hold(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """False for texts in which no rule can find anything."""
-    out = F.lit(False)
-    for r in rules:
-        out = out | text.rlike(r.hint or r.pattern)
-    return F.coalesce(out, F.lit(False))
+def _bit(k: int) -> Column:
+    return F.lit(1 << k).cast("long")
+
+
+def _hinted(text: Column, rules: tuple[Rule, ...], asked: list[Column]) -> Column:
+    """Whether any rule that is asked may find something in the text; rules that aren't asked aren't tried."""
+    return reduce(Column.__or__, [ask & text.rlike(r.hint or r.pattern) for r, ask in zip(rules, asked, strict=True)])
 
 
 def _pieces(rule: Rule, text: Column) -> Column:
@@ -91,34 +104,72 @@ def _pieces(rule: Rule, text: Column) -> Column:
     return F.when(text.rlike(rule.hint or rule.pattern), F.arrays_zip(gaps.alias("gap"), F.transform(found, F.char_length).alias("size"), deciding.alias("deciding")))
 
 
-def _scanned(blobs: DataFrame, rules: tuple[Rule, ...], done: Column) -> DataFrame:
-    """(blob, rule, spans) of each blob's rules that aren't done."""
-    each = [F.when(~F.array_contains(done, r.name), F.struct(F.lit(r.name).alias("rule"), F.lit(r.least).alias("least"), _pieces(r, F.col("text")).alias("pieces"))) for r in rules]
-    per = blobs.select("blob", F.explode(F.filter(F.array(*each), lambda e: e.isNotNull())).alias("e"))
-    rows = per.select("blob", "e.rule", "e.least", F.posexplode_outer("e.pieces").alias("k", "p")).select("blob", "rule", "least", "k", "p.*")
+def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule, spans) with the findings of each blob's rules in todo, for rows (blob, text, todo)."""
+    wanted = lambda k: F.col("todo").bitwiseAND(_bit(k)) != 0
+    each = [F.when(wanted(k), F.struct(F.lit(r.name).alias("rule"), F.lit(r.least).alias("least"), _pieces(r, F.col("text")).alias("pieces"))) for k, r in enumerate(rules)]
+    per = blobs.select("blob", F.explode(F.filter(F.array(*each), lambda e: e["pieces"].isNotNull())).alias("e"))
+    rows = per.select("blob", "e.rule", "e.least", F.posexplode("e.pieces").alias("k", "p")).select("blob", "rule", "least", "k", "p.*")
     upto = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(W.partitionBy("blob", "rule").orderBy("k").rowsBetween(W.unboundedPreceding, 0)).cast("int")
     span = F.when(F.col("deciding") >= F.col("least"), F.struct((F.col("end") - F.col("size")).alias("start"), "end"))
-    return rows.withColumn("end", upto).groupBy("blob", "rule").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return rows.withColumn("end", upto).groupBy("blob", "rule").agg(F.sort_array(F.collect_list(span)).alias("spans")).where(F.size("spans") > 0)
+
+
+@dataclass(frozen=True)
+class _Scan:
+    """Rows (id, blob, salt), the open pairs (blob, todo), and (blob, rule, spans) of the ledger and of this scan."""
 
+    rows: DataFrame
+    open: DataFrame
+    seen: DataFrame
+    fresh: DataFrame
 
-def _parts(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the ledger has of these rules, what the scan finds in texts that may hold something, and the former's rules by blob."""
-    names = [r.name for r in rules]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    def found(self) -> DataFrame:
+        return self.seen.where(F.size("spans") > 0).unionByName(self.fresh)
+
+
+def _scan(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], id_col: str | None, text_col: str) -> _Scan:
+    spark, everything = df.sparkSession, (1 << len(rules)) - 1
+    id_ = F.lit(None).cast("long") if id_col is None else F.col(f"`{id_col}`")
+    hashed = df.select(id_.alias("id"), blob_of(F.col(f"`{text_col}`")).alias("blob"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     if ledger is None:
-        ledger = df.sparkSession.createDataFrame([], f"blob binary, rule string, spans {_FOUND}")
-    seen = ledger.where(F.col("rule").isin(names)).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
-    done = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
-    blobs = df.select(blob_of(F.col(text_col)).alias("blob"), text.alias("text")).where(may_hold(F.col("text"), rules)).groupBy("blob").agg(F.first("text").alias("text"))
-    none = F.coalesce("done", _empty("array<string>"))
-    fresh = _scanned(blobs.join(done, "blob", "left").where(F.size(none) < len(names)), rules, none)
-    return seen, fresh, done
+        seen, known = spark.createDataFrame([], f"blob binary, rule string, spans {_FOUND}"), None
+        asked, rows = [F.lit(True)] * len(rules), hashed
+    else:
+        seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
+        known = bloom(seen, ["blob"], ["rule"])
+        asked, rows = [~known.maybe(F.col("blob"), F.lit(r.name)) for r in rules], known.attach(hashed, F.col("blob"))
+    mask = reduce(Column.bitwiseOR, [F.when(ask, _bit(k)).otherwise(_bit(k) * 0) for k, ask in enumerate(asked)])
+    rows = rows.select("id", "blob", mask.alias("asked"), F.when(_hinted(F.col("text"), rules, asked), F.col("text")).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).alias("salt"))
+    rows = checkpointed(rows)  # hashes, and the texts that may hold something
+    names = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), _bit(k))])
+    done = seen.groupBy("blob").agg(F.bit_or(names[F.col("rule")]).alias("done"))
+    todo = F.lit(everything).cast("long").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))
+    blobs = rows.groupBy("blob").agg(F.min("asked").alias("asked"))
+    if known is not None:
+        blobs = blobs.join(done, "blob", "left").select("blob", "asked", todo.alias("todo")).where("todo <> 0")
+    else:
+        blobs = blobs.withColumn("todo", F.lit(everything).cast("long"))
+    blobs = checkpointed(blobs)
+    texts = rows.where("text IS NOT NULL").select("blob", "text")
+    late = blobs.select("blob", F.col("todo").bitwiseAND(F.bitwise_not("asked")).alias("late")).where("late <> 0")
+    if known is not None and not late.isEmpty():
+        again = only(hashed.select("blob", "text"), ["blob"], late).join(late, "blob")
+        texts = texts.unionByName(again.where(_hinted(F.col("text"), rules, [F.col("late").bitwiseAND(_bit(k)) != 0 for k in range(len(rules))])).select("blob", "text"))
+    once = texts.groupBy("blob").agg(F.first("text").alias("text")).join(blobs.select("blob", "todo"), "blob")
+    return _Scan(rows.select("id", "blob", "salt"), blobs.select("blob", "todo"), seen, _scanned(once, rules))
+
+
+def _entries(scanned: _Scan, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger's new rows: all open pairs, with what was found."""
+    each = F.array(*[F.when(F.col("todo").bitwiseAND(_bit(k)) != 0, F.lit(r.name)) for k, r in enumerate(rules)])
+    pairs = scanned.open.select("blob", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("rule"))
+    return pairs.join(scanned.fresh, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", _empty(_FOUND)).alias("spans"))
 
 
 def blob_findings(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """(blob, spans) of the blobs with findings. Spans are sorted; `before` is the furthest end of those before."""
-    seen, fresh, _ = _parts(df, ledger, rules, text_col)
-    return _by_blob(seen.unionByName(fresh), rules)
+    return _by_blob(_scan(df, ledger, rules, None, text_col).found(), rules)
 
 
 def _by_blob(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -134,26 +185,26 @@ def _every_salt(known: DataFrame) -> DataFrame:
     return known.select(F.col("blob").alias("__blob"), "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("__salt"))
 
 
-def _salt() -> Column:
-    return F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))
-
-
 def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, entries): one row for each row of df with its id, blob and sorted spans; the ledger's new rows.
 
     The ledger has rows (blob, rule, spans), written from earlier entries; rules are named with
     their versions. Findings of rules that aren't asked for are left out.
     """
-    seen, fresh, done = _parts(df, ledger, rules, text_col)
-    known = _every_salt(_by_blob(seen.unionByName(fresh), rules))
-    rows = df.select(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob"), _salt().alias("salt"))
-    joined = rows.join(known, (F.col("blob") == F.col("__blob")) & (F.col("salt") == F.col("__salt")), "left")
-    findings = joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", _empty(_SPANS)).alias("spans"))
-    # texts that can't hold anything are scanned, too, as far as the ledger goes: their entries are empty
-    names = F.array(*[F.lit(r.name) for r in rules])
-    clean = df.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(~may_hold(F.col("text"), rules)).select("blob").distinct()
-    todo = clean.join(done, "blob", "left").select("blob", F.explode(F.array_except(names, F.coalesce("done", _empty("array<string>")))).alias("rule"))
-    return findings, fresh.unionByName(todo.withColumn("spans", _empty(_FOUND)))
+    scanned = _scan(df, ledger, rules, id_col, text_col)
+    known = _every_salt(_by_blob(scanned.found(), rules))
+    joined = scanned.rows.join(known, (F.col("blob") == F.col("__blob")) & (F.col("salt") == F.col("__salt")), "left")
+    return joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", _empty(_SPANS)).alias("spans")), _entries(scanned, rules)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path; None where there is none yet."""
+    try:
+        return spark.read.parquet(path).select("blob", "rule", "spans")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
 
 
 def scan_increments(parts: list[DataFrame], ledger_path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,19 +218,29 @@ def scan_increments(parts: list[DataFrame], ledger_path: str, rules: tuple[Rule,
     return findings
 
 
-def redact(df: DataFrame, text_col: str = "text", flag: str = "redacted", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", flag: str = "redacted", ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
     """df with every span, and what overlaps it, replaced by the mask; `flag` tells which texts have changed.
 
-    Texts that can't hold a finding pass by the join.
+    With a ledger's path the scan leaves out the pairs that are there, and adds its own to them. Rows whose
+    blob a filter of the blobs with findings rules out pass by the join.
     """
     if flag in df.columns:
         raise ValueError(f"column {flag} exists already")
-    known = _every_salt(blob_findings(df, ledger, rules, text_col))
+    ledger = None if ledger_path is None else read_ledger(df.sparkSession, ledger_path)
+    scanned = _scan(df, ledger, rules, None, text_col)
+    if ledger_path is not None:
+        scanned = replace(scanned, fresh=checkpointed(scanned.fresh))
+        _entries(scanned, rules).write.mode("append").parquet(ledger_path)
+    found = checkpointed(_by_blob(scanned.found(), rules))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    clean = df.where(~may_hold(F.coalesce(F.col(text_col), F.lit("")), rules)).select(*columns, F.lit(False).alias(flag))
-    rows = df.where(may_hold(F.coalesce(F.col(text_col), F.lit("")), rules)).withColumns({"__own": blob_of(F.col(text_col)), "__own_salt": _salt()})
-    joined = rows.join(known.withColumnRenamed("spans", "__spans"), (F.col("__own") == F.col("__blob")) & (F.col("__own_salt") == F.col("__salt")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans"), mask))
+    hashed = df.select(*columns, blob_of(F.col(f"`{text_col}`")).alias("__own"))
+    held = bloom(found, ["blob"])
+    attached = held.attach(hashed, F.col("__own"))
+    clean = attached.where(~held.maybe(F.col("__own"))).select(*columns, F.lit(False).alias(flag))
+    rows = held.detach(attached.where(held.maybe(F.col("__own"))))
+    rows = rows.withColumn("__own_salt", F.pmod(F.xxhash64(*[c for c, (_, kind) in zip(columns, df.dtypes, strict=True) if "map<" not in kind and kind != "variant"]), F.lit(_SALTS)))
+    joined = rows.join(_every_salt(found).withColumnRenamed("spans", "__spans"), (F.col("__own") == F.col("__blob")) & (F.col("__own_salt") == F.col("__salt")), "left")
+    text = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(redacted(F.col(f"`{text_col}`"), F.col("__spans"), mask))
     changed = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     return clean.unionByName(joined.select(*changed, F.col("__spans").isNotNull().alias(flag)))
 

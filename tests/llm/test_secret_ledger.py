@@ -52,6 +52,68 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert {r.doc_id: len(r.spans) for r in findings.collect()} == {3: 1, 4: 0, 5: 0}
 
 
+def test_a_full_ledger_leaves_only_hashing(spark, tmp_path, monkeypatch):
+    """With every pair known no text survives the first pass, no hint is tried, and no pattern runs above the filter."""
+    import granary.llm.secret_ledger as L
+
+    spark.createDataFrame(list(enumerate(TEXTS)) * 3, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    scan(df)[1].write.parquet(str(tmp_path / "ledger"))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    # a hint that fails wherever it is tried
+    failing = lambda text, rules, asked: F.when(F.array_contains(F.array(*asked), True), F.raise_error(F.lit("a hint was tried")).cast("boolean")).otherwise(False)
+    monkeypatch.setattr(L, "_hinted", failing)
+    monkeypatch.setattr(L, "_pieces", lambda rule, text: F.raise_error(F.lit("a pattern was matched")).cast("array<struct<gap:int,size:int,deciding:int>>"))
+    findings, entries = scan(df, ledger)
+    got = {r.doc_id: spans(r) for r in findings.collect()}
+    assert got == {k: plain(t) for k, t in enumerate(TEXTS)} and entries.count() == 0
+    scanned = L._scan(df, ledger, RULES, "doc_id", "text")
+    assert scanned.open.count() == 0
+    try:
+        L._scan(df, None, RULES, "doc_id", "text")
+        raise AssertionError("without a ledger the hints are tried")
+    except Exception as e:
+        assert "a hint was tried" in str(e)
+
+
+def test_only_the_changed_rule_is_tried(spark, tmp_path, monkeypatch):
+    import granary.llm.secret_ledger as L
+
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    scan(df)[1].write.parquet(str(tmp_path / "ledger"))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    changed = tuple(replace(r, version=2) if r.kind == "hex" else r for r in RULES)
+    whole = L._pieces
+    monkeypatch.setattr(L, "_pieces", lambda rule, text: whole(rule, text) if rule.kind == "hex" else F.raise_error(F.lit("a known rule was matched")).cast("array<struct<gap:int,size:int,deciding:int>>"))
+    findings, entries = scan(df, ledger, changed)
+    assert {r.doc_id: spans(r) for r in findings.collect()} == {k: plain(t) for k, t in enumerate(TEXTS)}
+    assert {r.rule for r in entries.collect()} == {"hex@2"}
+
+
+def test_pairs_that_the_filter_mistakes_are_scanned(spark, tmp_path, monkeypatch):
+    """A filter that takes everything for known: all that is new comes by the second read."""
+    import granary.llm.secret_ledger as L
+    from granary.operators.filters import Bloom
+
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    ledger = scan(df.where("doc_id < 7"))[1].cache()
+    whole = Bloom.maybe
+    monkeypatch.setattr(Bloom, "maybe", lambda self, *key: whole(self, *key) | F.lit(True))
+    findings, entries = L.scan(df, ledger)
+    assert {r.doc_id: spans(r) for r in findings.collect()} == {k: plain(t) for k, t in enumerate(TEXTS)}
+    assert entries.count() == len(RULES) * (len({t or "" for t in TEXTS}) - len({t or "" for t in TEXTS[:7]}))
+
+
+def test_redaction_with_a_ledger(spark, tmp_path):
+    df, path = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), str(tmp_path / "ledger")
+    want = sorted(map(tuple, redact(df).collect()))
+    assert sorted(map(tuple, redact(df.where("doc_id < 9"), ledger_path=path).collect())) == [r for r in want if r[0] < 9]
+    assert sorted(map(tuple, redact(df, ledger_path=path).collect())) == want
+    assert sorted(map(tuple, redact(df, ledger_path=path).collect())) == want
+    ledger = spark.read.parquet(path)
+    assert ledger.count() == ledger.select("blob", "rule").distinct().count() == len(RULES) * len({t or "" for t in TEXTS})
+
+
 def test_redaction(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     findings, _ = scan(df)

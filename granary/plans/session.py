@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go when nothing refers to them
 }
 
 
@@ -42,6 +43,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/granary-{uuid.uuid4().hex}/{name}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch() named, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    if not folder.getName().startswith("granary-"):
+        raise ValueError(f"{path} is no scratch folder")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -103,10 +103,13 @@ def _least(h: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
         hi = min(len(h), lo + _RUN)
         rows = some[np.searchsorted(ends[some], lo, "right") : np.searchsorted(ends[some] - sizes[some], hi, "left")]
         at = np.maximum(ends[rows] - sizes[rows] - lo, 0)
-        x = a[:, None] * h[None, lo:hi] + b[:, None]
-        x = (x & low) + (x >> shift)
-        x = (x & low) + (x >> shift)
-        x[x >= low] -= low
+        x = a[:, None] * h[None, lo:hi]
+        x += b[:, None]
+        for _ in range(2):
+            high = x >> shift
+            x &= low
+            x += high
+        np.minimum(x, np.subtract(x, low, out=high), out=x)  # what is less than MODULUS wraps around and stays
         out[rows] = np.minimum(out[rows], np.minimum.reduceat(x, at, axis=1).T.astype(np.int64))
     return out
 
@@ -166,27 +169,26 @@ def resolve_buckets(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return states.where("state = 'D'").select(F.col("id").alias(id_col))
 
 
-class WordHashes:
+class WordHashes(dict):
     """Hashes of words as word_hashes has them, remembered in two generations of bounded size."""
 
     def __init__(self, limit: int = 500_000):
-        self.limit, self.young, self.old = limit, {}, {}
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, word: str) -> int:
+        value = self.old.get(word)
+        if value is None:
+            value = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % MODULUS
+        self[word] = value
+        return value
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the text's words."""
-        young, out = self.young, []
-        for word in set((text or "").split()):
-            value = young.get(word)
-            if value is None:
-                value = self.old.get(word)
-                if value is None:
-                    value = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % MODULUS
-                if len(young) >= self.limit:
-                    self.old, self.young = young, {}
-                    young = self.young
-                young[word] = value
-            out.append(value)
-        return np.unique(np.array(out, np.uint64))
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        return np.unique(np.array([self[w] for w in set((text or "").split())], np.uint64))
 
 
 def signature_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:

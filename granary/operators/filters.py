@@ -14,6 +14,8 @@ from granary.plans.session import materialized
 _WORDS, _BITS = 8, 20
 #: Most blocks: 18 MB of words. With more keys than fit, more rows pass; what passes is joined exactly.
 MOST_BLOCKS = 1 << 18
+#: So few keys of fixed width are broadcast themselves.
+FEW = 1 << 16
 
 
 def _bit(key: Column, word: int) -> Column:
@@ -54,28 +56,38 @@ def _same(keys: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{n}")) for n, k in enumerate(keys)])
 
 
-def _filtered(df: DataFrame, keys: list[str], listed: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows that surely have no listed key, those that may have one, and the listed keys under names of their own."""
-    listed = listed.select(*[F.col(f"`{k}`") for k in keys]).distinct()
-    names = [f"__key{n}" for n in range(len(keys))]
-    listed = materialized(listed.toDF(*names))
-    f = bloom(listed, names, most=most)
+def _listed(df: DataFrame, keys: list[str], listed: DataFrame) -> tuple[DataFrame, bool]:
+    """The different keys under names of their own, and whether they can be broadcast."""
+    listed = materialized(listed.select(*[F.col(f"`{k}`") for k in keys]).distinct().toDF(*[f"__key{n}" for n in range(len(keys))]))
+    fixed = all(f.dataType.simpleString() in ("int", "bigint", "smallint", "tinyint", "date", "timestamp", "boolean") for f in listed.schema)
+    return listed, fixed and listed.count() <= FEW
+
+
+def _split(df: DataFrame, keys: list[str], listed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that surely have no listed key, and those that may have one."""
+    f = bloom(listed, listed.columns, most=most)
     attached = f.attach(df, *[F.col(f"`{k}`") for k in keys])
     hit = f.maybe(*[F.col(f"`{k}`") for k in keys])
-    return f.detach(attached.where(~hit)), f.detach(attached.where(hit)), listed
+    return f.detach(attached.where(~hit)), f.detach(attached.where(hit))
 
 
 def without(df: DataFrame, keys: list[str], gone: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
     """Rows of df whose keys aren't among those of `gone`; null keys are equal to each other.
 
-    df is read twice, and only rows that a Bloom filter of the keys lets pass meet them: wide rows whose keys stay aren't
-    shuffled. Repeated rows stay or go together; without keys gone all rows stay. Columns keep their names.
+    Few keys are broadcast. Else df is read twice, and only rows that a Bloom filter of the keys lets pass meet
+    them: wide rows whose keys stay aren't shuffled. Repeated rows stay or go together; without keys gone
+    all rows stay. Columns keep their names.
     """
-    clear, unsure, listed = _filtered(df, keys, gone, most)
-    return clear.unionByName(unsure.join(listed, _same(keys), "left_anti"))
+    gone, few = _listed(df, keys, gone)
+    if few:
+        return df.join(F.broadcast(gone), _same(keys), "left_anti")
+    clear, unsure = _split(df, keys, gone, most)
+    return clear.unionByName(unsure.join(gone, _same(keys), "left_anti"))
 
 
 def only(df: DataFrame, keys: list[str], kept: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
-    """Rows of df whose keys are among those of `kept`; rows that a Bloom filter rules out aren't shuffled."""
-    _, unsure, listed = _filtered(df, keys, kept, most)
-    return unsure.join(listed, _same(keys), "left_semi")
+    """Rows of df whose keys are among those of `kept`; few keys are broadcast, else rows that a Bloom filter rules out aren't shuffled."""
+    kept, few = _listed(df, keys, kept)
+    if few:
+        return df.join(F.broadcast(kept), _same(keys), "left_semi")
+    return _split(df, keys, kept, most)[1].join(kept, _same(keys), "left_semi")

@@ -259,6 +259,15 @@ def parquet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_parquet(spark, path, ["doc_id", "source", "n_chars"])
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1")
+def overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second write replaces the first one."""
+    path, docs = scratch(spark, "twice"), read(spark, sf_dir, "documents").select("doc_id", "lang")
+    for k in range(2):
+        sinks.write_jsonl(docs.where(F.col("doc_id") % 2 == k), path)
+    return files.typed_json(files.valid_json(files.read_lines(spark, path)), "doc_id long, lang string").select("doc_id", "lang")
+
+
 # ---- order, shuffles, splits
 
 
@@ -389,6 +398,16 @@ def near_dup_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_dedup_stored(files.read_parquet(spark, path, ["doc_id", "digest", "signature"]))
 
 
+_NULLED = "FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN text END AS text FROM documents)"
+
+
+@query(_kept_sql().replace("FROM documents", _NULLED) + "SELECT doc_id FROM kept UNION ALL SELECT min(doc_id) FROM documents WHERE doc_id % 5 = 0")
+def near_dup_null_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the texts are null: they count as blank, and as equal."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("text"))
+    return dedup.near_dedup(docs)
+
+
 @query(_kept_sql() + "SELECT doc_id FROM kept")
 def near_dup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_dedup(read(spark, sf_dir, "documents"))

@@ -120,8 +120,9 @@ def test_cube_tells_nulls_from_totals(spark):
     assert rows_of(joins.cube_counts(df.limit(0), ["a", "b"], "v", 0)) == [(None, None, 3, 0, 0)]
 
 
-@pytest.mark.parametrize("most", [1, 1 << 18])
-def test_rows_by_filter_equal_plain_joins(spark, most):
+@pytest.mark.parametrize("most, few", [(1, 0), (1 << 18, 0), (1, 1 << 16)])
+def test_rows_by_filter_equal_plain_joins(spark, most, few, monkeypatch):
+    monkeypatch.setattr(filters, "FEW", few)
     rng = random.Random(6)
     df = spark.createDataFrame([(rng.choice([None, *range(50)]), rng.choice(["a", "b", None]), k) for k in range(600)], "id int, s string, `x.y` int")
     keys = df.where("`x.y` % 7 = 0").select("id", "s")
@@ -129,6 +130,9 @@ def test_rows_by_filter_equal_plain_joins(spark, most):
     rows = [tuple(r) for r in df.collect()]
     assert rows_of(filters.without(df, ["id", "s"], keys, most)) == sorted([r for r in rows if r[:2] not in listed], key=repr)
     assert rows_of(filters.only(df, ["id", "s"], keys, most)) == sorted([r for r in rows if r[:2] in listed], key=repr)
+    numbers = df.where("id % 3 = 0 OR id IS NULL").select("id")
+    assert rows_of(filters.without(df, ["id"], numbers, most)) == sorted([r for r in rows if r[0] is not None and r[0] % 3], key=repr)
+    assert rows_of(filters.only(df, ["id"], numbers, most)) == sorted([r for r in rows if r[0] is None or r[0] % 3 == 0], key=repr)
     assert filters.without(df, ["id"], keys.limit(0)).columns == df.columns
     assert filters.without(df, ["id"], keys.limit(0)).count() == 600 and filters.only(df, ["id"], keys.limit(0)).count() == 0
 

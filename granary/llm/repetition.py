@@ -33,9 +33,10 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 class RepetitionRules:
     """Limits as per cent of the words' characters; a text that exceeds any of them is rejected.
 
-    The limits of the n-grams and lines are measured: of the check_s texts that are labelled good and
-    pass the base rule (16,906), the share that 99.5 % don't exceed, rounded up. That is 19.7 for
-    n = 5 to 8, 19.5 and 19.3 for n = 9 and 10, and 9.8 for lines.
+    The limits of the n-grams and lines are measured, by measured_limits on any documents with labels:
+    of texts that are labelled good and pass the base rule, the share that 99.5 % don't exceed,
+    rounded up. On 16,906 such texts that was 19.7 for n = 5 to 8, 19.5 and 19.3 for n = 9 and 10, and
+    9.8 for lines.
     """
 
     min_words: int = 50
@@ -91,3 +92,16 @@ def repetition_coverage(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     for n, percent in rules.ngram_percent:
         bad = bad | (100 * F.col(f"cover_{n}") > percent * F.col("word_chars"))
     return measured.select(F.col("id").alias(id_col), *counts[:5], failed.alias("base_failed"), (~failed & ~bad).alias("kept"), *counts[5:])
+
+
+def measured_limits(docs: DataFrame, labels: DataFrame, share: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float | None]:
+    """By measure, the per cent of characters that this share of the good texts which pass the base rule don't exceed.
+
+    `labels` has the id and quality, 1 for good. One row of numbers comes to the driver. Null where no such text is.
+    """
+    lengths = [n for n, _ in RepetitionRules().ngram_percent]
+    good = labels.where("quality = 1").select(F.col(id_col).alias("__good")).distinct()
+    rows = repetition_coverage(docs, id_col=id_col, text_col=text_col).where("NOT base_failed")
+    rows = rows.join(good, F.col(id_col) == F.col("__good"), "left_semi")
+    names = {**{f"cover_{n}": f"cover_{n}" for n in lengths}, "lines": "dup_line_chars"}
+    return rows.agg(*[F.percentile_approx(100 * F.col(c) / F.col("word_chars"), share, 10_000).alias(k) for k, c in names.items()]).first().asDict()

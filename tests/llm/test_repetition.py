@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from granary.llm.repetition import RepetitionRules, measure, repetition_coverage
+from granary.llm.repetition import RepetitionRules, measure, measured_limits, repetition_coverage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,3 +90,17 @@ def test_the_method_decides_on_the_tables(spark):
     gone = [r for r in rows if not r.kept]
     assert 0 < len(gone) < 0.02 * len(rows)
     assert all(100 * max(*(r[f"cover_{n}"] for n in range(5, 11)), 2 * r.dup_line_chars) > 20 * r.word_chars for r in gone)
+
+
+def test_limits_can_be_measured_again(spark):
+    """On tables that the limits weren't taken from: at most one good text in a hundred exceeds them."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    limits, rules = measured_limits(docs, labels), RepetitionRules()
+    assert all(limits[f"cover_{n}"] <= p for n, p in rules.ngram_percent) and 0 < limits["lines"] <= rules.line_percent and limits["cover_5"] > 5
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    rows = repetition_coverage(docs).where("NOT base_failed").join(good, "doc_id", "left_semi")
+    assert rows.where("NOT kept").count() <= 0.01 * rows.count()
+    assert set(measured_limits(docs.limit(0), labels).values()) == {None}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import pieces
+from granary.llm.common import checkpointed, pieces
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack_pieces(parts: DataFrame, docs: int, id_col: str = "doc_id", settings: PackSettings = PackSettings()) -> DataFrame:
     """Adds sequence_id and offset to the rows of token_pieces (or any with id, piece, start, length).
 
-    docs: the number of documents, from which the number of blocks follows.
+    docs: the number of documents, from which the number of blocks follows. The rows should come from a
+    checkpoint or a table, since blocks follow from their numbers.
     """
     blocks = max(1, -(-docs // settings.block_docs))
     dealt = parts.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
@@ -223,7 +224,9 @@ def pack_pieces(parts: DataFrame, docs: int, id_col: str = "doc_id", settings: P
 
 def pack_documents(df: DataFrame, tokenizer_path: Callable[[], str], id_col: str = "doc_id", text_col: str = "text", settings: PackSettings = PackSettings()) -> DataFrame:
     """Where each piece of each document stands."""
-    return pack_pieces(token_pieces(df, tokenizer_path, id_col, text_col, settings), df.count(), id_col, settings)
+    # a few numbers a piece; blocks follow from the pieces' numbers, which a task that runs again must not change
+    parts = checkpointed(token_pieces(df, tokenizer_path, id_col, text_col, settings))
+    return pack_pieces(parts, df.count(), id_col, settings)
 
 
 def public_vocabulary() -> str:

@@ -91,3 +91,9 @@ def only(df: DataFrame, keys: list[str], kept: DataFrame, most: int = MOST_BLOCK
     if few:
         return df.join(F.broadcast(kept), _same(keys), "left_semi")
     return _split(df, keys, kept, most)[1].join(kept, _same(keys), "left_semi")
+
+
+def nearly_only(df: DataFrame, keys: list[str], kept: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
+    """All rows whose keys are among those of `kept`, and a few others that a Bloom filter doesn't rule out. Nothing is shuffled."""
+    kept, few = _listed(df, keys, kept)
+    return df.join(F.broadcast(kept), _same(keys), "left_semi") if few else _split(df, keys, kept, most)[1]

@@ -47,7 +47,7 @@ def records_to_messages(lines: DataFrame, user_key: str = "human", assistant_key
 
 
 def turns_to_rows(lines: DataFrame, user_key: str = "human", assistant_key: str = "assistant") -> DataFrame:
-    """(file, human, assistant): one row for each turn of {conversation: [...]}, stripped; missing and null are empty."""
+    """(file, human, assistant): one row for each turn of {conversation: [...]}, stripped; missing and null are empty. Lines of other forms have no rows."""
     turns = F.try_variant_get(F.try_parse_json("line"), "$.conversation", "array<variant>")
     objects = F.filter(turns, lambda t: F.schema_of_variant(t).startswith("OBJECT"))
     said = lambda key: strip(F.coalesce(F.try_variant_get("turn", f"$.{key}", "string"), F.lit("")))
@@ -65,6 +65,7 @@ def nest(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
 
 
 def flat(df: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """One row for each message, with its position from 0; conversations without messages have none. Null roles and contents stay null."""
     return df.select(conv, F.posexplode("messages").alias("position", "message")).select(conv, "position", "message.role", "message.content")
 
 

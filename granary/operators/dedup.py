@@ -71,7 +71,7 @@ def word_hashes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def signatures(sets: DataFrame, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
     """(id, signature): the least permuted hash for each permutation, in numpy over Arrow batches.
 
-    An empty set has MODULUS everywhere.
+    An empty set has MODULUS everywhere, as has a null one. Rows stay as they are: repeated and null ids have a signature each.
     """
     a, b = (np.array(x, np.uint64) for x in permutations(seed))
     kept = [c for c in sets.columns if c != "hashes"]
@@ -115,7 +115,7 @@ def _least(h: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 
 
 def bands(signed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, band, key): a hash of each band's rows."""
+    """(id, band, key): a hash of each band's rows, for each row; a null signature has null keys, which meet nothing."""
     return signed.select(id_col, F.posexplode(_band_keys()).alias("band", "key"))
 
 
@@ -126,7 +126,7 @@ def _band_keys() -> Column:
 
 def near_pairs(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(low, high): distinct pairs that share a band. It lists every pair of a bucket, so give it one id of each distinct
-    word set; near_dedup decides without listing any."""
+    word set; near_dedup decides without listing any. Null ids are in no pair, nor is an id with itself."""
     left, right = banded.select(F.col(id_col).alias("low"), "band", "key"), banded.select(F.col(id_col).alias("high"), "band", "key")
     return left.join(right, ["band", "key"]).where("low < high").select("low", "high").distinct()
 

@@ -46,7 +46,7 @@ def shuffled(df: DataFrame, ids: list[str], seed: int = 42) -> DataFrame:
 
 
 def buffered_shuffle(df: DataFrame, order: list[Column], ids: list[str], buffer: int = 32_768, seed: int = 42) -> DataFrame:
-    """Consecutive runs of `buffer` rows, each shuffled in itself; position is the new place."""
+    """Consecutive runs of `buffer` rows, each shuffled in itself; position is the new place. Nulls come first, as in positions; repeated rows have a place each."""
     placed = positions(df, order, "__old").withColumn("__chunk", F.floor(F.col("__old") / buffer))
     inside = W.partitionBy("__chunk").orderBy(shuffle_key(seed, *map(F.col, ids)), *ids)
     return placed.withColumn("position", F.col("__chunk") * buffer + F.row_number().over(inside) - 1).drop("__old", "__chunk")
@@ -97,19 +97,19 @@ def sequential_split(df: DataFrame, total: int, extra: int = 10_000, names: tupl
 
 
 def batches(df: DataFrame, size: int, skip: int = 0, accumulate: int = 1) -> DataFrame:
-    """Adds batch and accumulation group by position; the first `skip` batches are left out."""
+    """Adds batch and accumulation group by position; the first `skip` batches are left out, as are rows without a position."""
     numbered = df.withColumn("batch", F.floor(F.col("position") / size))
     return numbered.where(F.col("batch") >= skip).withColumn("group", F.floor(F.col("batch") / accumulate))
 
 
 def stacked(df: DataFrame, arrays: list[str]) -> DataFrame:
-    """One row for each batch: the arrays of its rows in order. A batch has a fixed number of rows."""
+    """One row for each batch: the arrays of its rows in order, null ones included. A batch has a fixed number of rows; further columns are left out."""
     rows = F.sort_array(F.collect_list(F.struct("position", *arrays)))
     return df.groupBy("batch").agg(rows.alias("__rows")).select("batch", *[F.col(f"__rows.{a}").alias(a) for a in arrays])
 
 
 def latest(df: DataFrame, k: int, by: Column, tie: Column, *group: str) -> DataFrame:
-    """The k latest rows (of each group); adds `age` from 1. Without a group only k rows of each partition are compared."""
+    """The k latest rows (of each group, null being one); adds `age` from 1. Nulls are the oldest. Without a group only k rows of each partition are compared."""
     if not group:
         df = df.orderBy(by.desc(), tie.desc()).limit(k)
     newest = W.partitionBy(*group).orderBy(by.desc(), tie.desc())

@@ -228,6 +228,27 @@ def test_sampling(spark):
         sampling.with_temperature(df, 0.0)
 
 
+def test_nulls_in_series_and_samples(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (None, 0, 2.0), (None, 1, 0.0)], "seq long, token int, logit double")
+    rows = lambda d: sorted(((r.seq, r.token) for r in d.collect()), key=str)
+    assert rows(sampling.top_k(df, 5)) == rows(sampling.top_p(df, 1.0)) == [(0, 0), (None, 0), (None, 1)]
+    assert {r.token: r.probability for r in sampling.softmax(df.where("seq = 0")).collect()} == {0: 1.0, 1: None}
+    assert sorted((r.seq for r in sampling.draw(df, 1).collect()), key=str) == [0, None] and sampling.draw(df.limit(0), 1).count() == 0
+    seen = spark.createDataFrame([(None, 0), (None, 0), (None, None)], "seq long, token int")
+    assert sorted(((r.seq, r.token, r.logit) for r in sampling.penalised(df, seen, 2.0).collect()), key=str) == sorted([(0, 0, 1.0), (0, 1, None), (None, 0, 1.0), (None, 1, 0.0)], key=str)
+    series = spark.createDataFrame([(0, 1.0), (1, None), (None, 5.0), (None, 6.0)], "step long, loss double")
+    assert [(r.interval, r.mean_loss) for r in metrics.interval_means(series, "step", "loss", 2).collect()] == [(0, 0.5)]
+    assert [(r.group, r.total_loss) for r in metrics.accumulated(series, "step", "loss", 2).collect()] == [(0, 1.0)]
+    best = metrics.running_best(spark.createDataFrame([(0, None), (1, 2.0), (2, None), (3, 1.0)], "s int, v double"), ["s"], "v", [])
+    assert [r.improved for r in best.orderBy("s").collect()] == [False, True, False, True]
+    assert metrics.interval_means(series.limit(0), "step", "loss", 2).count() == 0
+    placed = spark.createDataFrame([(None, [1]), (0, None), (1, [2])], "position long, a array<int>")
+    assert [r.a for r in ordering.stacked(ordering.batches(placed, 2), ["a"]).collect()] == [[None, [2]]]
+    assert [r.position for r in ordering.latest(placed, 2, F.col("position"), F.size("a")).orderBy("age").collect()] == [1, 0]
+    assert chat.flat(spark.createDataFrame([(1, None), (2, []), (3, [(None, None)])], "conv_id long, messages array<struct<role:string,content:string>>")).collect() == [(3, 0, None, None)]
+    assert chat.turns_to_rows(lines(spark, "", "[]", '{"a":1}')).count() == 0
+
+
 def test_draws_follow_the_probabilities(spark):
     df = spark.range(4000).select(F.col("id").alias("seq"), F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.lit(v).alias("logit")) for t, v in ((0, math.log(0.7)), (1, math.log(0.3)))])).alias("x"))
     share = sampling.draw(df.select("seq", "x.token", "x.logit"), 3).where("token = 0").count() / 4000

@@ -24,8 +24,9 @@ sets link when 100 * |A and B| >= percent * |A or B|. The join is exact, in thes
    first. It returns for each node its number of partners and a link to a local root.
 5. Components over the verified links; a component's id is its least document id.
 
-A task remembers the sets that it has sent last, so a text with very many copies is sent about once
-a task.
+Texts are read twice in full, to describe them and to sign their sets, and a third time only one of
+each class of candidates, which a filter of their places picks out of the files. When it signs, a task
+remembers the sets that it has sent last, so a text with very many copies is sent about once a task.
 
 Defined results: null text counts as empty; a document without words has an empty set, no links and
 is its own component. Equal texts (also repeated rows, also with equal ids) are linked. Null ids
@@ -51,17 +52,18 @@ from pyspark.sql import functions as F
 from granary.llm.common import checkpointed, encoded, mix64, pieces
 from granary.llm.components import components
 from granary.llm.textscan import Scan
+from granary.operators.dedup import located
+from granary.operators.filters import nearly_only
 
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
+#: Bytes of text that are turned into numpy arrays at a time.
+_PIECE = 1 << 20
 #: Bytes of a signature or of a node's name in the candidate graph.
 _WIDTH = 5
 #: Cells of the table that counts features by hash (2**22 at one byte a task), in chunks of 2**14.
 _CELLS, _CHUNK = 1 << 22, 1 << 14
 #: A cell is common at 1.5 times the mean and one document in so many more.
 _COMMON = 8192
-#: Most bits of the table that tells, with false alarms only, which sets are candidates. With more candidates
-#: than a sixteenth of them, false alarms grow; the join after it drops them.
-_BITS = 1 << 26
 #: Sets that a task remembers, in each of two generations.
 _SEEN = 1 << 17
 #: A class or node is heavy if it has more than one in so many of all rows, so at most so many are broadcast.
@@ -325,18 +327,22 @@ def _node(a: str = "a", b: str = "b"):
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """One row for each row of df: id, n_shingles, component_id, n_links (other rows that it links with)."""
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings(), from_files: bool = False) -> DataFrame:
+    """One row for each row of df: id, n_shingles, component_id, n_links (other rows that it links with).
+
+    `from_files` says that df is read from Parquet files with no more than filters and projections, so that
+    rows can be named by their places; otherwise ids and texts are checkpointed once.
+    """
     bands, node_mask = Bands(settings), (1 << settings.node_bits) - 1
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = located(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), from_files)
     kind = source.schema["id"].dataType.simpleString()
-    texts = df.select(F.col(text_col).alias("text"))
-    names = ["id", "n", "signatures", "a", "b", "chunk", "part", "cells"]
+    texts = source.select("text")
+    names = ["id", "n", "signatures", "a", "b", "file", "row", "chunk", "part", "cells"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Size and fingerprint of each row's set; at the end the task's counts of features by cell."""
         id_type, counts = None, np.zeros(_CELLS, np.uint32)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", _PIECE):
             id_type = piece.schema.field("id").type
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
             a, b = fingerprints(sizes, features)
@@ -344,16 +350,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 np.add.at(counts, cells_of(features), np.uint32(1))
             per_row = np.where(sizes > 0, bands.signatures(sizes, settings), 0)
             none = [pa.nulls(len(sizes), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(per_row, pa.int64()), _signed(a), _signed(b), *none], names=names)
+            places = [piece.column("__file"), piece.column("__row")]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(per_row, pa.int64()), _signed(a), _signed(b), *places, *none], names=names)
         held = np.flatnonzero(counts.reshape(-1, _CHUNK).any(axis=1))
         if id_type is not None and len(held):
             cells = pa.array([_packed_cells(counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in held.tolist()], pa.binary())
             part = pa.array([TaskContext.get().partitionId()] * len(held), pa.int64())
-            none = [pa.nulls(len(held), t) for t in (id_type, *[pa.int64()] * 4)]
+            none = [pa.nulls(len(held), t) for t in (id_type, *[pa.int64()] * 6)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(held, pa.int64()), part, cells], names=names)
 
-    described = checkpointed(source.mapInArrow(describe, f"id {kind}, n long, signatures long, a long, b long, chunk long, part long, cells binary"))
-    docs = described.where("chunk IS NULL").select("id", "n", "signatures", "a", "b")
+    described = checkpointed(source.mapInArrow(describe, f"id {kind}, n long, signatures long, a long, b long, file long, row long, chunk long, part long, cells binary"))
+    docs = described.where("chunk IS NULL").select("id", "n", "signatures", "a", "b", "file", "row")
     total, occurrences, documents = docs.agg(F.coalesce(F.sum("signatures"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-total // settings.bucket))
     common = _common_cells(described.where("chunk IS NOT NULL"), occurrences / _CELLS, documents) if settings.few else None
@@ -361,7 +368,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = Seen(), None if common is None else np.unpackbits(common).astype(bool)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", _PIECE):
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
             a, b = fingerprints(sizes, features)
             once = seen.new(a, b, sizes > 0)
@@ -389,30 +396,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     near = texts.mapInArrow(sign, "bucket long, signatures binary, nodes binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
-    classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("file").alias("file"), F.first("row").alias("row"))
     classes = checkpointed(classes.withColumn("node", F.col("a").bitwiseAND(F.lit(node_mask))))
     crowded = classes.groupBy("node").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("node", F.col("node").alias("component"))
     found = components(near)
     candidates = checkpointed(found.unionByName(crowded.join(found, "node", "left_anti")))
     del near, found
-    # a table of bounded size tells the next pass which sets to bring; a false alarm is dropped by the join after it
-    bits = min(_BITS, max(1 << 10, 1 << (16 * candidates.count()).bit_length()))
-    places = candidates.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("bit"))
-    words = places.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mask")).toArrow()
-    wanted_bits = np.zeros(bits >> 5, np.uint32)
-    wanted_bits[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", _PIECE):
             sizes, features, _ = gram_sets(encoded(piece.column("text")), settings.words)
-            a, b = fingerprints(sizes, features)
-            bit = a & np.uint64((bits - 1) & node_mask)
-            wanted = (wanted_bits[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-            rows = np.flatnonzero(seen.new(a, b, wanted & (sizes > 0)))
             ends = np.cumsum(sizes)
-            blobs = pa.array([features[ends[i] - sizes[i] : ends[i]].tobytes() for i in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([_signed(a[rows]), _signed(b[rows]), blobs], names=["a", "b", "features"])
+            blobs = pa.array([features[end - size : end].tobytes() for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("__file"), piece.column("__row"), blobs], names=["file", "row", "features"])
 
     # a component's nodes are put into blocks in the order of their sizes, those of one size by hash;
     # only blocks whose sizes are near enough for a link meet
@@ -422,7 +418,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = sizes.select(F.col("component").alias("size_component"), F.col("n").alias("size_n"), "same", "before")
     placed = placed.join(sizes, (F.col("component") == F.col("size_component")) & (F.col("n") == F.col("size_n")))
     placed = placed.withColumn("own", F.floor((F.col("before") + F.pmod(F.xxhash64("a", "b"), F.col("same")) * F.col("n")) / settings.block))
-    placed = checkpointed(placed.select("component", "a", "b", "copies", "n", "own"))
+    placed = checkpointed(placed.select("component", "a", "b", "copies", "n", "own", "file", "row"))
     blocks = placed.groupBy("component", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     lower, upper = blocks.select("component", F.col("own").alias("i"), "high"), blocks.select("component", F.col("own").alias("j"), "low")
     meeting = lower.join(upper, "component").where((F.col("i") <= F.col("j")) & (settings.percent * F.col("low") <= 100 * F.col("high"))).select("component", "i", "j")
@@ -430,10 +426,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tasks = max(1, -(-placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // settings.block))
     placed = placed.join(sides, ["component", "own"]).select(
         F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "i", "j")).alias("task"),
-        F.xxhash64("component", "i", "j").alias("part"), (F.col("i") == F.col("j")).alias("inner"), "own", "copies", "a", "b",
+        F.xxhash64("component", "i", "j").alias("part"), (F.col("i") == F.col("j")).alias("inner"), "own", "copies", "a", "b", "file", "row",
     )
-    sets = texts.mapInArrow(bring, "a long, b long, features binary").groupBy("a", "b").agg(F.first("features").alias("features"))
-    placed = sets.join(placed, ["a", "b"]).select("task", "part", "inner", "own", "copies", "a", "b", "features")
+    wanted = source.select("text", "__file", "__row")
+    wanted = nearly_only(wanted, ["__file", "__row"], placed.select(F.col("file").alias("__file"), F.col("row").alias("__row")))
+    sets = wanted.mapInArrow(bring, "file long, row long, features binary")
+    placed = sets.join(placed, ["file", "row"]).select("task", "part", "inner", "own", "copies", "a", "b", "features")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.select(["part", "inner", "own", "copies", "a", "b"]).to_pandas()

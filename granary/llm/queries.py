@@ -67,7 +67,7 @@ def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), from_files=True)
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,9 @@ def features(texts: list[bytes]) -> np.ndarray:
         again / np.maximum(lines, 1), s.per_doc(stutter) / words, 1 - s.per_doc(seen_before(s.words, s.doc)) / words, np.log1p(s.n_words / np.maximum(lines, 1)),
     ], axis=1)
 
+#: Bytes of text that are turned into numpy arrays at a time.
+_PIECE = 1 << 20
+
 
 @dataclass(frozen=True)
 class GamSettings:
@@ -206,7 +209,7 @@ def quality_column(model: Gam, text: Column) -> Column:
     @arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         out: list[np.ndarray] = []
-        for piece in pieces(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+        for piece in pieces(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", _PIECE):
             out.append(model.scores(features(encoded(piece.column(0)))))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
@@ -219,7 +222,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: GamSettings = GamS
     sample = known.orderBy(F.xxhash64("id"), "id").limit(settings.max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", _PIECE):
             rows = features(encoded(piece.column("text")))
             yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array(list(rows), pa.list_(pa.float64()))], names=["id", "y", "x"])
 

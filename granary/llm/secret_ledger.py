@@ -6,12 +6,12 @@ distinct blobs of the versions at hand, leaves out the pairs in the ledger, matc
 against the rest, and joins the findings, old and new, back to all paths that bear the blob.
 Changing a rule means a new rule version, so only that rule is run again.
 
-A text is hashed first. A Bloom filter of the ledger's pairs, of bounded size, then tells for each
-rule whether the pair is surely new; only then is the rule's hint, a cheaper pattern that every
-match contains, tried on the text, and a text that no hint finds is left behind where it is. The
-pairs are joined with the ledger exactly by their hashes; a new pair that the filter took for
-a known one is looked up in a second read, which takes place only if there is any. So a ledger that
-holds all pairs leaves nothing to do but hashing.
+A text is hashed first. Then the ledger tells for each rule whether the pair is new; only then is the
+rule's hint, a cheaper pattern that every match contains, tried on the text, and a text that no
+hint finds is left behind where it is. A ledger of few blobs is broadcast for that. Of a larger one
+a Bloom filter of bounded size is, and the pairs are then joined with the ledger by their hashes; a
+new pair that the filter took for a known one is looked up in a second read, which takes place only if there is any.
+So a ledger that holds all pairs leaves nothing to do but hashing.
 
 A rule is a regular expression whose matches are leftmost and don't overlap; matches whose deciding
 group is too short are dropped. Only texts that a hint finds are shuffled, once for each blob and
@@ -72,6 +72,8 @@ EXTRA_RULES = (
 )
 RULES = BASE_RULES + EXTRA_RULES
 
+#: The blobs of a ledger are broadcast, with a hash and a number each, if there are so many at most.
+_KNOWN = 1 << 17
 #: Tasks over which the rows that bear one blob are spread where they meet its findings.
 _SALTS = 8
 
@@ -132,28 +134,33 @@ def _scan(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], id_c
     spark, everything = df.sparkSession, (1 << len(rules)) - 1
     id_ = F.lit(None).cast("long") if id_col is None else F.col(f"`{id_col}`")
     hashed = df.select(id_.alias("id"), blob_of(F.col(f"`{text_col}`")).alias("blob"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    names = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), _bit(k))])
+    filter_, done = None, None
     if ledger is None:
-        seen, known = spark.createDataFrame([], f"blob binary, rule string, spans {_FOUND}"), None
+        seen = spark.createDataFrame([], f"blob binary, rule string, spans {_FOUND}")
         asked, rows = [F.lit(True)] * len(rules), hashed
     else:
         seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
-        known = bloom(seen, ["blob"], ["rule"])
-        asked, rows = [~known.maybe(F.col("blob"), F.lit(r.name)) for r in rules], known.attach(hashed, F.col("blob"))
+        done = checkpointed(seen.groupBy("blob").agg(F.bit_or(names[F.col("rule")]).alias("done")))
+        if done.count() <= _KNOWN:
+            asked = [F.coalesce(F.col("done"), F.lit(0).cast("long")).bitwiseAND(_bit(k)) == 0 for k in range(len(rules))]
+            rows = hashed.join(F.broadcast(done), "blob", "left")
+        else:
+            filter_ = bloom(seen, ["blob"], ["rule"])
+            asked, rows = [~filter_.maybe(F.col("blob"), F.lit(r.name)) for r in rules], filter_.attach(hashed, F.col("blob"))
     mask = reduce(Column.bitwiseOR, [F.when(ask, _bit(k)).otherwise(_bit(k) * 0) for k, ask in enumerate(asked)])
     rows = rows.select("id", "blob", mask.alias("asked"), F.when(_hinted(F.col("text"), rules, asked), F.col("text")).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).alias("salt"))
     rows = checkpointed(rows)  # hashes, and the texts that may hold something
-    names = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), _bit(k))])
-    done = seen.groupBy("blob").agg(F.bit_or(names[F.col("rule")]).alias("done"))
-    todo = F.lit(everything).cast("long").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))
     blobs = rows.groupBy("blob").agg(F.min("asked").alias("asked"))
-    if known is not None:
-        blobs = blobs.join(done, "blob", "left").select("blob", "asked", todo.alias("todo")).where("todo <> 0")
+    if filter_ is None:
+        blobs = blobs.withColumn("todo", F.col("asked"))
     else:
-        blobs = blobs.withColumn("todo", F.lit(everything).cast("long"))
-    blobs = checkpointed(blobs)
+        todo = F.lit(everything).cast("long").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))
+        blobs = blobs.join(done, "blob", "left").select("blob", "asked", todo.alias("todo"))
+    blobs = checkpointed(blobs.where("todo <> 0"))
     texts = rows.where("text IS NOT NULL").select("blob", "text")
     late = blobs.select("blob", F.col("todo").bitwiseAND(F.bitwise_not("asked")).alias("late")).where("late <> 0")
-    if known is not None and not late.isEmpty():
+    if filter_ is not None and not late.isEmpty():
         again = only(hashed.select("blob", "text"), ["blob"], late).join(late, "blob")
         texts = texts.unionByName(again.where(_hinted(F.col("text"), rules, [F.col("late").bitwiseAND(_bit(k)) != 0 for k in range(len(rules))])).select("blob", "text"))
     once = texts.groupBy("blob").agg(F.first("text").alias("text")).join(blobs.select("blob", "todo"), "blob")

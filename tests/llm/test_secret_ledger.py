@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from granary.llm.secret_ledger import BASE_RULES, RULES, redact, redacted, scan, scan_increments
@@ -52,10 +53,12 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert {r.doc_id: len(r.spans) for r in findings.collect()} == {3: 1, 4: 0, 5: 0}
 
 
-def test_a_full_ledger_leaves_only_hashing(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("known", [0, 1 << 17])
+def test_a_full_ledger_leaves_only_hashing(spark, tmp_path, monkeypatch, known):
     """With every pair known no text survives the first pass, no hint is tried, and no pattern runs above the filter."""
     import granary.llm.secret_ledger as L
 
+    monkeypatch.setattr(L, "_KNOWN", known)
     spark.createDataFrame(list(enumerate(TEXTS)) * 3, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     df = spark.read.parquet(str(tmp_path / "docs"))
     scan(df)[1].write.parquet(str(tmp_path / "ledger"))
@@ -76,9 +79,11 @@ def test_a_full_ledger_leaves_only_hashing(spark, tmp_path, monkeypatch):
         assert "a hint was tried" in str(e)
 
 
-def test_only_the_changed_rule_is_tried(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("known", [0, 1 << 17])
+def test_only_the_changed_rule_is_tried(spark, tmp_path, monkeypatch, known):
     import granary.llm.secret_ledger as L
 
+    monkeypatch.setattr(L, "_KNOWN", known)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     scan(df)[1].write.parquet(str(tmp_path / "ledger"))
     ledger = spark.read.parquet(str(tmp_path / "ledger"))
@@ -95,6 +100,7 @@ def test_pairs_that_the_filter_mistakes_are_scanned(spark, tmp_path, monkeypatch
     import granary.llm.secret_ledger as L
     from granary.operators.filters import Bloom
 
+    monkeypatch.setattr(L, "_KNOWN", 0)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     ledger = scan(df.where("doc_id < 7"))[1].cache()
     whole = Bloom.maybe

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.batches import PIECE_BYTES, list_bytes, spans, text_bytes, tidy
 from granary.functions.text import shuffle_key, words
 
 # The ids of the special tokens.
@@ -37,20 +38,21 @@ def hashed_words(text: Column) -> Column:
 
 
 def sentencepiece_ids(text: Column, model: Callable[[], str]) -> Column:
-    """Ids by a SentencePiece model, in Arrow batches; `model` names the file on the worker."""
+    """Ids by a SentencePiece model, in pieces of Arrow batches; `model` names the file on the worker. A null text is empty."""
 
     def run(batches):
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model())
         for texts in batches:
-            yield pd.Series(processor.encode(["" if t is None else t for t in texts], num_threads=1))
+            for lo, hi in spans(text_bytes(texts), PIECE_BYTES):
+                yield _encoded(processor, texts.slice(lo, hi - lo))
 
-    return _iterated(run, "array<int>")(text)
+    return _arrow(run, "array<int>")(text)
 
 
 def sentencepiece_ids_of_each(texts: Column, model: Callable[[], str]) -> Column:
-    """array<string> to array<array<int>>: all texts of an Arrow batch are encoded in one call, and the rows' offsets kept.
+    """array<string> to array<array<int>>: all texts of a piece of an Arrow batch are encoded in one call, and the rows' offsets kept.
 
     A null array stays null; a null text is empty.
     """
@@ -59,14 +61,25 @@ def sentencepiece_ids_of_each(texts: Column, model: Callable[[], str]) -> Column
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model())
-        for rows in batches:
-            ids = processor.encode(["" if t is None else t for t in rows.flatten().to_pylist()], num_threads=1)
-            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
-            yield pa.ListArray.from_arrays(offsets, pa.array(ids, pa.list_(pa.int32())))
+        for batch in batches:
+            for lo, hi in spans(list_bytes(batch), PIECE_BYTES):
+                rows = batch.slice(lo, hi - lo)
+                sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
+                yield pa.ListArray.from_arrays(offsets, _encoded(processor, rows.flatten()))
+
+    return _arrow(run, "array<array<int>>")(texts)
+
+
+def _encoded(processor, texts: pa.Array) -> pa.Array:
+    return pa.array(processor.encode(["" if t is None else t for t in texts.to_pylist()], num_threads=1), pa.list_(pa.int32()))
+
 
+def _arrow(run: Callable, kind: str):
+    """An iterator UDF over Arrow arrays, which may yield a batch in pieces."""
+    run = tidy(run)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<array<int>>")(texts)
+    return F.arrow_udf(run, kind)
 
 
 def sentencepiece_chat_tokens(model: Callable[[], str], user: str = "<user>", bot: str = "<bot>") -> ChatTokens:

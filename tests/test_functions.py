@@ -129,6 +129,34 @@ def test_pieces_of_each_text_keep_their_rows(spark):
     assert (tokens.bos, tokens.eos, tokens.user, tokens.bot) == (1, 2, p.piece_to_id("<0x01>"), p.unk_id()) and tokens.pad == p.unk_id()
 
 
+def test_pieces_are_encoded_a_bounded_number_of_bytes_at_a_time(spark):
+    public_tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+
+    def model():
+        import public_tokenizers
+        import sentencepiece
+
+        kind = sentencepiece.SentencePieceProcessor
+        if not hasattr(kind, "plain_encode"):
+            kind.plain_encode = kind.encode
+
+        def counted(self, texts, **more):
+            assert len(texts) == 1 or sum(len(t.encode()) for t in texts) <= 1 << 20
+            return self.plain_encode(texts, **more)
+
+        kind.encode = counted
+        return public_tokenizers.path("piece_bpe_32k.model")
+
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    df = spark.range(600).coalesce(1).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.concat(F.lit("añb "), F.col("id")), 1000)).alias("t"))
+    df = df.select("id", K.sentencepiece_ids(F.col("t"), model).alias("a"), K.sentencepiece_ids_of_each(F.array("t", F.lit("x")), model).alias("b"))
+    rows = df.select("id", F.size("a").alias("n"), F.element_at("b", 1).alias("same"), "a", F.element_at("b", 2).alias("x")).where(F.col("id").isin(0, 1, 598)).collect()
+    for r in rows:
+        want = p.encode("" if r.id % 9 == 0 else f"añb {r.id}" * 1000)
+        assert r.a == want and r.same == want and r.x == p.encode("x")
+    assert len(rows) == 3 and df.where(F.size("a") > 0).count() == sum(i % 9 > 0 for i in range(600))
+
+
 def test_chat_examples_pieces_equal_plain_python(spark):
     public_tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
     import hashlib

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.batches import PIECE_BYTES, spans, text_bytes, tidy
 from granary.functions.text import words
 from granary.operators import filters
 from granary.plans.session import materialized
@@ -78,15 +79,16 @@ def signatures(sets: DataFrame, id_col: str = "doc_id", seed: int = 1) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("hashes")
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            least = _least(column.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sizes, a, b)
-            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(a))
-            signed = pa.ListArray.from_arrays(offsets, pa.array(least.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), signed], names=[*kept, "signature"])
+            lengths = pc.fill_null(pc.list_value_length(batch.column("hashes")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in spans(8 * (lengths + PERMUTATIONS), PIECE_BYTES):
+                part, sizes = batch.slice(lo, hi - lo), lengths[lo:hi]
+                least = _least(part.column("hashes").flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sizes, a, b)
+                offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(a))
+                signed = pa.ListArray.from_arrays(offsets, pa.array(least.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), signed], names=[*kept, "signature"])
 
     source = sets.select(*kept, "hashes")
-    return source.mapInArrow(run, "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in kept) + "signature array<long>")
+    return source.mapInArrow(tidy(run), "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in kept) + "signature array<long>")
 
 
 def _least(h: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,9 +172,9 @@ def resolve_buckets(banded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 class WordHashes(dict):
-    """Hashes of words as word_hashes has them, remembered in two generations of bounded size."""
+    """Hashes of words as word_hashes has them; the usual ones are remembered, in two generations of `limit` words each."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 1 << 16):
         super().__init__()
         self.limit, self.old = limit, {}
 
@@ -180,14 +182,14 @@ class WordHashes(dict):
         value = self.old.get(word)
         if value is None:
             value = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % MODULUS
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
         self[word] = value
         return value
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the text's words."""
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         return np.unique(np.array([self[w] for w in set((text or "").split())], np.uint64))
 
 
@@ -202,8 +204,8 @@ def signature_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in spans(text_bytes(batch.column("text")) + 8 * PERMUTATIONS, PIECE_BYTES):
+                part = batch.slice(lo, hi - lo)
                 sets = [hashes.of(t.as_py()) for t in part.column("text")]
                 sizes = np.array([len(x) for x in sets], np.int64)
                 least = _least(np.concatenate(sets), sizes, a, b)
@@ -212,7 +214,7 @@ def signature_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column("id"), digests, pa.ListArray.from_arrays(offsets, pa.array(least.reshape(-1)))], names=["id", "digest", "signature"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, digest string, signature array<long>")
+    signed = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, digest string, signature array<long>")
     return signed.withColumnRenamed("id", id_col)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import hashlib
 import random
 
 import pytest
@@ -95,6 +96,14 @@ def test_signature_store_equals_signatures_of_word_hashes(spark):
     assert len({store[k].digest for k in (0, 1, 2)}) == 1 and store[3].digest == store[4].digest != store[5].digest
 
 
+def test_remembered_words_are_bounded_within_a_text():
+    hashes = dedup.WordHashes(limit=100)
+    words = [f"w{k}" for k in range(1000)]
+    for text in (" ".join(words), "w1 w999 w5", None):
+        assert hashes.of(text).tolist() == sorted({int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dedup.MODULUS for w in (text or "").split()})
+        assert len(hashes) <= 100 and len(hashes.old) <= 100
+
+
 def test_positions_by_key_equal_positions(spark):
     df = spark.range(200).select(F.col("id").alias("k"), F.pmod(F.col("id") * 7, F.lit(50)).alias("v"), F.lit("wide").alias("text"))
     order = [F.col("v"), F.col("k")]

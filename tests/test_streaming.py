@@ -64,3 +64,56 @@ def test_stream_dedup(spark, tmp_path):
         lines = ingest.stream_valid(ingest.stream_lines(spark, f"{path}/in"))
         ingest.to_parquet(ingest.stream_dedup(lines, F.md5("line"), "seen_at", "1 hour"), f"{path}/out", f"{path}/check").awaitTermination()
     assert sorted(r.line for r in spark.read.parquet(f"{path}/out").collect()) == ['{"a":1}', '{"a":2}', '{"a":3}']
+
+
+class Handle:
+    """State and timers of one bucket, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.mark
+
+
+def test_many_keys_are_handled_in_one_call():
+    import pandas as pd
+
+    handle, visits = Handle(), stateful.Visits(60.0, "bigint")
+    visits.init(handle)
+    frame = lambda rows: pd.DataFrame(rows, columns=["key", "id", "unnamed", "at", "value"]).assign(at=lambda d: pd.to_datetime(d["at"], unit="s"))
+    big = 2**60 + 1
+    out = pd.concat(visits.handleInputRows((0,), iter([frame([(k, big + k, False, 100 + k, 1.0) for k in range(50)]), frame([(7, 0, True, 90, 2.0)])]), None))
+    assert len(out) == 51 and [(r.number, r.total) for r in out[out.key == 7].itertuples()] == [(1, 2.0), (2, 3.0)]
+    assert out["id"].isna().sum() == 1 and out[out.key == 3]["id"].tolist() == [big + 3] and handle.timers == [160_000]
+    handle.timers, handle.mark = [], 169_000
+    over = pd.concat(visits.handleExpiredTimer((0,), handle, None))
+    assert sorted(zip(over["key"], over["number"], over["total"], strict=True)) == [(k, 1 + (k == 7), 1.0 + 2 * (k == 7)) for k in range(10)] and handle.timers == [170_000]
+    out = pd.concat(visits.handleInputRows((0,), iter([frame([(7, 1, False, 170, 4.0), (10, 2, False, 171, 5.0)])]), None))
+    assert sorted(zip(out["key"], out["number"], out["total"], strict=True)) == [(7, 1, 4.0), (10, 2, 6.0)]
+    handle.timers, handle.mark = [], 10**9
+    assert len(pd.concat(visits.handleExpiredTimer((0,), handle, None))) == 41 and not handle.exists() and not handle.timers

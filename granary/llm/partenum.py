@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.batches import give_back, tidy
 from granary.llm.common import checkpointed, encoded, mix64, pieces
 from granary.llm.components import components
 from granary.llm.textscan import Scan
@@ -359,7 +360,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             none = [pa.nulls(len(held), t) for t in (id_type, *[pa.int64()] * 6)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(held, pa.int64()), part, cells], names=names)
 
-    described = checkpointed(source.mapInArrow(describe, f"id {kind}, n long, signatures long, a long, b long, file long, row long, chunk long, part long, cells binary"))
+    described = checkpointed(source.mapInArrow(tidy(describe), f"id {kind}, n long, signatures long, a long, b long, file long, row long, chunk long, part long, cells binary"))
     docs = described.where("chunk IS NULL").select("id", "n", "signatures", "a", "b", "file", "row")
     total, occurrences, documents = docs.agg(F.coalesce(F.sum("signatures"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-total // settings.bucket))
@@ -395,7 +396,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = np.unique(np.stack([least[other], node[other]], axis=1), axis=0).view(np.int64)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    near = texts.mapInArrow(sign, "bucket long, signatures binary, nodes binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
+    near = texts.mapInArrow(tidy(sign), "bucket long, signatures binary, nodes binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
     classes = docs.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("file").alias("file"), F.first("row").alias("row"))
     classes = checkpointed(classes.withColumn("node", F.col("a").bitwiseAND(F.lit(node_mask))))
     crowded = classes.groupBy("node").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("node", F.col("node").alias("component"))
@@ -430,7 +431,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     wanted = source.select("text", "__file", "__row")
     wanted = nearly_only(wanted, ["__file", "__row"], placed.select(F.col("file").alias("__file"), F.col("row").alias("__row")))
-    sets = wanted.mapInArrow(bring, "file long, row long, features binary")
+    sets = wanted.mapInArrow(tidy(bring), "file long, row long, features binary")
     placed = sets.join(placed, ["file", "row"]).select("task", "part", "inner", "own", "copies", "a", "b", "features")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -448,6 +449,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 hit = links > 0
                 out.append(pd.DataFrame({"a": a[hit], "b": b[hit], "c": a[root][hit], "d": b[root][hit], "links": links[hit].astype(np.int64)}))
         frame = pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "c", "d", "links")})
+        del out, rows, blobs
+        give_back()
         return pa.Table.from_pandas(frame, preserve_index=False)
 
     # a block against another one holds each node of both once; a block of its own is compared in its own task

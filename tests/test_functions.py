@@ -187,3 +187,12 @@ def test_chat_examples_pieces_equal_plain_python(spark):
 
 def test_python_versions_agree():
     assert sys.version_info >= (3, 10)
+
+
+def test_a_worker_gives_memory_back_after_the_last_batch(monkeypatch):
+    from granary.functions import batches
+
+    seen = []
+    monkeypatch.setattr(batches, "give_back", lambda: seen.append("back"))
+    run = batches.tidy(lambda rows: (seen.append(r) or r for r in rows))
+    assert list(run(iter([1, 2]))) == [1, 2] and seen == [1, 2, "back"]

@@ -52,7 +52,7 @@ def sentencepiece_ids(text: Column, model: Callable[[], str]) -> Column:
 
 
 def sentencepiece_ids_of_each(texts: Column, model: Callable[[], str]) -> Column:
-    """array<string> to array<array<int>>: all texts of a piece of an Arrow batch are encoded in one call, and the rows' offsets kept.
+    """array<string> to array<array<int>>: the texts of a piece of an Arrow batch are encoded in one call (those of a longer row in several), and the rows' offsets kept.
 
     A null array stays null; a null text is empty.
     """
@@ -72,7 +72,10 @@ def sentencepiece_ids_of_each(texts: Column, model: Callable[[], str]) -> Column
 
 
 def _encoded(processor, texts: pa.Array) -> pa.Array:
-    return pa.array(processor.encode(["" if t is None else t for t in texts.to_pylist()], num_threads=1), pa.list_(pa.int32()))
+    """Ids of each text, in pieces once more: the texts of one row may be many."""
+    kind = pa.list_(pa.int32())
+    parts = [pa.array(processor.encode(["" if t is None else t for t in texts.slice(lo, hi - lo).to_pylist()], num_threads=1), kind) for lo, hi in spans(text_bytes(texts), PIECE_BYTES)]
+    return pa.concat_arrays([pa.array([], kind), *parts])
 
 
 def _arrow(run: Callable, kind: str):

@@ -588,7 +588,8 @@ def chat_examples_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat examples by a SentencePiece model; the role tags are two of its pieces."""
     tokens = K.sentencepiece_chat_tokens(_piece_model, "<0x01>", "<0x02>")
     ids, mask = K.chat_ids(F.col("messages"), lambda texts: K.sentencepiece_ids_of_each(texts, _piece_model), tokens)
-    rows = chat.nest(read(spark, sf_dir, "conversations")).select("conv_id", ids.alias("ids"), mask.alias("mask")).where(F.size("ids") > 1)
+    nested = chat.nest(read(spark, sf_dir, "conversations")).where(F.size(K.said(F.col("messages"))) > 0)  # a filter of the ids would encode twice
+    rows = nested.select("conv_id", ids.alias("ids"), mask.alias("mask"))
     x, y, k = K.chat_example(F.col("ids"), F.col("mask"), 256, tokens.pad)
     rows = rows.select("conv_id", F.size("ids").alias("n_ids"), x.alias("x"), y.alias("y"), k.alias("k"))
     loss = F.aggregate("k", F.lit(0), lambda a, b: a + b).alias("n_loss")

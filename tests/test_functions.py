@@ -185,6 +185,34 @@ def test_chat_examples_pieces_equal_plain_python(spark):
     assert got == want and len(want) > 5
 
 
+def test_texts_of_one_long_row_are_encoded_a_bounded_number_of_bytes_at_a_time():
+    pa = pytest.importorskip("pyarrow")
+    calls = []
+
+    class Processor:
+        def encode(self, texts, num_threads):
+            calls.append(sum(len(t.encode()) for t in texts))
+            return [[len(t)] * 2 for t in texts]
+
+    texts = ["añ" * (i % 700) if i % 9 else None for i in range(6000)]
+    assert K._encoded(Processor(), pa.array(texts)).to_pylist() == [[len(t or "")] * 2 for t in texts]
+    assert len(calls) > 3 and max(calls) <= 1 << 20
+    assert K._encoded(Processor(), pa.array([], pa.string())).to_pylist() == []
+    assert K._encoded(Processor(), pa.array(["é" * (1 << 20), "b"])).to_pylist() == [[1 << 20] * 2, [1] * 2]
+
+
+def test_chat_examples_pieces_encode_each_message_once(spark, tmp_path):
+    pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    from granary.plans.registry import QUERIES
+
+    rows = [(1, 0, "user", "a b"), (1, 1, "assistant", "c"), (2, 0, "system", "x"), (3, 0, "user", None), (3, 1, None, "y"), (4, 0, "user", None), (4, 1, "assistant", ""), (None, 0, "user", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = QUERIES["chat_examples_pieces"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.conv_id: (r.n_ids > 2, r.n_loss) for r in df.collect()}
+    assert got.keys() == {1, 4, None} and got[4] == (True, 2) and got[None] == (True, 0)
+
+
 def test_python_versions_agree():
     assert sys.version_info >= (3, 10)
 
